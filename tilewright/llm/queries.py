@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing
+from tilewright.llm import chat, mixing, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op3_format_chats": chat.op3_format_chats,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op8_scan_secrets": secrets.op8_scan_secrets,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_url_templates": urls.op10_url_templates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_format_chats": chat.OP3_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
     }
