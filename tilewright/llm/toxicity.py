@@ -146,11 +146,11 @@ def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int =
     wanted = spark.createDataFrame([(p,) for p in strong], "pattern string")
     rows = pairs.join(F.broadcast(wanted), "pattern").toPandas()
     docs_of = rows.groupby("pattern")["doc_id"].agg(set).to_dict()
-    # greedy cover: most uncovered toxic rows for the clean rows it costs; ties: fewer letters, then by text
+    # greedy cover: most uncovered toxic rows for the clean rows it costs; ties: more letters, then by text
     open_docs, weights = set(rows["doc_id"]), {}
     gain = {p: len(d) for p, d in docs_of.items()}
     while gain:
-        p = min(gain, key=lambda x: (-(gain[x] - 2 * in_clean.get(x, 0)), len(x.strip()), x))
+        p = min(gain, key=lambda x: (-(gain[x] - 2 * in_clean.get(x, 0)), -len(x.strip()), x))
         now = len(docs_of[p] & open_docs)
         if now < gain[p]:
             gain[p] = now
