@@ -36,6 +36,15 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` worked out once per row, whatever filters or lambdas use it later.
+
+    A plain column would be written out again inside each filter that is pushed below it and inside
+    each lambda; what a generator has made stays as it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all other letters left alone."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, mixing, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, mixing, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op3_format_chats": chat.op3_format_chats,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op8_scan_secrets": secrets.op8_scan_secrets,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_format_chats": chat.OP3_SQL,
+        "op4_decontaminate": decontaminate.OP4_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
     }
