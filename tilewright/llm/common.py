@@ -36,6 +36,17 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns _c0, _c1, ... that no working column clashes with, and their names before."""
+    names = {f"_c{k}": name for k, name in enumerate(df.columns)}
+    return df.toDF(*names), names
+
+
+def restored(names: dict[str, str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``renamed`` by their old names, but for those that are replaced."""
+    return [F.col(now).alias(old) for now, old in names.items() if old.lower() not in without]
+
+
 def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` worked out once per row, whatever filters or lambdas use it later.
 

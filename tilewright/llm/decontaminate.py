@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import bound, read_table, staged, words_of
+from tilewright.llm.common import bound, read_table, renamed, restored, staged, words_of
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -58,7 +58,7 @@ def _one_block(docs: DataFrame, items: DataFrame, text: str, lengths: list[int],
     sketches = items.select(F.explode("sketch").alias("h")).agg(F.sort_array(F.collect_set("h"))).scalar()
     table = items.agg(F.sort_array(F.collect_list(F.struct("item_id", "k", "n", "need", "least", "sketch", "shingles")))).scalar()
     hashes = F.flatten(F.array(*[F.expr(_gather("_words", k)) for k in lengths])) if len(lengths) > 1 else F.expr(_gather("_words", lengths[0]))
-    rows = bound(docs, "_words", words_of(F.lower(F.col("_row")[text])))
+    rows = bound(docs, "_words", words_of(F.lower(F.col(text))))
     rows = bound(rows, "_hashes", hashes)
     rows = bound(rows, "_hits", F.array_intersect("_hashes", sketches))
     rows = bound(rows, "_items", F.when(F.size("_hits") > 0, table))
@@ -87,26 +87,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     reaches the limit is listed, by id. An item of over ``item_words`` words is an error.
     """
     items = staged(benchmark_items(benchmark, item_id=item_id, text=item_text, shingle=shingle, percent=percent).withColumn("item_id", F.col("item_id").cast("bigint")), "items")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "leaks"]
+    rows, names = renamed(docs)
+    text = next(new for new, old in names.items() if old == text)
+    kept = restored(names, ("leaks",))
     n_items, n_words, largest = items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
     if not n_items:
-        return docs.select(*kept, F.array().cast(LEAKS).alias("leaks"))
+        return rows.select(*kept, F.array().cast(LEAKS).alias("leaks"))
     if largest > item_words:
         raise ValueError(f"a test item of {largest} words; {item_words} at most")
     lengths = sorted(r.k for r in items.select("k").distinct().collect())
     n_blocks = max(-(-n_items // block), -(-n_words // item_words) * 2 if n_words > item_words else 1)
-    body = docs.select(F.struct(*kept).alias("_row"))
     if n_blocks == 1:
-        return _one_block(body, items, text, lengths, percent).select("_row.*", F.col("_leaks").alias("leaks"))
+        return _one_block(rows, items, text, lengths, percent).select(*kept, F.col("_leaks").alias("leaks"))
     # blocks by hash of the shingles: equal items share a block, others are dealt evenly
-    leaks, out = [], body
+    leaks, out = [], rows
     for b in range(n_blocks):
         part = staged(items.where(F.pmod(F.xxhash64("shingles"), F.lit(n_blocks)) == b), "items-block")
         if part.isEmpty():
             continue
         out = _one_block(out, part, text, lengths, percent).withColumnRenamed("_leaks", f"_leaks{b}").drop("_words", "_hashes", "_hits", "_items")
         leaks.append(f"_leaks{b}")
-    return out.select("_row.*", F.array_sort(F.flatten(F.array(*leaks))).alias("leaks"))
+    return out.select(*kept, F.array_sort(F.flatten(F.array(*leaks))).alias("leaks"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

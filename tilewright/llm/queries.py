@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, decontaminate, mixing, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, mixing, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality.op2_quality_rules,
         "op3_format_chats": chat.op3_format_chats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
