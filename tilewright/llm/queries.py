@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, decontaminate, mixing, quality, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, mixing, near, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_format_chats": chat.op3_format_chats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_near_duplicates": near.op7_near_duplicates,
         "op8_scan_secrets": secrets.op8_scan_secrets,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_templates": urls.op10_url_templates,
