@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, decontaminate, mixing, near, quality, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, mixing, near, pages, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_format_chats": chat.op3_format_chats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_extract_html": pages.op5_extract_html,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_near_duplicates": near.op7_near_duplicates,
         "op8_scan_secrets": secrets.op8_scan_secrets,
