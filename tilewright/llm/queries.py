@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat, decontaminate, mixing, near, pages, quality, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, language_model, mixing, near, pages, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_lm_score": language_model.op1_lm_score,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_format_chats": chat.op3_format_chats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
