@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tilewright.llm import chat, decontaminate, language_model, mixing, near, pages, quality, secrets, toxicity, urls
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_scan_secrets": secrets.op8_scan_secrets,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_templates": urls.op10_url_templates,
+        "pipeline": corpus_pipeline.run,
     }
 
 

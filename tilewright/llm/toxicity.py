@@ -23,10 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import held_out, read_table, staged
+from tilewright.llm.common import held_out, read_table, renamed, restored, staged
 
 SAMPLE = 12_000
 MAX_ENTRIES = 20_000
@@ -217,6 +218,15 @@ def _fit(lexicon: Lexicon, chosen: DataFrame, steps: int = 400, ridge: float = 1
     return lexicon
 
 
+def _score(lexicon: Lexicon, machine, text: str | None) -> tuple[float, int, int]:
+    """Score, matches and words of a text."""
+    folded = fold(text)
+    hits, words = lexicon.matches(machine, folded), folded.count(" ") - 1
+    bias, *w = lexicon.logistic
+    z = bias + sum(a * b for a, b in zip(w, _features(sum(hits.values()), words)))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), len(hits), words
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tox_score, tox_matches, tox_words) per row, from the whole text.
 
@@ -226,19 +236,27 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id",
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = lexicon.matcher()
-        bias, *w = lexicon.logistic
         for batch in batches:
-            out = []
-            for t in map(fold, batch["text"]):
-                hits, words = lexicon.matches(machine, t), t.count(" ") - 1
-                z = bias + sum(a * b for a, b in zip(w, _features(sum(hits.values()), words)))
-                out.append((1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), len(hits), words))
+            out = [_score(lexicon, machine, t) for t in batch["text"]]
             got = pd.DataFrame(out, columns=["tox_score", "tox_matches", "tox_words"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), got], axis=1)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(score, f"doc_id {kind}, tox_score double, tox_matches bigint, tox_words bigint")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", limit: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``, with their columns. Scoring and choosing are one pass."""
+    at = docs.columns.index(text)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array([_score(lexicon, machine, t)[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    rows, names = renamed(docs)
+    return rows.mapInArrow(choose, rows.schema).select(*restored(names))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic) of the ``sample`` labelled training ids with the smallest hashes; of several labels the largest holds."""
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
