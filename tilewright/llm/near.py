@@ -290,9 +290,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = staged(entries.join(whole.select("bucket", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks")), "bucket").select(
         "bucket", "node", "blocks", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int").alias("block")), "members")
     wanted = members.select("node").distinct()
-    sets = _shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("node")).select("doc_id", "text"), shingle).where("set_key is not null").dropDuplicates(["node", "set_key"])
+    # ids and sets grow with the documents: never broadcast, at any size
+    sets = _shingle_sets(docs.hint("merge").join(wanted, F.col("doc_id") == F.col("node")).select("doc_id", "text"), shingle).where("set_key is not null").dropDuplicates(["node", "set_key"])
     full = staged(sets.join(unique.select("set_key", "sketch"), "set_key").select("node", "sketch", "shingles"), "full-sets")
-    first = members.join(full, "node").select("bucket", "block", "node", F.col("node").alias("label"), "sketch", "shingles", F.lit(True).alias("asks"))
+    first = members.join(full.hint("merge"), "node").select("bucket", "block", "node", F.col("node").alias("label"), "sketch", "shingles", F.lit(True).alias("asks"))
     stars = staged(_compare(first, ["bucket", "block"], percent), "stars")
     links = stars.unionByName(same)
     joined = staged(components(links), "components")
