@@ -68,7 +68,7 @@ def a22_tensor_error(spark, sf_dir):
     return err.select("max_abs_error", F.round("mean_abs_error", 6).alias("mean_abs_error"), "correct")
 
 
-A22_SQL = f"select 0.5 as max_abs_error, round(avg(case when y = 3 and x = 3 then 0.25 * (img % 3) else 0 end), 6) as mean_abs_error, 'NO' as correct from ({CONV_SQL})"
+A22_SQL = f"select cast(0.5 as double) as max_abs_error, round(avg(case when y = 3 and x = 3 then 0.25 * (img % 3) else 0 end), 6) as mean_abs_error, 'NO' as correct from ({CONV_SQL})"
 
 
 def a23_image_set_error(spark, sf_dir):
@@ -78,7 +78,7 @@ def a23_image_set_error(spark, sf_dir):
     return out.select("images", "max_abs_error", F.round("mean_abs_error", 6).alias("mean_abs_error"))
 
 
-A23_SQL = f"select count(*) as images, max(m) as max_abs_error, round(avg(a), 6) as mean_abs_error from (select img, max(case when y = 0 then img % 5 else 0 end * 1.0) as m, avg(case when y = 0 then img % 5 else 0 end) as a from ({CONV_SQL}) group by img)"
+A23_SQL = f"select count(*) as images, cast(max(m) as double) as max_abs_error, round(avg(a), 6) as mean_abs_error from (select img, max(case when y = 0 then img % 5 else 0 end * 1.0) as m, avg(case when y = 0 then img % 5 else 0 end) as a from ({CONV_SQL}) group by img)"
 
 
 def e10_stack(spark, sf_dir):
