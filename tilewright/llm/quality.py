@@ -1,7 +1,7 @@
 """Quality rules: counts of a text, and the divergence of its histograms from its language's.
 
-A document's character classes (lower, upper, digit, white space, sentence marks, symbols, other
-ASCII, beyond ASCII) and its counts of the language's ``common`` most frequent words (all others are
+A document's character classes (lower, white space, upper, digit, sentence marks, symbols, beyond
+ASCII, all else) and its counts of the language's ``common`` most frequent words (all others are
 one more bin) are compared with the same histograms of all documents of its language, by
 Jensen-Shannon distance (base 2, square root). Guards: the class test needs ``min_chars``
 characters, the word test ``min_words`` words; a language needs ``min_reference`` words to be a
@@ -29,13 +29,27 @@ MIN_WORDS = 20
 MIN_REFERENCE = 1000
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", SPACE, "[.,;:!?'\"()-]+", "[#*$%&|<>]+", r"[^\x00-\x7F]+")
+#: Classes that are counted after lower-case letters and white space, in this order, with the first two before and the rest behind.
+OTHER_CLASSES = ("[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[#*$%&|<>]+", r"[^\x00-\x7F]+")
+N_CLASSES = len(OTHER_CLASSES) + 3
 
 
-def _without(text: Column, pattern: str) -> Column:
+def _without(text: str, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def with_classes(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with array ``name`` of character counts: lower, white space, OTHER_CLASSES, all else.
+
+    Letters go first, so that all other patterns run over the short rest.
+    """
+    rows = bound(rows, "_rest1", F.regexp_replace(text, "[a-z]+", ""))
+    rows = bound(rows, "_rest2", F.regexp_replace("_rest1", SPACE, ""))
+    first = [F.length(text) - F.length("_rest1"), F.length("_rest1") - F.length("_rest2"), *[_without("_rest2", c) for c in OTHER_CLASSES]]
+    rows = bound(rows, "_some", F.array(*first).cast("array<bigint>"))
+    return bound(rows, name, F.concat("_some", F.array(F.length(text) - F.aggregate("_some", F.lit(0).cast("long"), lambda a, b: a + b)))).drop("_rest1", "_rest2", "_some")
+
+
 def text_counts(docs: DataFrame, text: str) -> DataFrame:
     """All columns of ``docs``, _words, and _base, the counts of a text.
 
@@ -46,18 +60,17 @@ def text_counts(docs: DataFrame, text: str) -> DataFrame:
     rows = bound(rows, "_words", words_of(F.col("_text")))
     rows = bound(rows, "_windows", F.expr("case when size(_words) >= 3 then transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) else array() end"))
     # starts of windows found twice or more, in order; most texts have none and skip the sort
+    rows = bound(rows, "_sorted", F.expr("""
+        case when size(array_distinct(_windows)) = size(_windows) then cast(array() as array<struct<h:bigint,i:int>>)
+             else sort_array(transform(_windows, (h, i) -> struct(h as h, i as i))) end"""))
     starts = F.expr("""
-        case when size(array_distinct(_windows)) = size(_windows) then cast(array() as array<int>) else
-          transform(array(array_sort(transform(_windows, (h, i) -> struct(h as h, i as i)))), s ->
-            array_sort(transform(filter(s, (x, k) -> (k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i)))[0] end""")
+        sort_array(transform(filter(_sorted, (x, k) -> (k > 0 and _sorted[greatest(k - 1, 0)].h = x.h) or (k < size(_sorted) - 1 and _sorted[least(k + 1, size(_sorted) - 1)].h = x.h)), x -> x.i))""")
     covered = F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
                           lambda a, i: F.struct(i.alias("last"), (a.n + F.least(F.lit(3), i - a.last)).alias("n")), lambda a: a.n)
     lines = F.transform(F.array(F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    counts = F.transform(F.array(F.array(*[_without(F.col("_text"), c) for c in CLASSES])), lambda c: F.concat(
-        c, F.array(F.length("_text") - F.aggregate(c, F.lit(0), lambda a, b: a + b))).cast("array<bigint>"))[0]
-    rows = bound(rows, "_classes", counts)
+    rows = with_classes(rows, "_text", "_classes")
     base = F.struct(
-        F.size("_words").cast("long").alias("n_words"), (F.length("_text") - F.col("_classes")[3]).cast("long").alias("word_chars"), F.col("_classes")[5].alias("n_symbols"),
+        F.size("_words").cast("long").alias("n_words"), (F.length("_text") - F.col("_classes")[1]).cast("long").alias("word_chars"), F.col("_classes")[5].alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"), F.col("_classes").alias("classes"))
     return bound(rows, "_base", base).select(*docs.columns, "_words", "_base")
 
@@ -68,11 +81,10 @@ def language_references(docs: DataFrame, *, text: str = "text", lang: str = "lan
     A null language is the empty string. Ties between words go by the word.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sums = [F.sum(_without(F.col("text"), c)).alias(f"c{k}") for k, c in enumerate(CLASSES)]
-    classes = rows.groupBy("lang").agg(*sums, F.sum(F.length("text")).alias("chars"))
-    total = " + ".join(f"c{k}" for k in range(len(CLASSES)))
-    classes = classes.where("chars > 0").select("lang", F.expr(f"transform(array({', '.join(f'c{k}' for k in range(len(CLASSES)))}, chars - ({total})), x -> x / chars)").alias("classes"))
-    counts = staged(rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+    counted = with_classes(rows, "text", "counts").select("lang", F.posexplode("counts").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    classes = counted.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("c")).select("lang", F.expr("transform(c, x -> x.n)").alias("c"))
+    classes = classes.selectExpr("lang", "c", "aggregate(c, 0L, (a, b) -> a + b) as chars").where("chars > 0").selectExpr("lang", "transform(c, x -> x / chars) as classes")
+    counts = staged(rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= common)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference)
@@ -103,8 +115,7 @@ def judge_quality(docs: DataFrame, references: DataFrame | None = None, *, text:
     rows = text_counts(rows, now[text])
     rows = rows.join(refs, F.coalesce(F.col(now[lang]).cast("string"), F.lit("")) == F.col("_lang"), "left")
     chars = F.aggregate("_base.classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    padded = F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
-    found = F.transform(F.array(padded), lambda t: F.transform("_ref_words", lambda w: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)))[0]
+    found = F.expr("transform(_ref_words, r -> size(_words) - size(array_remove(_words, r)))")
     known = F.col("_ref_words").isNotNull()
     rows = bound(rows, "_common", F.when(known & (F.size("_words") >= min_words), found))
     n = F.col("_base.n_words")
@@ -112,7 +123,7 @@ def judge_quality(docs: DataFrame, references: DataFrame | None = None, *, text:
     class_distance = F.when(known & (chars >= min_chars), js_distance(F.transform("_base.classes", lambda c: c / chars), F.col("_ref_classes")))
     word_distance = F.when(F.col("_common").isNotNull(), js_distance(shares, F.col("_ref_shares")))
     rows = bound(rows, "_far", F.struct(class_distance.alias("classes"), word_distance.alias("words"), chars.alias("chars")))
-    over = (F.col("_far.classes") > class_limit + slack * F.sqrt(F.lit(float(len(CLASSES) + 1)) / F.col("_far.chars"))) | (
+    over = (F.col("_far.classes") > class_limit + slack * F.sqrt(F.lit(float(N_CLASSES)) / F.col("_far.chars"))) | (
         F.col("_far.words") > word_limit + slack * F.sqrt((F.size("_ref_words") + 1) / n))
     return rows.select(*restored(names, ("base", "class_distance", "word_distance", "diverges")), F.col("_base").alias("base"), F.col("_far.classes").alias("class_distance"), F.col("_far.words").alias("word_distance"), F.coalesce(over, F.lit(False)).alias("diverges"))
 
