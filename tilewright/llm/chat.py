@@ -75,9 +75,10 @@ def best_paths(messages: DataFrame, max_doublings: int = 40) -> DataFrame:
             raise ValueError("parents form a cycle")
         low = jumps[-1]
         high = low.select(F.col("tree").alias("h_tree"), F.col("message").alias("h_message"), F.col("up").alias("h_up"), F.col("depth").alias("h_depth"), F.col("total").alias("h_total"))
-        jumps.append(staged(low.join(high, (F.col("tree") == F.col("h_tree")) & (F.col("up") == F.col("h_message")), "left").select(
-            "tree", "message", F.col("h_up").alias("up"), (F.col("depth") + F.coalesce("h_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("h_total", F.lit(0.0))).alias("total")), "reply-jump"))
+        open_, done = low.where("up is not null"), low.where("up is null")
+        further = open_.join(high, (F.col("tree") == F.col("h_tree")) & (F.col("up") == F.col("h_message"))).select(
+            "tree", "message", F.col("h_up").alias("up"), (F.col("depth") + F.col("h_depth")).alias("depth"), (F.col("total") + F.col("h_total")).alias("total"))
+        jumps.append(staged(done.unionByName(further), "reply-jump"))
     parents = nodes.where("parent is not null").select(F.col("tree").alias("p_tree"), F.col("parent").alias("p_message")).distinct()
     leaves = jumps[-1].join(parents, (F.col("tree") == F.col("p_tree")) & (F.col("message") == F.col("p_message")), "left_anti")
     best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total") / F.col("depth")).alias("rank"), (-F.col("depth")).alias("deep"), "message")).alias("best"))
@@ -86,7 +87,7 @@ def best_paths(messages: DataFrame, max_doublings: int = 40) -> DataFrame:
         up = jumps[k].where("up is not null").select(F.col("tree").alias("u_tree"), F.col("message").alias("u_message"), "up")
         climbed = path.join(up, (F.col("tree") == F.col("u_tree")) & (F.col("message") == F.col("u_message"))).select(
             "tree", F.col("up").alias("message"), (F.col("place") - 2 ** k).alias("place"))
-        path = path.unionByName(climbed)
+        path = staged(path.unionByName(climbed), "reply-path")
     return path
 
 
