@@ -58,7 +58,7 @@ def cycle_schedule(shares: DataFrame, cycle: int) -> DataFrame:
               s -> struct(((st.ran[s] + 1) * {q}L + sources[s].share - 1) div sources[s].share as due, s as s))).s),
             p -> named_struct('ran', transform(st.ran, (n, i) -> n + int(i = p)), 'picks', concat(st.picks, array(p))))[0]).picks
     """.format(q=cycle)
-    slots = shares.selectExpr("sources", f"{step} as picks").selectExpr("sources", "posexplode(picks) as (offset, pick)")
+    slots = shares.where("size(sources) > 0").selectExpr("sources", f"{step} as picks").selectExpr("sources", "posexplode(picks) as (offset, pick)")
     turns = Window.partitionBy("pick").orderBy("offset")
     return slots.select(
         F.col("sources")[F.col("pick")]["name"].alias("name"), F.col("sources")[F.col("pick")]["share"].alias("share"),

@@ -123,7 +123,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", random: list[str] | Non
     """
     ratio = default_ratio() if random is None and ordinary is None else train_ratio(random or random_samples(), ordinary or ordinary_samples())
     docs = docs.drop("secret_spans", "redacted")
-    schema = docs.select("*", F.expr("cast(null as array<struct<start:bigint,end:bigint,kind:string>>)").alias("secret_spans"), F.lit("").cast("string").alias("redacted")).schema
+    schema = docs.select("*", F.expr("cast(null as array<struct<start:bigint,end:bigint,kind:string>>)").alias("secret_spans"), F.lit(None).cast("string").alias("redacted")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
