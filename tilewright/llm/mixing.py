@@ -54,7 +54,7 @@ def cycle_schedule(shares: DataFrame, cycle: int) -> DataFrame:
           named_struct('ran', array_repeat(0, size(sources)), 'picks', cast(array() as array<int>)),
           (st, t) -> transform(
             array(array_min(transform(
-              filter(sequence(0, size(sources) - 1), s -> st.ran[s] * {q}L div sources[s].share <= t),
+              filter(transform(sources, (x, s) -> if(st.ran[s] * {q}L div x.share <= t, s, null)), s -> s is not null),
               s -> struct(((st.ran[s] + 1) * {q}L + sources[s].share - 1) div sources[s].share as due, s as s))).s),
             p -> named_struct('ran', transform(st.ran, (n, i) -> n + int(i = p)), 'picks', concat(st.picks, array(p))))[0]).picks
     """.format(q=cycle)
