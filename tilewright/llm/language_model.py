@@ -102,8 +102,9 @@ class Vocabulary:
         get, suffix, other = self.words.get, self.suffixes.get, self.other
         places = np.array([get(w, -1) for w in words], np.int64)
         classes = self.classes[places]
-        for k in np.flatnonzero(places < 0):
-            classes[k] = suffix(words[k][-3:], other)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            classes[missing] = [suffix(words[k][-3:], other) for k in missing.tolist()]
         return places, classes
 
 
@@ -168,8 +169,13 @@ class Trainer:
         qw, qn = p["Q"][w], p["Q"][noise]
         good = (q * qw).sum(axis=1) + p["b"][w, 0] - self.log_noise[w]
         bad = q @ qn.T + (p["b"][noise, 0] - self.log_noise[noise])
-        g = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigmoid
-        h = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+        g = 1 / (1 + np.exp(np.minimum(good, 80)))  # 1 - sigmoid
+        np.minimum(bad, 80, out=bad)
+        np.negative(bad, out=bad)
+        np.minimum(bad, 80, out=bad)
+        h = np.exp(bad, out=bad)
+        h += 1
+        np.divide(-1, h, out=h)  # -sigmoid
         dq = g[:, None] * qw + h @ qn
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         self._add(grads["Q"], w, g[:, None] * q)
@@ -271,7 +277,6 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, para
 
     spark = docs.sparkSession
     known, key = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(pickle.dumps(parameters))
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, tables = known.value, _tables(key.value)
@@ -282,27 +287,32 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, para
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                places, classes, starts, rare, n = [], [], [], [], 0
+                places, classes, starts, n = [], [], [], 0
+                rare, times, bounds = [], [], [0]
                 for text in batch.column(1).to_pylist():
                     words = [*words_in(text), END]
                     p, c = v.lookup(words)
                     starts.append(n)
                     places.append(p), classes.append(c)
                     n += len(words)
-                    seen = Counter([words[k] for k in np.flatnonzero(p < 0)])
-                    rare.append([{"word": w, "n": m} for w, m in seen.items()])
+                    seen = Counter([words[k] for k in np.flatnonzero(p < 0).tolist()])
+                    rare += seen
+                    times += seen.values()
+                    bounds.append(len(rare))
                 p, c, first = np.concatenate(places), np.concatenate(classes), np.array(starts)
                 one, two = contexts(c, first, v.end)
+                entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
                 base = log_count[p] * (p >= 0)
                 model = tables(c, one, two) - log_size[c] + base * several[c]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(batch)), pa.int64()), batch.column(0), pa.array(np.diff(np.r_[first, n]), pa.int64()), pa.array(np.add.reduceat(((p >= 0) & (v.counts[p] > 0)).astype(np.int64), first)),
-                     pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(model, first)), pa.array(rare, kind)], ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare"])
+                     pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(model, first)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)], ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare"])
                 row += len(batch)
 
     scored = staged(docs.select("doc_id", "text").mapInArrow(score, _SCORED.format(docs.schema["doc_id"].dataType.simpleString())), "scored")
     words = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("rare"), F.col("r.n").alias("times"))
-    found = words.join(counts, F.col("rare") == F.col("word"), "left").groupBy("row").agg(
+    # the counts of a partition are hashed, so that the far larger side needs no sort
+    found = words.join(counts.hint("shuffle_hash"), F.col("rare") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     total = math.log10(vocabulary.tokens + ALPHA * (vocabulary.types + 1))
     return scored.drop("rare").join(found.withColumnRenamed("row", "f_row"), F.col("row") == F.col("f_row"), "left").select(
