@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from tilewright.config import DetectionConfig
 from tilewright.functions import geometry as g
 from tilewright.functions.text import PLACEHOLDERS, fill_template
 from tilewright.operators import detect, duplicates
+from tilewright.shared import staged_path
 from tilewright.sources import adapters, files, tasks
 from tilewright.streaming import live
 
@@ -301,8 +300,8 @@ def l10_final_counts(spark, sf_dir):
 
 def l3_live_stream(spark, sf_dir):
     """The temporal pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/tilewright/live-{uuid.uuid4().hex}"
-    frames = _frames(spark, sf_dir).where("true").repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
+    shared = staged_path(spark, "live")
+    frames = _frames(spark, sf_dir).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
     frames.write.parquet(f"{shared}/frames")
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 4).parquet(f"{shared}/frames")
     query = live.live_events(LIVE, stream).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state").trigger(availableNow=True).start()
