@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.shared import clear_staged, staged, staged_path
+
+__all__ = ["SPACE", "WORD", "bound", "clear_staged", "held_out", "lower_ascii", "read_table", "renamed", "restored", "staged", "staged_path", "words_of"]
+
 #: White space as the word contract has it: a space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def staging_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder under /tmp only for a local master without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "/tmp/checkpoints"
-    return f"{shared.rstrip('/')}/tilewright/{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that lost executors cost no lineage."""
-    spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Delete every table that ``staged`` has written for this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns _c0, _c1, ... that no working column clashes with, and their names before."""
     names = {f"_c{k}": name for k, name in enumerate(df.columns)}

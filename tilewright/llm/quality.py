@@ -135,3 +135,43 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("base.n_words") < 50) | (100 * F.col("base.n_repeat_words") > 50 * F.col("base.n_words"))
     return judged.select("doc_id", *[f"base.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"),
                          (~failed & ~F.col("diverges")).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _class_sql(text: str) -> str:
+    rest1 = f"regexp_replace({text}, '[a-z]+', '', 'g')"
+    rest2 = f"regexp_replace({rest1}, '[\\x20\\x09-\\x0D]+', '', 'g')"
+    parts = [f"length({text}) - length({rest1})", f"length({rest1}) - length({rest2})"]
+    parts += ["length({0}) - length(regexp_replace({0}, '{1}', '', 'g'))".format(rest2, c.replace("'", "''")) for c in OTHER_CLASSES]
+    return f"[{', '.join(parts)}]"
+
+
+def _js_sql(p: str, q: str) -> str:
+    def half(x: str, y: str) -> str:
+        return f"case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0 end"
+    a, b = f"({p})[i]", f"({q})[i]"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {half(a, b)} + {half(b, a)})) / 2))"
+
+
+#: The same by unnested windows and grouped counts.
+OP2_SQL = rf"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+c as (select *, list_append(part, length(text) - list_sum(part)) as classes from (select *, {_class_sql('text')} as part from d)),
+tri as (select doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] as t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d where len(ws) >= 3)),
+often as (select doc_id, t from tri group by doc_id, t having count(*) > 1),
+cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from tri join often using (doc_id, t)) group by doc_id),
+rc as (select lang, list(n order by k) as sums, sum(n) as total from (select lang, k, sum(classes[k]) as n from (select lang, classes, unnest(range(1, {N_CLASSES} + 1)) as k from c) group by lang, k) group by lang having sum(n) > 0),
+wc as (select lang, w, count(*) as n from (select lang, unnest(ws) as w from d) group by lang, w),
+sz as (select lang, sum(n) as total from wc group by lang having sum(n) >= {MIN_REFERENCE}),
+top as (select lang, list(w order by place) as words, list(n order by place) as ns from (select *, row_number() over (partition by lang order by n desc, w) as place from wc) where place <= {COMMON} group by lang),
+ref as (select lang, list_transform(sums, lambda x: x / rc.total) as ref_classes, words, list_append(list_transform(ns, lambda x: x / sz.total), greatest(0, 1 - list_sum(ns) / sz.total)) as ref_shares
+  from rc join sz using (lang) join top using (lang)),
+j as (select c.*, ref_classes, ref_shares, words, length(text) as chars, len(ws) as n_words, coalesce(cov.n, 0) as n_repeat,
+   list_transform(words, lambda r: len(list_filter(ws, lambda x: x = r))) as common from c left join cov using (doc_id) left join ref using (lang)),
+k as (select *, case when words is not null and chars >= {MIN_CHARS} then {_js_sql('list_transform(classes, lambda x: x / chars)', 'ref_classes')} end as class_distance,
+   case when words is not null and n_words >= {MIN_WORDS} then {_js_sql('list_append(list_transform(common, lambda x: x / n_words), greatest(0, 1 - list_sum(common) / n_words))', 'ref_shares')} end as word_distance from j)
+select doc_id, cast(n_words as bigint) as n_words, cast(chars - classes[2] as bigint) as word_chars, cast(classes[6] as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(n_repeat as bigint) as n_repeat_words, n_words < 50 or 100 * n_repeat > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat > 50 * n_words) and not coalesce(class_distance > {CLASS_LIMIT} + {SLACK} * sqrt({N_CLASSES} / chars) or word_distance > {WORD_LIMIT} + {SLACK} * sqrt((len(words) + 1) / n_words), false) as kept,
+  round(class_distance, 6) as class_distance, round(word_distance, 6) as word_distance
+from (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from k)
+"""
