@@ -25,6 +25,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_format_chats": chat.OP3_SQL,
+        "op2_quality_rules": quality.OP2_SQL,
         "op4_decontaminate": decontaminate.OP4_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
+        "op7_near_duplicates": near.OP7_SQL,
     }

@@ -54,7 +54,8 @@ def fold(text: str | None) -> str:
             t = t.translate(_FULLWIDTH).lower().translate(_HOMOGLYPHS)
     if _LEET_SIGN.search(t):
         t = _MIXED.sub(lambda m: m[0].translate(_LEET), t)
-    return f" {_GAP.sub(' ', t).strip()} " if t.strip() else " "
+    words = _GAP.sub(" ", t).strip()
+    return f" {words} " if words else " "
 
 
 @dataclass
