@@ -255,10 +255,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node links to the node's least neighbour
         pairs = both_ways(edges)
-        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "n")
+        # both sides of each join are plain tables, so that Spark can split the edges of a node that thousands link to
+        least = staged(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "n"), "least")
         large = pairs.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = staged(large, "large-star")
         # small star: every smaller neighbour of a node, and the node, link to the least of them
-        least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n")
+        least = staged(large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n"), "least")
         small = large.join(least, F.col("b") == F.col("n"))
         edges = staged(small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "edges")
         now = total(edges)
@@ -339,3 +341,17 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+#: The same from all pairs that share a shingle, and everything that links reach.
+OP7_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(list_transform(range(1, greatest(1, len(ws) - 2) + 1), lambda i: array_to_string(ws[i:i + 2], ' '))) as sh from w where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (sh) where a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from shared join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+two as (select x, y from e union all select y, x from e),
+r as (select x, y from two union select r.x, two.y from r join two on r.y = two.x)
+select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, least(doc_id, coalesce(m, doc_id)) = doc_id as kept
+from w left join n using (doc_id) left join (select x as doc_id, min(y) as m from r group by x) using (doc_id)
+"""
