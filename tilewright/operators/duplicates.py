@@ -48,7 +48,7 @@ def suppressed(cfg: DetectionConfig, boxes: Column, frame_width: Column | None =
             grown = F.transform(kept, lambda k, i: F.when(i == at - 1, merged(k, new)).otherwise(k)) if cfg.duplicate_merge else kept
             return F.when(at == 0, F.concat(kept, F.array(new))).otherwise(grown)
         return F.transform(F.array(first), placed)[0]
-    return F.aggregate(F.array_sort(boxes), F.array().cast(f"array<{BOX}>"), step)
+    return F.aggregate(F.sort_array(boxes), F.array().cast(f"array<{BOX}>"), step)
 
 
 def frame_boxes(boxes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tilewright.functions import geometry as g
 from tilewright.functions.text import PLACEHOLDERS, fill_template
 from tilewright.operators import detect, duplicates
 from tilewright.shared import staged_path
-from tilewright.sources import adapters, files, tasks
+from tilewright.sources import adapters, camera, files, tasks
 from tilewright.streaming import live
 
 CFG = DetectionConfig(tile_grid="4x3")
@@ -263,6 +263,39 @@ def s8_payload_lines(spark, sf_dir):
 S8_SQL = f"select frame_id, tile_id, rank, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2, round(conf, 4) as conf, cls from ({DET})"
 
 
+def s2_tile_grids(spark, sf_dir):
+    """Columns and rows of grid texts, one per supplier."""
+    rows = adapters.relation(spark, sf_dir, "select s_suppkey, concat(cast(1+s_suppkey%7 as varchar(3)), case when s_suppkey%2=0 then 'x' else 'X' end, cast(1+s_suppkey%5 as varchar(3))) as grid from {supplier}")
+    cols, lines = tasks.parse_grid(F.col("grid"))
+    return rows.select("s_suppkey", cols.alias("cols"), lines.alias("rows"))
+
+
+def s5_camera_lines(spark, sf_dir):
+    """Tiles of 2,000 frames as a camera's lines with base64 images, read again."""
+    work = tasks.tasks(spark, MOCK)
+    image = F.base64(F.concat(F.lit("tile "), F.col("task_id").cast("string")).cast("binary"))
+    tile = work.select(F.concat(F.format_string("TILE %d %d %d %d %d %d %d ", "task_id", "frame_id", "tile_id", "x1", "y1", "x2", "y2"), image).alias("value"))
+    frame = work.where("tile_id = 0").select(F.format_string("FRAME %d 1280 720 1.5 eA==", "frame_id").alias("value"))
+    found = files.camera_lines(tile.unionByName(frame))[1]
+    return found.withColumn("image", F.decode("image", "UTF-8"))
+
+
+def s4_camera_tiles(spark, sf_dir):
+    """Tiles of frames as the camera cuts them, halves to even, on a 1001 x 502 frame."""
+    cfg = DetectionConfig(tile_grid="4x4", width=1001, height=502, overlap=32)
+    return camera.frame_tiles(cfg, frames_of(det(spark, sf_dir)))
+
+
+S4_SQL = f"""select frame_id, cast(t as int) as tile_id, cast(frame_id as bigint) * 16 + t as task_id, cast(greatest(0, round_even((t % 4) * 1001 / 4.0, 0) - 32) as int) as x1, cast(greatest(0, round_even((t // 4) * 502 / 4.0, 0) - 32) as int) as y1,
+ cast(least(1001, round_even((t % 4 + 1) * 1001 / 4.0, 0) + 32) as int) as x2, cast(least(502, round_even((t // 4 + 1) * 502 / 4.0, 0) + 32) as int) as y2
+from (select distinct frame_id from ({DET})) cross join (select unnest(range(16)) as t)"""
+
+
+def k9_viewer_lines(spark, sf_dir):
+    """K9: lines of a viewer for every live event."""
+    return camera.viewer_lines(live.dedup_frames(LIVE, _frames(spark, sf_dir)))
+
+
 def p11_commands(spark, sf_dir):
     """A command line per box from a template."""
     template = "detect {source} --tile {tile_id} --frame {frame_id} --box {x1},{y1},{x2},{y2} --conf {conf} {unknown}"
@@ -325,6 +358,10 @@ QUERIES = {
     "k2_bbox_table": (k2_bbox_table, K2_SQL),
     "j6_uncovered_boxes": (j6_uncovered_boxes, J6_SQL),
     "s8_payload_lines": (s8_payload_lines, S8_SQL),
+    "s2_tile_grids": (s2_tile_grids, "select s_suppkey, cast(1 + s_suppkey % 7 as int) as cols, cast(1 + s_suppkey % 5 as int) as rows from supplier"),
+    "s5_camera_lines": (s5_camera_lines, f"select cast(task_id as int) as task_id, frame_id, tile_id, x1, y1, x2, y2, 'tile ' || task_id as image from ({TASKS})"),
+    "s4_camera_tiles": (s4_camera_tiles, S4_SQL),
+    "k9_viewer_lines": (k9_viewer_lines, None),
     "p11_commands": (p11_commands, P11_SQL),
     "l4_anchor_policies": (l4_anchor_policies, None),
     "a10_temporal_dedup": (a10_temporal_dedup, None),
