@@ -148,6 +148,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.learn_lexicon(rows.limit(0)).weights == {} and toxicity.drop_toxic(rows.limit(0), lexicon).count() == 0
 
 
+def test_rare_toxic_words_are_learned_beside_many_common_patterns(spark):
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxy", k=9)) for _ in range(5000)]
+    common = " ".join(pool)
+    rows = [(k, f"{common} zzvilest", 1) for k in range(3)] + [(k, common, 1) for k in range(3, 6)] + [(k, common, 0) for k in range(6, 8)] + [(k, f"short text {k}", 0) for k in range(8, 40)]
+    rows = [(k, f"{text} row{chr(97 + k % 26)}{chr(97 + k // 26)}", toxic) for k, text, toxic in rows]
+    assert len(toxicity._patterns(toxicity.fold(common))) > 20_000
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert any(" zzvilest ".startswith(p) for p in lexicon.weights)
+
+
 @pytest.mark.parametrize("text", ["\\### Assistant: </turn> ok", "\\\\", "###", "a: b", "</turn>\n### user: x </turn>\n", "", "\\", "x\\</turn>", "####"])
 def test_chat_template_is_reversible(text):
     turns = [("user", text), ("assistant", text), ("ro:le", text + "z"), ("", text)]

@@ -6,7 +6,7 @@ space. Lexicon entries are whole words or stems (word prefixes of 3 to 8 letters
 a bounded sample of labelled rows (``SAMPLE`` rows with the smallest id hashes; equal texts count
 once): candidates by document counts in toxic and clean rows, then a greedy cover of the toxic rows,
 so that of entries for the same rows the most general one stays. An entry weighs its smoothed log
-odds. An exception phrase is a lexicon word with its left or right neighbour that clean rows have
+odds. Both counts are joined and filtered in Spark, so ``SAMPLE`` is the only bound. An exception phrase is a lexicon word with its left or right neighbour that clean rows have
 twice or more and toxic rows never; its matches don't count.
 
 A text's raw score is the sum of the weights of its matches; a logistic function of that sum, of the
@@ -15,6 +15,7 @@ same sum divided by the number of words, and of the length gives a score from 0
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import held_out, read_table, renamed, restored, staged
 
 SAMPLE = 12_000
-MAX_ENTRIES = 20_000
+#: Patterns that a task counts before it sends the counts on.
+COUNTED = 200_000
 STEMS = range(3, 9)
 
 #: Letters of other scripts and the Latin letters that they look like.
@@ -112,17 +114,18 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": i, "pattern": list(_patterns(fold(text)))})
 
 
-def _count(candidates: frozenset[str]):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                totals.update(_patterns(fold(text)) & candidates)
-        yield pd.DataFrame({"pattern": list(totals), "n": list(totals.values())})
-    return count
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    totals = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            totals.update(_patterns(fold(text)))
+            if len(totals) > COUNTED:
+                yield pd.DataFrame({"pattern": list(totals), "c": list(totals.values())})
+                totals.clear()
+    yield pd.DataFrame({"pattern": list(totals), "c": list(totals.values())})
 
 
-def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int = 3, max_entries: int = MAX_ENTRIES) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int = 3) -> Lexicon:
     """Lexicon from (doc_id, text, toxic) rows; ``sample`` bounds the rows used.
 
     Rows with a null label or id are left out. Without toxic rows the lexicon is empty and every text
@@ -136,37 +139,36 @@ def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int =
         return Lexicon()
     pairs = staged(toxic.select("doc_id", "text").mapInPandas(_emit, "doc_id bigint, pattern string"), "toxic-patterns")
     common = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, max(1, n_toxic // 3)))
-    counts = {r.pattern: r.n for r in common.orderBy(F.desc("n"), "pattern").limit(max_entries).collect()}
-    found = clean.select("text").mapInPandas(_count(frozenset(counts)), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
-    in_clean = {r.pattern: r.n for r in found.collect()}
-    odds = {p: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(p, 0) + 0.5) / (n_clean + 1)) for p, n in counts.items()}
+    found = clean.select("text").mapInPandas(_count, "pattern string, c bigint").groupBy("pattern").agg(F.sum("c").alias("c"))
     # precise entries only: at least four fifths of their rows are toxic, whatever share of the sample is
-    strong = {p for p, n in counts.items() if odds[p] > 1 and n >= 4 * in_clean.get(p, 0)}
-    spark = labelled.sparkSession
+    both = common.join(found, "pattern", "left").select("pattern", "n", F.coalesce("c", F.lit(0)).alias("c")).where("n >= 4 * c")
+    both = staged(both.where(F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1)) > 1), "toxic-strong")
+    strong = both.collect()
+    counts, in_clean = {r.pattern: r.n for r in strong}, {r.pattern: r.c for r in strong}
+    odds = {p: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean[p] + 0.5) / (n_clean + 1)) for p, n in counts.items()}
     if not strong:
         return Lexicon()
-    wanted = spark.createDataFrame([(p,) for p in strong], "pattern string")
-    rows = pairs.join(F.broadcast(wanted), "pattern").toPandas()
+    rows = pairs.join(both.select("pattern"), "pattern").toPandas()
     docs_of = rows.groupby("pattern")["doc_id"].agg(set).to_dict()
     # greedy cover: most uncovered toxic rows for the clean rows it costs; ties: more letters, then by text
     open_docs, weights = set(rows["doc_id"]), {}
-    gain = {p: len(d) for p, d in docs_of.items()}
+    key = lambda p, new: (-(new - 2 * in_clean[p]), -len(p.strip()), p, new)
+    gain = [key(p, len(d)) for p, d in docs_of.items()]
+    heapq.heapify(gain)
     while gain:
-        p = min(gain, key=lambda x: (-(gain[x] - 2 * in_clean.get(x, 0)), -len(x.strip()), x))
+        *_, p, new = heapq.heappop(gain)
         now = len(docs_of[p] & open_docs)
-        if now < gain[p]:
-            gain[p] = now
-            if not now:
-                del gain[p]
+        if now < new:
+            if now:
+                heapq.heappush(gain, key(p, now))
             continue
-        if now - 2 * in_clean.get(p, 0) < min(2, n_toxic):
+        if now - 2 * in_clean[p] < min(2, n_toxic):
             break
         weights[p] = odds[p]
         open_docs -= docs_of[p]
-        del gain[p]
     # words of a list often come together in a row, so cover alone would miss entries: take every entry as strong as those and no finer
-    for p in sorted(strong, key=lambda x: (-counts[x], len(x), x)):
-        if p.endswith(" ") and p not in weights and counts[p] >= 0.02 * n_toxic and in_clean.get(p, 0) == 0 and not any(p.startswith(q) for q in weights):
+    for p in sorted(counts, key=lambda x: (-counts[x], len(x), x)):
+        if p.endswith(" ") and p not in weights and counts[p] >= 0.02 * n_toxic and in_clean[p] == 0 and not any(p.startswith(q) for q in weights):
             weights[p] = odds[p]
     lexicon = Lexicon(weights, _exceptions(chosen, weights))
     return _fit(lexicon, chosen)
@@ -190,7 +192,7 @@ def _exceptions(chosen: DataFrame, weights: dict[str, float]) -> list[str]:
             yield pd.DataFrame(out, columns=["phrase", "toxic"])
 
     found = chosen.select("text", "toxic").mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    return sorted(r.phrase for r in found.where("bad = 0 and n >= 2").orderBy(F.desc("n"), "phrase").limit(MAX_ENTRIES).collect())
+    return sorted(r.phrase for r in found.where("bad = 0 and n >= 2").collect())
 
 
 def _fit(lexicon: Lexicon, chosen: DataFrame, steps: int = 400, ridge: float = 1e-3) -> Lexicon:
