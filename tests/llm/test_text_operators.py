@@ -121,6 +121,23 @@ def test_markov_ratio_on_held_out_samples():
     assert caught > 0.97 and wrong < 0.02
 
 
+def test_markov_finds_tokens_beside_ordinary_text():
+    ratio, rng = secrets.default_ratio(), random.Random(8)
+    markov = lambda text: [text[s:e] for s, e, k in secrets.find_secrets(text.encode(), ratio) if k == "markov"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters, letters + "0123456789"):
+        for front in ("", "session_cookie=", "webhook/services/", "/account/services/password/reset/confirm/", "client_registration_access_key_value="):
+            tokens = ["".join(rng.choices(alphabet, k=24)) for _ in range(200)]
+            assert sum(any(t in found for found in markov(f"see {front}{t} end")) for t in tokens) >= 190, (front, alphabet)
+    two = ["".join(rng.choices(letters, k=30)) for _ in range(2)]
+    assert markov(f"{two[0]}/account/services/password/reset/confirm/account/services/password/{two[1]}") == two
+    assert markov("x Qm7Zt9LwXkVb4RdeadbeefdeadbeefTq8WzJp5NcYh2K y") == ["Qm7Zt9LwXkVb4R", "Tq8WzJp5NcYh2K"]
+    for ruler in ("-" * 80, "=" * 5000, "xz" * 40, "account_service/password_reset_confirm/client_registration_key"):
+        assert markov(f"a {ruler} b") == []
+    ordinary = secrets.ordinary_samples(3600)[3000:]
+    assert sum(bool(markov(s)) for s in ordinary) / len(ordinary) < 0.02
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]

@@ -1,10 +1,13 @@
 """Secret scans: base patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov chains over ASCII characters are trained from labelled samples, one of random
-strings and one of ordinary identifiers. A run of token characters of ``min_run`` or more with at
-least one digit that no base span touches is a secret of kind ``markov`` if the mean log-likelihood
-ratio per character is at least ``threshold`` nats. Dots split runs, so addresses and file names fall apart
-into short pieces.
+strings and one of ordinary identifiers. A run of token characters of ``min_run`` or more is a secret
+of kind ``markov`` if its mean log-likelihood ratio per character is at least ``threshold`` nats. Of any
+other run the windows of at least ``min_run`` characters that exceed the threshold most are secrets, one
+after another, each widened to the next of ``=/_-``, so ordinary text beside a token does not hide it.
+A run or window of less than ``min_run`` / 2 different character pairs (a ruler, a stretched word) is not
+random. What base spans leave of a secret is one if its own mean reaches the threshold. Dots split runs,
+so addresses and file names fall apart into short pieces.
 
 Texts are scanned as UTF-8 bytes, whole, one row at a time; spans are turned into code points.
 """
@@ -13,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +85,45 @@ def default_ratio() -> np.ndarray:
 
 _HEX_MAP = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _RUN_MAP = bytes(104 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" else 32 for c in range(256))
-_DIGIT = re.compile(rb"[0-9]")
+_EDGES = b"=/_-"
+
+
+def _random_parts(run: bytes, ratio: np.ndarray, threshold: float, min_run: int) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: the whole of it, or its best windows."""
+    codes = np.frombuffer(b"\0" + run, np.uint8)
+    pairs = codes[:-1].astype(np.int32) * 128 + codes[1:]
+    sums = np.r_[0, np.cumsum(ratio[codes[:-1], codes[1:]] - threshold)]
+    varied = lambda a, z: len(np.unique(pairs[a:z])) >= min_run // 2
+    if sums[-1] >= 0:
+        return [(0, len(run))] if varied(0, len(run)) else []
+    out, open_parts = [], [(0, len(run))]
+    while open_parts:
+        lo, hi = open_parts.pop()
+        if hi - lo < min_run:
+            continue
+        least = np.minimum.accumulate(sums[lo:hi + 1 - min_run])
+        gains = sums[lo + min_run:hi + 1] - least
+        end = int(np.argmax(gains))
+        if gains[end] < 0:
+            continue
+        a, z = lo + int(np.argmin(sums[lo:lo + end + 1])), lo + min_run + end
+        if varied(a, z):
+            a = max([lo, *(run.rfind(c, lo, a) + 1 for c in _EDGES)])
+            z = min([hi, *(k for c in _EDGES if (k := run.find(c, z, hi)) >= 0)])
+            out.append((a, z))
+        open_parts += [(lo, a), (z, hi)]
+    return out
+
+
+def _left_of(a: int, z: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Pieces of [a, z) that no base span covers; ``base`` is sorted."""
+    out = []
+    for s, e, _ in base:
+        if s < z and a < e:
+            if a < s:
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, z)] if a < z else out
 
 
 def find_secrets(data: bytes, ratio: np.ndarray, threshold: float = THRESHOLD, min_run: int = MIN_RUN) -> list[tuple[int, int, str]]:
@@ -92,15 +135,22 @@ def find_secrets(data: bytes, ratio: np.ndarray, threshold: float = THRESHOLD, m
         base += [(*m.span(), "access") for m in _ACCESS.finditer(data) if len(m[0]) >= 18]
     if b"h" * 16 in data.translate(_HEX_MAP):
         base += [(*m.span(), "hex") for m in _HEX.finditer(data)]
-    found = list(base)
-    if _DIGIT.search(data) and b"h" * min_run in data.translate(_RUN_MAP):
+    found, base, first = list(base), sorted(base), 0
+    reach = [*accumulate((e for _, e, _ in base), max)]
+    if b"h" * min_run in data.translate(_RUN_MAP):
         for m in _RUN.finditer(data):
             a, z = m.span()
-            if z - a < min_run or not _DIGIT.search(m[0]) or any(s < z and a < e for s, e, _ in base):
+            if z - a < min_run:
                 continue
-            codes = np.frombuffer(b"\0" + m[0], np.uint8)
-            if ratio[codes[:-1], codes[1:]].mean() >= threshold:
-                found.append((a, z, "markov"))
+            while first < len(base) and reach[first] <= a:
+                first += 1
+            last = bisect_left(base, (z,), first)
+            for s, e in _random_parts(m[0], ratio, threshold, min_run):
+                left = _left_of(a + s, a + e, base[first:last])
+                if left != [(a + s, a + e)]:
+                    codes = np.frombuffer(b"\0" + m[0], np.uint8)
+                    left = [(x, y) for x, y in left if ratio[codes[x - a:y - a], codes[x - a + 1:y - a + 1]].mean() >= threshold]
+                found += [(x, y, "markov") for x, y in left]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
