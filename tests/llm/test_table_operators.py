@@ -173,6 +173,27 @@ def test_mixing_by_given_weights(spark):
     assert {r.row.source: r.mix_share for r in out} == {"a": 75, "b": 25} or {r.row.source: r.mix_share for r in out} == {"a": 74, "b": 26}
 
 
+@pytest.mark.parametrize("weights", [[70] + [1] * 30, [100_000] + [1] * 19, [1, 1, 1], [1] * 1500, [31623, 31622, 14142, 7]])
+def test_exact_mixing_stays_within_one_block_of_the_weights(weights):
+    total, ran = sum(weights), [0] * len(weights)
+    for s, b, slot in mixing.exact_slots(weights, [-(-4000 * w // total) + 1 for w in weights]):
+        assert b == ran[s] and b * total // weights[s] <= slot < -(-(b + 1) * total // weights[s])
+        ran[s] += 1
+        if slot < 4000:
+            assert sum(ran) == slot + 1 and all(abs(n * total - w * (slot + 1)) < total for n, w in zip(ran, weights))
+
+
+def test_mixing_takes_the_exact_weights_of_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 500)
+    rows = spark.range(6000).selectExpr("id as doc_id", "if(id < 3000, 'a', if(id < 4500, null, concat('s', id % 1100))) as source")
+    given = [("a", 7)] + [(f"s{k}", 1 + k % 2) for k in range(1100)]
+    out = mixing.mix_sources(rows, spark.createDataFrame(given, "source string, weight long"), block=1).collect()
+    assert len(out) == len({r.mix_slot for r in out}) == len({r.row.doc_id for r in out}) == 6000
+    want, total = {None: 1, **dict(given)}, 1 + sum(w for _, w in given)
+    assert all(r.mix_share == want[r.row.source] and r.mix_release == r.mix_block * total // r.mix_share <= r.mix_slot < r.mix_deadline == -(-(r.mix_block + 1) * total // r.mix_share) for r in out)
+    assert mixing.mix_sources(rows.limit(0)).count() == 0
+
+
 def test_url_rules_and_parts(spark):
     cases = {
         "http://A.example.com/en/x?q#f": ("A.example.com".lower(), "/en/x", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),

@@ -1,19 +1,31 @@
 """Mixing sources to target weights by Pfair scheduling with earliest deadline first.
 
-A source with ``share`` blocks in a cycle of ``cycle`` slots has weight w = share / cycle. Its block
-b (from 0) is released at slot floor(b / w) and due by slot ceil((b + 1) / w). In each slot the
-released block with the earliest deadline runs; ties go to the source that comes first by name.
-Shares add up to the cycle, so every block runs inside its window and after any number of slots each
-source is less than one block away from its weight, until a source runs dry.
-
-The schedule repeats after one cycle. Only that cycle is worked out (at most ``cycle`` slots, one
-row); every document then finds its slot with a join. Documents are ranked inside their source by
-the hash of their id in two steps, counts by hash prefix and then rows inside a prefix, so a source
-with a third of all rows is spread over as many partitions as it has prefixes.
+A source of weight w out of the total W has its block b (from 0) released at slot floor(b * W / w) and
+due by slot ceil((b + 1) * W / w). In each slot the released block with the earliest deadline runs; ties
+go to the source that comes first by name. The weights add up to W, so every block runs inside its
+window and after any number of slots each source is less than one block away from its weight, until a
+source runs dry.
+
+Without ``cycle`` the weights are the exact ones, for any number of sources. The blocks that exist are
+placed one after another in the driver, which holds a few numbers per source and sends ``CHUNK`` blocks
+at a time to a table; documents find their slot with a shuffled join. With ``cycle`` the weights are
+rounded to whole blocks in a cycle, at least one each, and the bound holds against these shares only:
+against the weights before rounding the error grows with every cycle. Only one cycle is worked out (at
+most ``cycle`` slots, one row), in Spark; OP6_SQL defines ``op6_mix_sources`` in this way.
+
+Documents are ranked inside their source by the hash of their id in two steps, counts by hash prefix
+and then rows inside a prefix, so a source with a third of all rows is spread over as many partitions
+as it has prefixes.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +34,8 @@ from tilewright.llm.common import read_table, staged
 
 CYCLE = 1000
 BLOCK = 16
+#: Blocks that the driver holds at a time.
+CHUNK = 500_000
 ROWS_PER_PREFIX = 2000
 
 
@@ -65,20 +79,70 @@ def cycle_schedule(shares: DataFrame, cycle: int) -> DataFrame:
         (F.row_number().over(turns) - 1).cast("long").alias("turn"), F.col("offset").cast("long").alias("offset"))
 
 
+def exact_slots(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of all ``blocks`` by slot, for positive ``weights``; slots that no block is released for stay empty."""
+    total = sum(weights)
+    waiting = [(0, s, 0) for s, n in enumerate(blocks) if n]  # one block per source at most, here or in ready
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(b + 1) * total // weights[s]), s, b))
+        _, s, b = heapq.heappop(ready)
+        yield s, b, slot
+        slot += 1
+        if b + 1 < blocks[s]:
+            heapq.heappush(waiting, ((b + 1) * total // weights[s], s, b + 1))
+
+
+def _exact_schedule(spark: SparkSession, counts: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
+    """(w_name, mix_share, total, t_block, mix_slot) of every block."""
+    if weights is None:
+        rows = counts.select("name", F.floor(F.sqrt("rows") * 1000).alias("weight"), "rows")
+    else:
+        given = weights.select(F.col("source").alias("given"), F.col("weight").cast("long").alias("weight"))
+        rows = counts.join(given, F.col("name").eqNullSafe(F.col("given")), "left").select("name", "weight", "rows")
+    sources = sorted(rows.collect(), key=lambda r: (r.name is not None, r.name if r.name is not None else 0))
+    shares = [max(1, r.weight or 0) for r in sources]
+    shares = [w // math.gcd(*shares) for w in shares]
+    kind = counts.schema["name"].dataType.simpleString()
+    table = spark.createDataFrame([(r.name, s, w, sum(shares)) for s, (r, w) in enumerate(zip(sources, shares))], f"w_name {kind}, source long, mix_share long, total long")
+    parts, chunk = [], []
+
+    def send() -> None:
+        columns = [pa.array(c, pa.int64()) for c in zip(*chunk)] or [pa.array([], pa.int64())] * 3
+        parts.append(staged(spark.createDataFrame(pa.table(columns, names=["t_source", "t_block", "mix_slot"])), "slots"))
+        chunk.clear()
+
+    for row in exact_slots(shares, [-(-r.rows // block) for r in sources]):
+        chunk.append(row)
+        if len(chunk) == CHUNK:
+            send()
+    if chunk or not parts:
+        send()
+    slots = reduce(DataFrame.unionByName, parts)
+    return slots.join(staged(table, "shares"), F.col("t_source") == F.col("source")).drop("t_source", "source")
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "source", doc_id: str = "doc_id",
-                cycle: int = CYCLE, block: int = BLOCK) -> DataFrame:
+                cycle: int | None = None, block: int = BLOCK) -> DataFrame:
     """All columns of ``docs`` as struct ``row`` with mix_share, mix_block, mix_slot, mix_release, mix_deadline.
 
     Reading by (mix_slot, mix_rank) gives the mix: block after block, ``block`` documents in each.
     A null source is a source of its own. Null ids come first in their source. Equal ids and repeated
     rows keep separate places. A source that has run dry leaves its slots empty; nothing is dropped.
-    An empty table gives no rows. More sources than ``cycle`` slots are an error.
+    An empty table gives no rows. Without ``cycle`` mix_share is the weight, divided by what all weights
+    share; a source without a positive weight weighs 1. With it, mix_share is the rounded share, and more
+    sources than slots are an error.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("name"),
                        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("hash"))
     counts = rows.groupBy("name").agg(F.count("*").alias("rows"))
     n_sources, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    if n_sources > cycle:
+    if cycle is not None and n_sources > cycle:
         raise ValueError(f"{n_sources} sources don't fit a cycle of {cycle} slots")
     digits = 1
     while digits < 8 and n_rows > ROWS_PER_PREFIX * 16 ** digits:
@@ -90,6 +154,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
     inside = Window.partitionBy("name", "prefix").orderBy("hash", F.col(f"row.{doc_id}"))
     ranked = rows.join(starts, F.col("name").eqNullSafe(F.col("s_name")) & (F.col("prefix") == F.col("s_prefix"))).select(
         "row", "name", (F.col("start") + F.row_number().over(inside) - 1).alias("mix_rank"))
+    if cycle is None:
+        slots = _exact_schedule(docs.sparkSession, counts, weights, block)
+        numbered = ranked.withColumn("mix_block", F.expr(f"mix_rank div {block}"))
+        return numbered.join(slots, F.col("name").eqNullSafe(F.col("w_name")) & (F.col("mix_block") == F.col("t_block"))).selectExpr(
+            "row", "mix_rank", "mix_share", "mix_block", "mix_slot", "mix_block * total div mix_share as mix_release", "((mix_block + 1) * total + mix_share - 1) div mix_share as mix_deadline")
     slots = staged(cycle_schedule(staged(source_shares(counts, weights, cycle), "shares"), cycle), "cycle")
     shares = slots.groupBy("name").agg(F.first("share").cast("long").alias("mix_share")).withColumnRenamed("name", "w_name")
     numbered = ranked.join(F.broadcast(shares), F.col("name").eqNullSafe(F.col("w_name"))).withColumn("mix_block", F.expr(f"mix_rank div {block}"))
@@ -102,7 +171,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its place in the mix."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs).select("row.doc_id", "row.source", "mix_rank", "mix_share", "mix_block", "mix_slot", "mix_release", "mix_deadline")
+    return mix_sources(docs, cycle=CYCLE).select("row.doc_id", "row.source", "mix_rank", "mix_share", "mix_block", "mix_slot", "mix_release", "mix_deadline")
 
 
 #: The same by a recursive query over the slots of one cycle.
