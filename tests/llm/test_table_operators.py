@@ -73,7 +73,7 @@ PAGE = ("<html><body class='has-sidebar'><header><h1>Site</h1></header><nav><ul>
 
 @pytest.mark.parametrize(("page", "text"), [
     (PAGE, "Title First & bold para with a link. Second. Line Third."), ("", ""), (None, ""), ("<div>", ""), ("just a line of text", "just a line of text"), ("<p>a<p>b", "a b"), ("<p>cut &am", "cut &am"),
-    ("<p>a < b and \"c\" > d</p>", "a < b and \"c\" > d"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<article><p>x</p><pre>y  z</pre></article>", "x y z"), ("<nav>menu</nav>", "")])
+    ("<p>a < b and \"c\" > d</p>", "a < b and \"c\" > d"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<article><p>x</p><pre>y  z</pre></article>", "x y z"), ("<nav>menu</nav>", ""), ("<form>Mail <button>Go</button></form>", "")])
 def test_page_texts(page, text):
     assert pages.extract(page) == text
 
