@@ -7,10 +7,14 @@ least k - floor((1 - t) n) >= 1 sketch hashes are in any document that contains
 search loses no pair, however long the document is and wherever in it the shingles stand. A
 document of fewer distinct shingles than t times the class's least size is out for the whole class.
 
-A document is one row from the scan to the result: its shingle hashes meet the sketches in its own
-row, candidates are verified there by looking for every shingle of the item in the document's words,
-and nothing is shuffled. What reaches all tasks is the benchmark, in blocks of at most ``block`` items
-of at most ``item_words`` words together; a larger benchmark takes one pass over the documents a block.
+The items alone are sketched. A sketch of a document would be its smallest hashes, and a short item
+inside a long document has next to none of these, so the sketches of a class are looked up in all hashes
+of a document instead; that is the containment form of the search, and it is lossless.
+
+A benchmark of at most ``block`` items and ``item_words`` words goes to the documents as one bounded row:
+a document is then one row from the scan to the result, and nothing is shuffled. A larger one, of any
+size, is an index of (sketch hash, item) that the documents' hashes are joined with; candidates (text,
+item) are verified by a join on (text, shingle). Both give the same leaks in one pass of the search.
 """
 
 from __future__ import annotations
@@ -24,10 +28,9 @@ from tilewright.llm.common import bound, read_table, renamed, restored, staged,
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
-#: Items and words in a block of the benchmark.
+#: Items and words of a benchmark that is sent to the documents as one row.
 BLOCK = 500
 ITEM_WORDS = 200_000
-LEAKS = "array<struct<item_id:bigint,n_item:int,n_shared:int>>"
 
 
 def _gather(words: str, k: int) -> str:
@@ -54,12 +57,21 @@ def benchmark_items(benchmark: DataFrame, *, item_id: str = "item_id", text: str
                         "sketch", (F.size("sketch") - spare).cast("int").alias("need"), F.expr(f"cast(lower * {percent} div 100 as int)").alias("least"))
 
 
-def _one_block(docs: DataFrame, items: DataFrame, text: str, lengths: list[int], percent: int) -> DataFrame:
+def _lengths(items: DataFrame) -> list[int]:
+    return sorted(r.k for r in items.select("k").distinct().collect())
+
+
+def _hashes(words: str, lengths: list[int]) -> Column:
+    """Hashes of the windows of all ``lengths`` in the array column ``words``."""
+    return F.flatten(F.array(*[F.expr(_gather(words, k)) for k in lengths])) if len(lengths) > 1 else F.expr(_gather(words, lengths[0]))
+
+
+def _by_one_row(docs: DataFrame, items: DataFrame, text: str, percent: int, kind: str) -> DataFrame:
+    """``docs`` with ``_leaks``, for a benchmark that fits into a row."""
     sketches = items.select(F.explode("sketch").alias("h")).agg(F.sort_array(F.collect_set("h"))).scalar()
     table = items.agg(F.sort_array(F.collect_list(F.struct("item_id", "k", "n", "need", "least", "sketch", "shingles")))).scalar()
-    hashes = F.flatten(F.array(*[F.expr(_gather("_words", k)) for k in lengths])) if len(lengths) > 1 else F.expr(_gather("_words", lengths[0]))
     rows = bound(docs, "_words", words_of(F.lower(F.col(text))))
-    rows = bound(rows, "_hashes", hashes)
+    rows = bound(rows, "_hashes", _hashes("_words", _lengths(items)))
     rows = bound(rows, "_hits", F.array_intersect("_hashes", sketches))
     rows = bound(rows, "_items", F.when(F.size("_hits") > 0, table))
 
@@ -74,45 +86,63 @@ def _one_block(docs: DataFrame, items: DataFrame, text: str, lengths: list[int],
 
     joined = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     once = F.transform(F.array(F.struct(joined.alias("joined"), F.size(F.array_distinct("_hashes")).alias("size"))), lambda x: verified(x.joined, x.size))[0]
-    return bound(rows, "_leaks", F.when(F.size("_hits") > 0, once).otherwise(F.array().cast(LEAKS)))
+    return bound(rows, "_leaks", F.when(F.size("_hits") > 0, once).otherwise(F.array().cast(kind))).drop("_words", "_hashes", "_hits", "_items")
+
+
+def _by_index(docs: DataFrame, items: DataFrame, text: str, percent: int, kind: str) -> DataFrame:
+    """``docs`` with ``_leaks``, for a benchmark of any size: leaks are worked out once for each different text."""
+    items = staged(items.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
+    lengths = _lengths(items)
+    rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    hashed = bound(rows.select("_digest", text), "_words", words_of(F.lower(F.col(text))))
+    hashed = bound(hashed, "_hashes", F.array_distinct(_hashes("_words", lengths)))
+    index = items.select("item", "need", "least", F.explode("sketch").alias("h"))
+    hits = hashed.select("_digest", F.size("_hashes").alias("size"), F.explode("_hashes").alias("h")).join(index, "h").where("least <= size").select("_digest", "item", "need", "h").distinct()
+    found = staged(hits.groupBy("_digest", "item").agg(F.count("*").alias("n_hits"), F.first("need").alias("need")).where("n_hits >= need").select("_digest", "item"), "candidates")
+    # every shingle of a candidate's item against those of the text; both sides are dealt by text and shingle
+    asked = found.join(items.select("item", F.explode("shingles").alias("s")), "item")
+    texts = bound(rows.join(found.select("_digest").distinct(), "_digest").select("_digest", text), "_words", words_of(F.lower(F.col(text))))
+    there = reduce(DataFrame.unionByName, [texts.where(F.size("_words") >= k).select("_digest", F.explode(F.expr(
+        f"transform(sequence(0, size(_words) - {k}), i -> concat(' ', array_join(slice(_words, i + 1, {k}), ' '), ' '))")).alias("s")) for k in lengths]).distinct()
+    counts = asked.join(there, ["_digest", "s"]).groupBy("_digest", "item").agg(F.count("*").cast("int").alias("n_shared"))
+    leaks = counts.join(items.select("item", "item_id", F.col("n").alias("n_item")), "item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    leaks = staged(leaks.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("item_id", "n_item", "n_shared"))).alias("_found")), "leaks")
+    return rows.join(leaks, "_digest", "left").withColumn("_leaks", F.coalesce("_found", F.array().cast(kind))).drop("_digest", "_found")
+
+
+def _with_leaks(rows: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, shingle: int, percent: int, block: int, item_words: int, least_words: int) -> DataFrame:
+    items = staged(benchmark_items(benchmark, item_id=item_id, text=item_text, shingle=shingle, percent=percent).where(F.col("n_words") >= least_words), "items")
+    kind = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},n_item:int,n_shared:int>>"
+    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    if not n_items:
+        return rows.withColumn("_leaks", F.array().cast(kind))
+    return (_by_one_row if n_items <= block and n_words <= item_words else _by_index)(rows, items, text, percent, kind)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT, block: int = BLOCK, item_words: int = ITEM_WORDS) -> DataFrame:
+               shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT, block: int = BLOCK, item_words: int = ITEM_WORDS, least_words: int = 1) -> DataFrame:
     """``docs`` with array ``leaks`` of (item_id, n_item, n_shared): the items that a document contains.
 
     An item is contained if at least ``percent`` hundredths of its distinct shingles are in the document.
-    Words are lower-cased. Null and empty texts contain nothing; an empty benchmark leaks nothing. A column
-    named leaks is replaced; all others pass through. Repeated rows stay. Ties don't arise: every item that
-    reaches the limit is listed, by id. An item of over ``item_words`` words is an error.
+    Items of fewer words than ``least_words`` are left out. Words are lower-cased. Null and empty texts
+    contain nothing; an empty benchmark leaks nothing. A column named leaks is replaced, in any case of
+    letters; all others pass through. Repeated rows stay. Ties don't arise: every item that reaches the
+    limit is listed, by id; equal items each for itself. Ids may be of any type that sorts.
     """
-    items = staged(benchmark_items(benchmark, item_id=item_id, text=item_text, shingle=shingle, percent=percent).withColumn("item_id", F.col("item_id").cast("bigint")), "items")
     rows, names = renamed(docs)
-    text = next(new for new, old in names.items() if old == text)
-    kept = restored(names, ("leaks",))
-    n_items, n_words, largest = items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
-    if not n_items:
-        return rows.select(*kept, F.array().cast(LEAKS).alias("leaks"))
-    if largest > item_words:
-        raise ValueError(f"a test item of {largest} words; {item_words} at most")
-    lengths = sorted(r.k for r in items.select("k").distinct().collect())
-    n_blocks = max(-(-n_items // block), -(-n_words // item_words) * 2 if n_words > item_words else 1)
-    if n_blocks == 1:
-        return _one_block(rows, items, text, lengths, percent).select(*kept, F.col("_leaks").alias("leaks"))
-    # blocks by hash of the shingles: equal items share a block, others are dealt evenly
-    leaks, out = [], rows
-    for b in range(n_blocks):
-        part = staged(items.where(F.pmod(F.xxhash64("shingles"), F.lit(n_blocks)) == b), "items-block")
-        if part.isEmpty():
-            continue
-        out = _one_block(out, part, text, lengths, percent).withColumnRenamed("_leaks", f"_leaks{b}").drop("_words", "_hashes", "_hits", "_items")
-        leaks.append(f"_leaks{b}")
-    return out.select(*kept, F.array_sort(F.flatten(F.array(*leaks))).alias("leaks"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that contain a test item; other rows and all columns stay as they are."""
-    return find_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns if c != "leaks"])
+    found = _with_leaks(rows, benchmark, next(new for new, old in names.items() if old == text), item_id, item_text, shingle, percent, block, item_words, least_words)
+    return found.select(*restored(names, ("leaks",)), F.col("_leaks").alias("leaks"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT, block: int = BLOCK, item_words: int = ITEM_WORDS, least_words: int = SHINGLE) -> DataFrame:
+    """``docs`` without the documents that contain a test item; other rows and all columns stay as they are.
+
+    Items of fewer than ``least_words`` words, which ordinary text may have by chance, drop nothing.
+    """
+    rows, names = renamed(docs)
+    found = _with_leaks(rows, benchmark, next(new for new, old in names.items() if old == text), item_id, item_text, shingle, percent, block, item_words, least_words)
+    return found.where(F.size("_leaks") == 0).select(*restored(names))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
