@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.shared import clear_staged, staged, staged_path
 
-__all__ = ["SPACE", "WORD", "bound", "clear_staged", "held_out", "lower_ascii", "read_table", "renamed", "restored", "staged", "staged_path", "words_of"]
+__all__ = ["SPACE", "WORD", "bound", "clear_staged", "held_out", "lower_ascii", "read_table", "renamed", "restored", "row_hash", "staged", "staged_path", "words_of"]
 
 #: White space as the word contract has it: a space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,11 @@ def restored(names: dict[str, str], without: tuple[str, ...] = ()) -> list[Colum
     return [F.col(now).alias(old) for now, old in names.items() if old.lower() not in without]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of ``df``, maps as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` worked out once per row, whatever filters or lambdas use it later.
 

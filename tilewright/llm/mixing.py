@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.llm.common import read_table, staged
+from tilewright.llm.common import read_table, row_hash, staged
 
 CYCLE = 1000
 BLOCK = 16
@@ -132,14 +132,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
     """All columns of ``docs`` as struct ``row`` with mix_share, mix_block, mix_slot, mix_release, mix_deadline.
 
     Reading by (mix_slot, mix_rank) gives the mix: block after block, ``block`` documents in each.
-    A null source is a source of its own. Null ids come first in their source. Equal ids and repeated
-    rows keep separate places. A source that has run dry leaves its slots empty; nothing is dropped.
+    A null source is a source of its own. Null ids count as empty text. Equal ids are placed by a hash of
+    their rows, and repeated rows keep separate places. A source that has run dry leaves its slots empty; nothing is dropped.
     An empty table gives no rows. Without ``cycle`` mix_share is the weight, divided by what all weights
     share; a source without a positive weight weighs 1. With it, mix_share is the rounded share, and more
     sources than slots are an error.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("name"),
-                       F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("hash"))
+                       F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("hash"), row_hash(docs).alias("rest"))
     counts = rows.groupBy("name").agg(F.count("*").alias("rows"))
     n_sources, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if cycle is not None and n_sources > cycle:
@@ -151,7 +151,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
     before = Window.partitionBy("name").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("name", "prefix").agg(F.count("*").alias("n")).select(
         F.col("name").alias("s_name"), F.col("prefix").alias("s_prefix"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("name", "prefix").orderBy("hash", F.col(f"row.{doc_id}"))
+    inside = Window.partitionBy("name", "prefix").orderBy("hash", F.col(f"row.`{doc_id}`"), "rest")
     ranked = rows.join(starts, F.col("name").eqNullSafe(F.col("s_name")) & (F.col("prefix") == F.col("s_prefix"))).select(
         "row", "name", (F.col("start") + F.row_number().over(inside) - 1).alias("mix_rank"))
     if cycle is None:
@@ -168,6 +168,17 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
         f"mix_block * {cycle} div mix_share as mix_release", f"((mix_block + 1) * {cycle} + mix_share - 1) div mix_share as mix_deadline")
 
 
+def mixed(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
+    """``docs`` with mix_slot, mix_rank and mix_block; a name that ``docs`` has already gets a _ at its end, and the column given stays."""
+    taken = {c.lower() for c in docs.columns}
+    names = {}
+    for name in ("mix_slot", "mix_rank", "mix_block"):
+        names[name] = name
+        while names[name] in taken:
+            names[name] += "_"
+    return mix_sources(docs, weights, **options).select("row.*", *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its place in the mix."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
