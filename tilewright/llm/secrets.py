@@ -2,11 +2,11 @@
 
 Two first-order Markov chains over ASCII characters are trained from labelled samples, one of random
 strings and one of ordinary identifiers. A run of token characters of ``min_run`` or more is a secret
-of kind ``markov`` if its mean log-likelihood ratio per character is at least ``threshold`` nats. Of any
-other run the windows of at least ``min_run`` characters that exceed the threshold most are secrets, one
+of kind ``markov`` if its mean log-likelihood ratio per character is at least ``threshold`` nats and the
+ratio of the whole at least ``evidence`` nats, so short runs must be the more certain. Of any other run the windows of at least ``min_run`` characters that exceed the threshold most are secrets, one
 after another, each widened to the next of ``=/_-``, so ordinary text beside a token does not hide it.
 A run or window of less than ``min_run`` / 2 different character pairs (a ruler, a stretched word) is not
-random. What base spans leave of a secret is one if its own mean reaches the threshold. Dots split runs,
+random. UUIDs name things and are no secrets; they end a run. What base spans leave of a secret is one if its own mean reaches the threshold. Dots split runs,
 so addresses and file names fall apart into short pieces.
 
 Texts are scanned as UTF-8 bytes, whole, one row at a time; spans are turned into code points.
@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import read_table
+from tilewright.llm.common import read_table, renamed
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]+")
-MIN_RUN = 20
+_UUID = re.compile(rb"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
+MIN_RUN = 16
 THRESHOLD = 0.5
+EVIDENCE = 12.0
 
 #: Words that identifiers are made of.
 _WORDS = ("account address array async base batch buffer build cache call check client code column config connection content context control count create current "
@@ -88,14 +90,14 @@ _RUN_MAP = bytes(104 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvw
 _EDGES = b"=/_-"
 
 
-def _random_parts(run: bytes, ratio: np.ndarray, threshold: float, min_run: int) -> list[tuple[int, int]]:
+def _random_parts(run: bytes, ratio: np.ndarray, threshold: float, min_run: int, evidence: float) -> list[tuple[int, int]]:
     """(start, end) of what is random in a run: the whole of it, or its best windows."""
     codes = np.frombuffer(b"\0" + run, np.uint8)
     pairs = codes[:-1].astype(np.int32) * 128 + codes[1:]
     sums = np.r_[0, np.cumsum(ratio[codes[:-1], codes[1:]] - threshold)]
-    varied = lambda a, z: len(np.unique(pairs[a:z])) >= min_run // 2
+    certain = lambda a, z: sums[z] - sums[a] + threshold * (z - a) >= evidence and len(np.unique(pairs[a:z])) >= min_run // 2
     if sums[-1] >= 0:
-        return [(0, len(run))] if varied(0, len(run)) else []
+        return [(0, len(run))] if certain(0, len(run)) else []
     out, open_parts = [], [(0, len(run))]
     while open_parts:
         lo, hi = open_parts.pop()
@@ -107,7 +109,7 @@ def _random_parts(run: bytes, ratio: np.ndarray, threshold: float, min_run: int)
         if gains[end] < 0:
             continue
         a, z = lo + int(np.argmin(sums[lo:lo + end + 1])), lo + min_run + end
-        if varied(a, z):
+        if certain(a, z):
             a = max([lo, *(run.rfind(c, lo, a) + 1 for c in _EDGES)])
             z = min([hi, *(k for c in _EDGES if (k := run.find(c, z, hi)) >= 0)])
             out.append((a, z))
@@ -126,7 +128,17 @@ def _left_of(a: int, z: int, base: list[tuple[int, int, str]]) -> list[tuple[int
     return [*out, (a, z)] if a < z else out
 
 
-def find_secrets(data: bytes, ratio: np.ndarray, threshold: float = THRESHOLD, min_run: int = MIN_RUN) -> list[tuple[int, int, str]]:
+def _runs(data: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of token characters, without the UUIDs in them."""
+    for m in _RUN.finditer(data):
+        at = m.start()
+        for u in _UUID.finditer(data, *m.span()) if m.end() - at >= 36 else ():
+            yield at, u.start()
+            at = u.end()
+        yield at, m.end()
+
+
+def find_secrets(data: bytes, ratio: np.ndarray, threshold: float = THRESHOLD, min_run: int = MIN_RUN, evidence: float = EVIDENCE) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes by start, then by kind as in KINDS."""
     base = []
     if b"=" in data or b":" in data:
@@ -138,17 +150,16 @@ def find_secrets(data: bytes, ratio: np.ndarray, threshold: float = THRESHOLD, m
     found, base, first = list(base), sorted(base), 0
     reach = [*accumulate((e for _, e, _ in base), max)]
     if b"h" * min_run in data.translate(_RUN_MAP):
-        for m in _RUN.finditer(data):
-            a, z = m.span()
+        for a, z in _runs(data):
             if z - a < min_run:
                 continue
             while first < len(base) and reach[first] <= a:
                 first += 1
-            last = bisect_left(base, (z,), first)
-            for s, e in _random_parts(m[0], ratio, threshold, min_run):
+            last, run = bisect_left(base, (z,), first), data[a:z]
+            for s, e in _random_parts(run, ratio, threshold, min_run, evidence):
                 left = _left_of(a + s, a + e, base[first:last])
                 if left != [(a + s, a + e)]:
-                    codes = np.frombuffer(b"\0" + m[0], np.uint8)
+                    codes = np.frombuffer(b"\0" + run, np.uint8)
                     left = [(x, y) for x, y in left if ratio[codes[x - a:y - a], codes[x - a + 1:y - a + 1]].mean() >= threshold]
                 found += [(x, y, "markov") for x, y in left]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
@@ -165,7 +176,7 @@ def _code_points(data: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[i
 
 
 def scan_secrets(docs: DataFrame, *, text: str = "text", random: list[str] | None = None, ordinary: list[str] | None = None,
-                 threshold: float = THRESHOLD, min_run: int = MIN_RUN) -> DataFrame:
+                 threshold: float = THRESHOLD, min_run: int = MIN_RUN, evidence: float = EVIDENCE) -> DataFrame:
     """``docs`` with array ``secret_spans`` of (start, end, kind) in code points and ``redacted`` text.
 
     A null text has no spans and stays null; an empty one stays empty. Overlapping spans are redacted
@@ -182,7 +193,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", random: list[str] | Non
             spans, redacted = [], []
             for value in column.cast(pa.binary()).to_pylist():
                 data = value or b""
-                found = find_secrets(data, ratio, threshold, min_run)
+                found = find_secrets(data, ratio, threshold, min_run, evidence)
                 if found:
                     out, at = [], 0
                     for s, e, k in found:
@@ -197,6 +208,20 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", random: list[str] | Non
     return docs.mapInArrow(scan, schema)
 
 
+def redact_secrets(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by its kind in brackets, and ``n_chars``, if there, counted anew in these rows.
+
+    All rows stay, and all other columns whatever their names.
+    """
+    rows, names = renamed(docs)
+    now = {old: new for new, old in names.items()}
+    found = F.size("secret_spans") > 0
+    changed = {text: F.when(found, F.col("redacted")).otherwise(F.col(now[text]))}
+    if n_chars in now:
+        changed[n_chars] = F.when(found, F.length("redacted").cast(docs.schema[n_chars].dataType)).otherwise(F.col(now[n_chars]))
+    return scan_secrets(rows, text=now[text], **options).select(*[changed.get(old, F.col(new)).alias(old) for new, old in names.items()])
+
+
 def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans in every whole text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
