@@ -125,14 +125,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"pattern": list(totals), "c": list(totals.values())})
 
 
-def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int = 3) -> Lexicon:
-    """Lexicon from (doc_id, text, toxic) rows; ``sample`` bounds the rows used.
+def learn_lexicon(labelled: DataFrame, *, min_docs: int = 3) -> Lexicon:
+    """Lexicon from (doc_id, text, toxic) rows.
 
-    Rows with a null label or id are left out. Without toxic rows the lexicon is empty and every text
+    Rows with a null label or id are left out. Equal texts count once, as toxic if one of them is. Without toxic rows the lexicon is empty and every text
     scores alike.
     """
     chosen = labelled.where("toxic is not null and doc_id is not null").select("doc_id", "toxic", "text")
-    chosen = staged(chosen.dropDuplicates(["text"]), "toxic-sample")
+    chosen = staged(chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxic-sample")
     toxic, clean = chosen.where("toxic = 1"), chosen.where("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic:
@@ -148,10 +148,12 @@ def learn_lexicon(labelled: DataFrame, *, sample: int = SAMPLE, min_docs: int =
     odds = {p: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean[p] + 0.5) / (n_clean + 1)) for p, n in counts.items()}
     if not strong:
         return Lexicon()
-    rows = pairs.join(both.select("pattern"), "pattern").toPandas()
-    docs_of = rows.groupby("pattern")["doc_id"].agg(set).to_dict()
+    # of patterns with the same toxic rows only the first in the cover's order can be taken; so copies of a long text send each set of rows once
+    rows = pairs.join(both.select("pattern", "c"), "pattern").groupBy("pattern", "c").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    first = F.min_by("pattern", F.struct("c", -F.length(F.trim("pattern")), "pattern"))
+    docs_of = {r.pattern: set(r.docs) for r in rows.groupBy("docs").agg(first.alias("pattern")).collect()}
     # greedy cover: most uncovered toxic rows for the clean rows it costs; ties: more letters, then by text
-    open_docs, weights = set(rows["doc_id"]), {}
+    open_docs, weights = set().union(*docs_of.values()), {}
     key = lambda p, new: (-(new - 2 * in_clean[p]), -len(p.strip()), p, new)
     gain = [key(p, len(d)) for p, d in docs_of.items()]
     heapq.heapify(gain)
