@@ -8,7 +8,6 @@ columns of ``documents``; the last adds each document's place in the mix.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, mixing, near, secrets, toxicity
 from tilewright.llm.common import read_table, staged
@@ -33,21 +32,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without four fifths of the 5-word shingles of any test item."""
+    """Documents without four fifths of the 5-word shingles of any test item of five words or more."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in a text replaced by its kind in brackets; n_chars follows the text."""
-    scanned = secrets.scan_secrets(docs)
-    found = F.size("secret_spans") > 0
-    return scanned.withColumn("text", F.when(found, F.col("redacted")).otherwise(F.col("text"))).withColumn(
-        "n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with mix_slot, mix_rank and mix_block: reading by (mix_slot, mix_rank) gives the mix."""
-    return mixing.mix_sources(docs).select("row.*", "mix_slot", "mix_rank", "mix_block")
+    """All documents with mix_slot, mix_rank and mix_block (with _ at the end where documents have such a name): reading by (mix_slot, mix_rank) gives the mix."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
