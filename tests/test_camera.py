@@ -27,5 +27,5 @@ def test_files_are_found_below_a_folder(spark, tmp_path):
 
 
 def test_viewer_lines(spark):
-    events = spark.createDataFrame([("c", 3, 1, 4, 0.0, [(0, 0, 1.0, 2.0, 3.0, 4.0, 0.5, 0)])], live.EVENT)
+    events = spark.createDataFrame([("c", 3, 1, 4, 0.0, 0.5, [(0, 0, 1.0, 2.0, 3.0, 4.0, 0.5, 0)])], live.EVENT)
     assert [r.line for r in camera.viewer_lines(events).orderBy("place").collect()] == ["FRAME 3 1", "BOX 1.0000 2.0000 3.0000 4.0000 0.5000", "END_FRAME 3"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.config import DetectionConfig
+from tilewright.functions.geometry import BOX, duplicate, near_camera_duplicate, temporal_match
 from tilewright.operators.duplicates import frame_spine
 from tilewright.streaming import live
 
@@ -71,6 +75,51 @@ def test_stream_equals_table_and_plain_fold(spark, tmp_path):
 
 def test_closing_pass_can_lose_a_box_whose_grown_centre_left_its_tile(spark):
     cfg = DetectionConfig(tile_grid="4x3", live=True)
-    event = [("cam", 0, 1, 12, 1.0, [(0, 0, 300.0, 10.0, 400.0, 90.0, 0.5, 0)])]
+    event = [("cam", 0, 1, 12, 1.0, 2.0, [(0, 0, 300.0, 10.0, 400.0, 90.0, 0.5, 0)])]
     events = spark.createDataFrame(event, live.EVENT)
     assert live.final_counts(cfg, frame_spine(spark, 0, 1), events).first().person_count == 0
+
+
+def random_boxes(rng, n, cls=1):
+    out = []
+    for k in range(n):
+        x, y = rng.randint(0, 600), rng.randint(0, 300)
+        out.append(box(x, y, x + rng.randint(-5, 700), y + rng.randint(-5, 400), rng.choice([0.3, 0.5, 0.9]), rng.randint(0, 3), rng.randint(0, cls)))
+    return out
+
+
+def test_plain_rules_equal_the_column_rules(spark):
+    rng = random.Random(1)
+    cfg = DetectionConfig(tile_grid="4x3", live=True, live_temporal_dedup=True, duplicate_near_camera=True)
+    pairs = [(a, b) for a, b in zip(random_boxes(rng, 400), random_boxes(rng, 400))]
+    rows = spark.createDataFrame([(k, tuple(a.values()), tuple(b.values())) for k, (a, b) in enumerate(pairs)], f"k int, a {BOX}, b {BOX}")
+    a, b = F.col("a"), F.col("b")
+    out = {r.k: tuple(r)[1:] for r in rows.select("k", temporal_match(cfg, a, b), near_camera_duplicate(cfg, a, b, F.lit(1280), F.lit(720)), duplicate(cfg, a, b)).collect()}
+    want = {k: (live.matches(cfg, a, b), live.near_camera(cfg, a, b, 1280, 720), live.same_object(cfg, a, b, 1280, 720)) for k, (a, b) in enumerate(pairs)}
+    assert out == want and all(0 < sum(w[k] for w in want.values()) < 400 for k in range(3))
+
+
+def test_near_camera_parts_are_one_after_the_temporal_pass():
+    cfg = DetectionConfig(tile_grid="2x1", live=True, live_temporal_dedup=True, duplicate_near_camera=True)
+    halves = [box(300, 0, 640, 700, 0.8, 0), box(640, 0, 980, 700, 0.7, 1)]
+    old = [box(1100, 0, 1200, 50)]
+    assert len(live.dedup(cfg, halves, old, 1280, 720)) == 1
+    assert len(live.dedup(DetectionConfig(tile_grid="2x1", live=True, live_temporal_dedup=True), halves, old, 1280, 720)) == 2
+
+
+def test_pieces_give_what_the_whole_sequence_gives(spark, monkeypatch):
+    monkeypatch.setattr(live, "SPAN", 7)
+    rng = random.Random(2)
+    cfg = DetectionConfig(tile_grid="1x1", live=True, live_temporal_dedup=True)
+    rows = [(f"cam{f % 3}" if f % 3 else None, f, 1280, 720, 1.0, [tuple(b.values()) for b in random_boxes(rng, rng.choice([0, 1, 2, 4]), 0)], []) for f in range(90)]
+    table = spark.createDataFrame(rows, live.FRAME)
+    merged = live.merged_frames(cfg, table)
+    before, want = {}, {}
+    for r in sorted(merged.collect(), key=lambda r: r.frame_id):
+        before[r.camera] = live.dedup(cfg, [b.asDict() for b in r.boxes], before.get(r.camera, []))
+        want[r.camera, r.frame_id] = [{k: v for k, v in b.items() if k != "neg_conf"} for b in before[r.camera]]
+    got = live.dedup_frames(cfg, table).collect()
+    assert {(r.camera, r.frame_id): [b.asDict() for b in r.boxes] for r in got} == want and all(r.latency_ms >= 0 for r in got)
+    pieces = {(r.camera, r.piece) for r in live.with_pieces(merged).collect()}
+    assert len(pieces) > 20
+    assert live.event_lines(spark.createDataFrame(got[:1], live.EVENT)).first().capture_ms == "1.0000"

@@ -90,10 +90,14 @@ def duplicate_pairs(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
     """(frame_id, a, b) of all pairs of a frame's boxes that are duplicates, a < b by det_id.
 
     The join is by frame and by cells of 128 pixels that both boxes touch, so distant boxes never meet; a pair
-    that shares several cells counts in its first. Valid while near-camera rules are off, as those link boxes apart.
+    that shares several cells counts in its first. Near-camera rules link boxes apart, so with them the join is
+    by frame alone, whose few boxes meet each other.
     """
     if cfg.duplicate_near_camera:
-        raise ValueError("pairs are listed for overlapping boxes only")
+        one = boxes.select("frame_id", "det_id", box().alias("b"))
+        two = one.select(F.col("frame_id").alias("l_frame_id"), F.col("det_id").alias("l_det_id"), F.col("b").alias("l_b"))
+        met = (F.col("frame_id") == F.col("l_frame_id")) & (F.col("l_det_id") < F.col("det_id"))
+        return two.join(one, met & duplicate(cfg, F.col("b"), F.col("l_b"))).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
     cell = 128
     spans = boxes.select("frame_id", "det_id", box().alias("b")).select(
         "frame_id", "det_id", "b", F.floor(F.col("b.x1") / cell).alias("x0"), F.floor(F.col("b.y1") / cell).alias("y0"),
@@ -122,7 +126,10 @@ def counts_on_spine(spine: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def remapped(boxes: DataFrame, work: DataFrame) -> DataFrame:
-    """Tile-local boxes moved by the origin of their tile (join on frame and tile)."""
-    origin = work.select("frame_id", "tile_id", F.col("x1").alias("tx"), F.col("y1").alias("ty"))
-    moved = boxes.join(origin, ["frame_id", "tile_id"])
+    """Tile-local boxes moved by the origin of their tile.
+
+    ``work`` has the tiles of one frame (all frames have the same: a join on tile_id) or of each (on frame_id too).
+    """
+    keys = [c for c in ("frame_id", "tile_id") if c in work.columns]
+    moved = boxes.join(work.select(*keys, F.col("x1").alias("tx"), F.col("y1").alias("ty")), keys)
     return moved.withColumns({"x1": F.col("x1") + F.col("tx"), "x2": F.col("x2") + F.col("tx"), "y1": F.col("y1") + F.col("ty"), "y2": F.col("y2") + F.col("ty")}).drop("tx", "ty")

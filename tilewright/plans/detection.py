@@ -104,12 +104,19 @@ _GROWN = ("struct_pack(neg_conf := least(k.neg_conf, n[1].neg_conf), tile_id :=
           "x2 := greatest(k.x2, n[1].x2), y2 := greatest(k.y2, n[1].y2), conf := greatest(k.conf, n[1].conf), rank := case when k.conf >= n[1].conf then k.rank else n[1].rank end, cls := case when k.conf >= n[1].conf then k.cls else n[1].cls end)")
 
 
-def kept_sql(boxes: str) -> str:
+def _folded(singles: str) -> str:
     """Suppression as a list fold: every list element is a list of one box, so that the folded value is a list of boxes."""
-    return f"""
-select frame_id, unnest(list_reduce(bs, lambda kept, n: list_transform([list_position(list_transform(kept, lambda k: {_dup('n[1]', 'k')}), true)], lambda spot:
-    case when coalesce(spot, 0) = 0 then list_append(kept, n[1]) else list_transform(kept, lambda k, i: case when i = spot then {_GROWN} else k end) end)[1])) as b
-from (select frame_id, list([{_BOX}] order by conf desc, tile_id, x1, y1, x2, y2) as bs from ({boxes}) group by frame_id)"""
+    return f"""list_reduce({singles}, lambda kept, n: list_transform([list_position(list_transform(kept, lambda k: {_dup('n[1]', 'k')}), true)], lambda spot:
+    case when coalesce(spot, 0) = 0 then list_append(kept, n[1]) else list_transform(kept, lambda k, i: case when i = spot then {_GROWN} else k end) end)[1])"""
+
+
+def kept_lists_sql(boxes: str) -> str:
+    """(frame_id, kept) of suppression, as a list."""
+    return f"select frame_id, {_folded('bs')} as kept from (select frame_id, list([{_BOX}] order by conf desc, tile_id, x1, y1, x2, y2) as bs from ({boxes}) group by frame_id)"
+
+
+def kept_sql(boxes: str) -> str:
+    return f"select frame_id, unnest(kept) as b from ({kept_lists_sql(boxes)})"
 
 
 OWNED = f"select d.* from ({DET}) d where {_owned('d')}"
@@ -163,7 +170,7 @@ def p2_remapped_boxes(spark, sf_dir):
     boxes = det(spark, sf_dir)
     frames = DetectionConfig(tile_grid="4x3", frames=1)
     tiles = tasks.tasks(spark, frames).select("tile_id", "x1", "y1")
-    return duplicates.remapped(boxes, frames_of(boxes).join(F.broadcast(tiles))).select("det_id", "frame_id", "x1", "y1", "x2", "y2")
+    return duplicates.remapped(boxes, tiles).select("det_id", "frame_id", "x1", "y1", "x2", "y2")
 
 
 P2_SQL = f"select det_id, frame_id, d.x1 + t.x1 as x1, d.y1 + t.y1 as y1, d.x2 + t.x1 as x2, d.y2 + t.y1 as y2 from ({DET}) d join (select tile_id, x1, y1 from ({TASKS_SQL.format(n=12)})) t using (tile_id)"
@@ -332,7 +339,7 @@ def l10_final_counts(spark, sf_dir):
 
 
 def l3_live_stream(spark, sf_dir):
-    """The temporal pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
+    """The temporal pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
     shared = staged_path(spark, "live")
     frames = _frames(spark, sf_dir).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
     frames.write.parquet(f"{shared}/frames")
@@ -342,6 +349,37 @@ def l3_live_stream(spark, sf_dir):
     return spark.read.schema(live.EVENT).parquet(f"{shared}/events").select("camera", "frame_id", "person_count", "tasks")
 
 
+#: Tiles and anchors of a frame are merged apart first, then together.
+ANCHORS = f"select frame_id, {FLAT} from ({kept_sql(f'select frame_id, cast(-1 as int) as tile_id, rank, x1, y1, x2, y2, conf, cls from ({DET}) where rank = 0')})"
+TILES = f"select frame_id, {FLAT} from ({kept_sql(OWNED)})"
+MERGED = f"select d.* from (select * from anchors union all select * from tiles t where not exists (select 1 from anchors a where a.frame_id = t.frame_id and {_dup('t', 'a')})) d where {_owned('d')}"
+_PARTS = f"frames as (select distinct frame_id from ({DET})), anchors as materialized ({ANCHORS}), tiles as materialized ({TILES})"
+_COUNT = "select frame_id, len(kept) as n from"
+L4_SQL = f"""
+with {_PARTS}, gate as ({_COUNT} ({kept_lists_sql('select * from anchors')}))
+select policy, frame_id, cast(coalesce(n, 0) as int) as person_count, tasks from (
+ select 'merge' as policy, frame_id, n, 12 as tasks from frames left join ({_COUNT} ({kept_lists_sql(MERGED)})) using (frame_id)
+ union all select 'anchor-gate', frame_id, coalesce(a.n, t.n), case when a.n is null then 12 else 1 end from frames left join gate a using (frame_id)
+  left join ({_COUNT} ({kept_lists_sql(f"select d.* from tiles d where {_owned('d')}")})) t using (frame_id)
+ union all select 'anchor-only', frame_id, n, 1 from frames left join gate using (frame_id))"""
+#: The temporal pass frame by frame: a recursion over each camera's frames, whose step folds over the boxes before.
+_STEP = f"""list_transform([list_filter(s.free, lambda x: {_temporal('x', "e['old']")})], lambda f: case when len(f) < 2 then s else
+   struct_pack(free := list_filter(s.free, lambda x: not {_temporal('x', "e['old']")}), outs := list_append(s.outs, list_reduce(f, lambda k, n: {_GROWN.replace('n[1]', 'n')})), old := s.old) end)[1]"""
+LIVE_SQL = f"""
+with recursive {_PARTS}, m as (select f.frame_id, coalesce(kept, []) as now from frames f left join ({kept_lists_sql(MERGED)}) k on f.frame_id = k.frame_id),
+q as (select *, 'cam' || (frame_id % 4) as camera, row_number() over (partition by frame_id % 4 order by frame_id) as seq from m),
+r as (select camera, seq, frame_id, now as kept from q where seq = 1
+ union all select camera, seq, frame_id, case when len(now) < 2 or len(before) = 0 then now else {_folded('list_transform(list_sort(list_concat(fold.outs, fold.free)), lambda x: [x])')} end
+ from (select q.*, r.kept as before, list_reduce(list_concat([struct_pack(free := q.now, outs := q.now[1:0], old := q.now[1])], list_transform(r.kept, lambda b: struct_pack(free := q.now[1:0], outs := q.now[1:0], old := b))), lambda s, e: {_STEP}) as fold
+  from r join q on q.camera = r.camera and q.seq = r.seq + 1))
+"""
+A10_SQL = f"{LIVE_SQL} select camera, frame_id, cast(len(kept) as int) as person_count, 12 as tasks from r"
+K9_SQL = f"""{LIVE_SQL} select camera, frame_id, cast(place - 1 as int) as place, line from (select camera, frame_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as place from (
+ select camera, frame_id, list_concat(list_concat(['FRAME ' || frame_id || ' ' || len(kept)], list_transform(kept, lambda b: 'BOX ' || {" || ' ' || ".join(f"printf(chr(37) || chr(46) || chr(52) || chr(102), b.{c})" for c in ("x1", "y1", "x2", "y2", "conf"))})), ['END_FRAME ' || frame_id]) as lines from r))"""
+_EVENTS = f"select frame_id, {FLAT} from (select frame_id, unnest(kept) as b from r)"
+L10_SQL = f"""{LIVE_SQL} select f.frame_id, coalesce(len(kept), 0) as person_count from (select distinct frame_id from ({DET})) f left join ({kept_lists_sql(f"select d.* from ({_EVENTS}) d where {_owned('d')}")}) k on f.frame_id = k.frame_id"""
+
+
 QUERIES = {
     "a1_people_count": (a1_people_count, A1_SQL),
     "s1_tasks": (s1_tasks, TASKS),
@@ -361,10 +399,10 @@ QUERIES = {
     "s2_tile_grids": (s2_tile_grids, "select s_suppkey, cast(1 + s_suppkey % 7 as int) as cols, cast(1 + s_suppkey % 5 as int) as rows from supplier"),
     "s5_camera_lines": (s5_camera_lines, f"select cast(task_id as int) as task_id, frame_id, tile_id, x1, y1, x2, y2, 'tile ' || task_id as image from ({TASKS})"),
     "s4_camera_tiles": (s4_camera_tiles, S4_SQL),
-    "k9_viewer_lines": (k9_viewer_lines, None),
+    "k9_viewer_lines": (k9_viewer_lines, K9_SQL),
     "p11_commands": (p11_commands, P11_SQL),
-    "l4_anchor_policies": (l4_anchor_policies, None),
-    "a10_temporal_dedup": (a10_temporal_dedup, None),
-    "l10_final_counts": (l10_final_counts, None),
-    "l3_live_stream": (l3_live_stream, None),
+    "l4_anchor_policies": (l4_anchor_policies, L4_SQL),
+    "a10_temporal_dedup": (a10_temporal_dedup, A10_SQL),
+    "l10_final_counts": (l10_final_counts, L10_SQL),
+    "l3_live_stream": (l3_live_stream, A10_SQL),
 }

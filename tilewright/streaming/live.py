@@ -2,24 +2,30 @@
 
 A stream of frames is keyed by its camera. Merging a frame needs no state (L2, L4). Temporal
 de-duplication keeps the last frame's boxes per camera as arbitrary state (L3); rows of a micro-batch are
-sorted by frame first. ``dedup_frames`` is the same fold over a whole table.
+sorted by frame first. ``dedup_frames`` is the same fold over a whole table, cut where a frame's result
+does not depend on the frame before. The rules on plain boxes are those of ``functions.geometry``; a test
+holds both against each other.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
 from tilewright.functions.geometry import BOX
 from tilewright.operators.duplicates import counts_on_spine, merge_frame, owner_filter, suppress, with_anchors
 
 FRAME = f"camera string, frame_id int, frame_width int, frame_height int, capture_ms double, tiles array<{BOX}>, anchors array<{BOX}>"
-EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
+EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, latency_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
 STATE = "boxes string"
+#: Frames in a span of frame ids that ``dedup_frames`` looks for cuts in at a time.
+SPAN = 4096
 
 
 def _area(b: dict) -> float:
@@ -59,13 +65,43 @@ def _around(a: dict, b: dict) -> dict:
     return {**sure, "x1": min(a["x1"], b["x1"]), "y1": min(a["y1"], b["y1"]), "x2": max(a["x2"], b["x2"]), "y2": max(a["y2"], b["y2"])}
 
 
-def _suppress(cfg: DetectionConfig, boxes: list[dict]) -> list[dict]:
-    """A9 on the few boxes of one frame; near-camera rules are the batch operator's."""
+def near_camera(cfg: DetectionConfig, a: dict, b: dict, width: int, height: int) -> bool:
+    """F3 on plain boxes."""
+    if not cfg.duplicate_near_camera or a["tile_id"] == b["tile_id"]:
+        return False
+    sides = {k: [max(0.0, x[f"{k}2"] - x[f"{k}1"]) for x in (a, b)] for k in "xy"}
+    if min(sides["x"]) <= 0 or min(sides["y"]) <= 0:
+        return False
+    width, height = max(1, width), max(1, height)
+    if max(_area(a), _area(b)) / (width * height) < cfg.duplicate_large_area_ratio and max(sides["x"]) / width < 0.35 and max(sides["y"]) / height < 0.45:
+        return False
+    shared, gap, apart = {}, {}, {}
+    for k in "xy":
+        lo, hi = f"{k}1", f"{k}2"
+        shared[k] = _span(a[lo], a[hi], b[lo], b[hi]) / min(sides[k])
+        gap[k] = max(0.0, max(a[lo], b[lo]) - min(a[hi], b[hi])) / min(sides[k])
+        apart[k] = abs((a[lo] + a[hi]) * 0.5 - (b[lo] + b[hi]) * 0.5) / max(sides[k])
+    center, most, least = cfg.duplicate_center, cfg.duplicate_gap, cfg.duplicate_axis_overlap
+    for along, across in ("yx", "xy"):
+        if shared[along] >= least and gap[across] <= most and apart[along] <= center:
+            return True
+    return max(apart.values()) <= center and (max(shared.values()) > 0.05 or min(gap.values()) <= most)
+
+
+def same_object(cfg: DetectionConfig, a: dict, b: dict, width: int, height: int) -> bool:
+    """F4 on plain boxes."""
+    if a["cls"] != b["cls"]:
+        return False
+    union, small = _overlaps(a, b)
+    return union >= cfg.iou or (cfg.duplicate_ios > 0 and small >= cfg.duplicate_ios) or near_camera(cfg, a, b, width, height)
+
+
+def _suppress(cfg: DetectionConfig, boxes: list[dict], width: int, height: int) -> list[dict]:
+    """A9 on the few boxes of one frame."""
     kept: list[dict] = []
     for new in sorted(boxes, key=lambda b: (-b["conf"], b["tile_id"], b["x1"], b["y1"], b["x2"], b["y2"])):
         for k, old in enumerate(kept):
-            union, small = _overlaps(new, old)
-            if new["cls"] == old["cls"] and (union >= cfg.iou or (cfg.duplicate_ios > 0 and small >= cfg.duplicate_ios)):
+            if same_object(cfg, new, old, width, height):
                 kept[k] = _around(old, new) if cfg.duplicate_merge else old
                 break
         else:
@@ -73,7 +109,7 @@ def _suppress(cfg: DetectionConfig, boxes: list[dict]) -> list[dict]:
     return kept
 
 
-def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict]) -> list[dict]:
+def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int | None = None, height: int | None = None) -> list[dict]:
     """A10: boxes of a frame that match one box of the frame before are one; each box is used once, in order of the boxes before."""
     if not cfg.live_temporal_dedup or len(now) < 2 or not before:
         return now
@@ -86,7 +122,7 @@ def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict]) -> list[dic
             for other in found[1:]:
                 one = _around(one, other)
             out.append(one)
-    return _suppress(cfg, out + free)
+    return _suppress(cfg, out + free, width or cfg.width, height or cfg.height)
 
 
 def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
@@ -103,16 +139,22 @@ def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
 def _events(cfg: DetectionConfig, camera: str, rows: pd.DataFrame, before: list[dict]) -> tuple[list[tuple], list[dict]]:
     out = []
     for r in rows.sort_values("frame_id", kind="stable").itertuples(index=False):
-        before = dedup(cfg, [dict(b) for b in r.boxes], before)
-        out.append((camera, r.frame_id, len(before), r.tasks, r.capture_ms, [{k: v for k, v in b.items() if k != "neg_conf"} for b in before]))
+        began = time.perf_counter()
+        before = dedup(cfg, [dict(b) for b in r.boxes], before, r.frame_width, r.frame_height)
+        plain = [{k: v for k, v in b.items() if k != "neg_conf"} for b in before]
+        out.append((camera, r.frame_id, len(before), r.tasks, r.capture_ms, (time.perf_counter() - began) * 1000, plain))
     return out, before
 
 
-_COLUMNS = [c.split()[0] for c in EVENT.replace(",rank", " rank").split(", ")][:6]
+_COLUMNS = ["camera", "frame_id", "person_count", "tasks", "capture_ms", "latency_ms", "boxes"]
+_FRAME_COLUMNS = ("camera", "frame_id", "frame_width", "frame_height", "capture_ms", "tasks", "boxes")
 
 
 def live_events(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
-    """A streaming DataFrame of EVENT rows from a streaming DataFrame of FRAME rows."""
+    """A streaming DataFrame of EVENT rows from a streaming DataFrame of FRAME rows.
+
+    latency_ms is the time that a frame took in the temporal pass; its capture time is apart.
+    """
     import json
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -122,29 +164,51 @@ def live_events(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
         state.update((json.dumps(before),))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
-    merged = merged_frames(cfg, frames).select("camera", "frame_id", "capture_ms", "tasks", "boxes")
-    return merged.groupBy("camera").applyInPandasWithState(step, EVENT, STATE, "append", "NoTimeout")
+    return merged_frames(cfg, frames).select(*_FRAME_COLUMNS).groupBy("camera").applyInPandasWithState(step, EVENT, STATE, "append", "NoTimeout")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """K6: the live event table as texts with four decimals."""
+    return events.select("camera", "frame_id", "person_count", "tasks", *[F.format_string("%.4f", c).alias(c) for c in ("capture_ms", "latency_ms")])
+
+
+def with_pieces(frames: DataFrame) -> DataFrame:
+    """``frames`` with ``piece``, the last frame up to each one of its camera that has fewer than two boxes.
+
+    Such a frame's boxes stay as they are whatever came before, so a new piece starts there with it. Cuts are
+    looked for in spans of frame ids, and the last cut before a span among the spans: no task has a whole camera.
+    """
+    cut = F.when(F.size("boxes") < 2, F.col("frame_id"))
+    rows = frames.withColumn("_span", F.floor(F.col("frame_id") / SPAN)).withColumn("_cut", cut)
+    spans = rows.groupBy("camera", "_span").agg(F.max("_cut").alias("_last"))
+    before = Window.partitionBy("camera").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("camera").alias("_camera"), F.col("_span").alias("_at"), F.max("_last").over(before).alias("_before"))
+    inside = Window.partitionBy("camera", "_span").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.max("_cut").over(inside))
+    rows = rows.join(spans, F.col("camera").eqNullSafe(F.col("_camera")) & (F.col("_span") == F.col("_at")), "left")
+    return rows.withColumn("piece", F.coalesce("_own", "_before")).drop("_span", "_cut", "_own", "_camera", "_at", "_before")
 
 
 def dedup_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
     """A10, W5, J7 over a table: EVENT rows, each camera's frames folded in order.
 
-    A camera is one sequence by nature. Arrow batches of its frames come in order, so a task holds one batch and the boxes before it.
+    Pieces of a camera are folded apart; a piece is one sequence by nature. Arrow batches of its frames come in order, so a task holds one batch and the boxes before it.
     """
-    merged = merged_frames(cfg, frames).select("camera", "frame_id", "capture_ms", "tasks", "boxes")
+    merged = with_pieces(merged_frames(cfg, frames).select(*_FRAME_COLUMNS))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        camera, before = None, []
+        piece, before = None, []
         for batch in batches:
             out = []
-            for name, rows in batch.groupby("camera", sort=False, dropna=False):
-                if name != camera:
-                    camera, before = name, []
-                more, before = _events(cfg, name, rows, before)
+            for name, rows in batch.groupby(["camera", "piece"], sort=False, dropna=False):
+                name = tuple(None if x != x else x for x in name)
+                if name != piece:
+                    piece, before = name, []
+                more, before = _events(cfg, name[0], rows, before)
                 out += more
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return merged.repartition("camera").sortWithinPartitions("camera", "frame_id").mapInPandas(fold, EVENT)
+    return merged.repartition("camera", "piece").sortWithinPartitions("camera", "piece", "frame_id").mapInPandas(fold, EVENT)
 
 
 def final_counts(cfg: DetectionConfig, spine: DataFrame, events: DataFrame) -> DataFrame:
