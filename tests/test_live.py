@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.config import DetectionConfig
+from tilewright.functions import boxes
 from tilewright.functions.geometry import BOX, duplicate, near_camera_duplicate, temporal_match
 from tilewright.operators.duplicates import frame_spine
 from tilewright.streaming import live
@@ -95,7 +96,7 @@ def test_plain_rules_equal_the_column_rules(spark):
     rows = spark.createDataFrame([(k, tuple(a.values()), tuple(b.values())) for k, (a, b) in enumerate(pairs)], f"k int, a {BOX}, b {BOX}")
     a, b = F.col("a"), F.col("b")
     out = {r.k: tuple(r)[1:] for r in rows.select("k", temporal_match(cfg, a, b), near_camera_duplicate(cfg, a, b, F.lit(1280), F.lit(720)), duplicate(cfg, a, b)).collect()}
-    want = {k: (live.matches(cfg, a, b), live.near_camera(cfg, a, b, 1280, 720), live.same_object(cfg, a, b, 1280, 720)) for k, (a, b) in enumerate(pairs)}
+    want = {k: (boxes.matches(cfg, a, b), boxes.near_camera(cfg, a, b, 1280, 720), boxes.same_object(cfg, a, b, 1280, 720)) for k, (a, b) in enumerate(pairs)}
     assert out == want and all(0 < sum(w[k] for w in want.values()) < 400 for k in range(3))
 
 

@@ -42,6 +42,13 @@ def split_end(total: Column, parts: Column, index: Column) -> Column:
     return split_start(total, parts, index + 1)
 
 
+def split_index(total: int, parts: int, k: Column) -> Column:
+    """The part that number k of 0..total-1 is in."""
+    size, longer = total // parts, total % parts
+    return F.when(k < longer * (size + 1), F.floor(k / (size + 1))).otherwise(longer + F.floor((k - longer * (size + 1)) / max(size, 1))).cast("int")
+
+
+
 def most_square_rows(processes: Column) -> Column:
     """Rows of the most square grid with no more rows than columns."""
     return F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), processes.cast("bigint")), lambda d: (processes % d == 0) & (d * d <= processes)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
+from tilewright.functions.boxes import suppressed_boxes
 from tilewright.functions.geometry import BOX, box, duplicate, merged
 
 EPS = 1e-6
@@ -57,8 +61,17 @@ def frame_boxes(boxes: DataFrame) -> DataFrame:
 
 
 def suppress(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
-    """A9 over all frames, in parallel by frame: one shuffle."""
-    kept = frame_boxes(boxes).select("frame_id", F.explode(suppressed(cfg, F.col("boxes"))).alias("b"))
+    """A9 over all frames, in parallel by frame: one shuffle, then a fold over each frame's boxes in Arrow batches.
+
+    The fold is sequential inside a frame; as nested higher-order functions (``suppressed``) it takes several times as long.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [suppressed_boxes(cfg, frame, cfg.width, cfg.height) for frame in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, batch.schema.field(1).type)], ["frame_id", "boxes"])
+
+    frames = frame_boxes(boxes)
+    kept = frames.mapInArrow(fold, frames.schema).select("frame_id", F.explode("boxes").alias("b"))
     return kept.select("frame_id", *[F.col(f"b.{c}") for c in ("tile_id", "rank", "x1", "y1", "x2", "y2", "conf", "cls")])
 
 

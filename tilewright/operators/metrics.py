@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.config import DetectionConfig
+
 MEASURES = ("compute_ms", "io_ms", "yolo_ms", "comm_ms")
 
 
@@ -40,6 +42,27 @@ def run_summary(ranks: DataFrame) -> DataFrame:
         *[F.sum(c).alias(f"{c}_total") for c in ("comm_ms", "io_ms", "yolo_ms", "idle_ms")], load_imbalance().alias("load_imbalance"))
 
 
+def summary_row(cfg: DetectionConfig, ranks: DataFrame, counts: DataFrame, *, run_id: str, model: str = "", device: str = "cpu", image_size: int = 640, total_ms: Column | None = None, verdict: str = "") -> DataFrame:
+    """K4, A4: the one-row summary of a run with its settings.
+
+    ``counts`` has a row per frame with people (person_count); frames without any count as 0 in avg_count. ``total_ms``
+    is an aggregate over the ranks; without it, the slowest rank's compute with its communication. verdict is
+    empty for a run that was not checked.
+    """
+    total = F.max(F.col("compute_ms") + F.col("comm_ms")) if total_ms is None else total_ms
+    parts = ranks.agg(F.count("*").cast("int").alias("world_size"), total.alias("total_ms_with_comm"))
+    people = counts.agg((F.coalesce(F.sum("person_count"), F.lit(0)) / max(1, cfg.frames)).alias("avg_count"))
+    tiles = cfg.grid[0] * cfg.grid[1]
+    settings = {
+        "run_id": run_id, "language": "PySpark", "detector": cfg.detector, "model": model, "device": device, "imgsz": image_size, "frames": cfg.frames, "tile_grid": cfg.tile_grid, "num_tasks": cfg.frames * tiles, "overlap": cfg.overlap,
+        "tile_owner_filter": int(cfg.tile_owner_filter), "dedup_ios": cfg.duplicate_ios, "dedup_center": cfg.duplicate_center, "dedup_axis_overlap": cfg.duplicate_axis_overlap, "dedup_gap": cfg.duplicate_gap,
+        "dedup_near_camera": int(cfg.duplicate_near_camera), "dedup_large_area_ratio": cfg.duplicate_large_area_ratio, "dedup_merge": int(cfg.duplicate_merge), "schedule": cfg.schedule, "chunk_size": cfg.chunk_size,
+        "master_compute": int(cfg.master_compute), "video_width": cfg.width, "video_height": cfg.height}
+    row = run_summary(ranks).join(F.broadcast(parts)).join(F.broadcast(people))
+    order = [*list(settings)[:21], "world_size", "video_width", "video_height", "total_ms_with_comm", "total_ms_without_comm", "compute_ms_max", "compute_ms_avg", "comm_ms_total", "io_ms_total", "yolo_ms_total", "idle_ms_total", "load_imbalance", "avg_count"]
+    return row.select(*[F.lit(settings[c]).alias(c) if c in settings else F.col(c) for c in order], F.lit(verdict).alias("correctness_pass"))
+
+
 def host_rollup(ranks: DataFrame, label: str) -> DataFrame:
     """Sums per host in seconds, and the host's share of all tasks."""
     hosts = with_idle(ranks).groupBy("hostname").agg(F.count("*").alias("rank_count"), *[F.sum(c).alias(c) for c in ("tasks_done", "frames_done", "compute_ms", "comm_ms", "idle_ms", "yolo_ms")])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.text import split_end, split_start
+from tilewright.functions.text import split_end, split_index, split_start
 
 #: E9, fixed values: output channels of the layers of each profile, and the layers after which pooling follows.
 PROFILES = {"tiny": (4, 8, 8, 8, 8, 8, 8, 8), "small": (16, 32, 64, 64, 128, 128, 128, 128), "full": (64, 128, 256, 256, 512, 512, 512, 512)}
@@ -36,11 +36,11 @@ def synthetic_weights(spark: SparkSession, layer: int, inputs: int, outputs: int
 def _gathered(pixels: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
     """Every pixel goes to the nine places that it counts for, meets its weights and is summed there.
 
-    Weights have the fixed size of a layer and are broadcast (E12). Partial sums are made before the shuffle.
+    Spark broadcasts the weights (E12) up to its own limit of size; those of larger layers are joined by shuffle. Partial sums are made before the shuffle.
     """
     spread = pixels.select(*keys, "c", "y", "x", "v", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     spread = spread.select(*keys, F.col("c").alias("s_ic"), (F.col("y") + 1 - F.floor(F.col("k") / 3)).cast("int").alias("y"), (F.col("x") + 1 - F.col("k") % 3).cast("int").alias("x"), "v", "k")
-    met = spread.join(F.broadcast(weights), (F.col("s_ic") == F.col("ic")) & (F.col("k") == F.col("ky") * 3 + F.col("kx")))
+    met = spread.join(weights, (F.col("s_ic") == F.col("ic")) & (F.col("k") == F.col("ky") * 3 + F.col("kx")))
     return met.groupBy(*keys, F.col("oc").alias("c"), "y", "x").agg((F.sum(F.col("v") * F.col("w")) + F.first("b")).alias("v"))
 
 
@@ -70,18 +70,19 @@ def blocks(spark: SparkSession, height: int, width: int, rows: int, cols: int) -
     return i.select("*", at(split_start, height, rows, "br").alias("y0"), at(split_end, height, rows, "br").alias("y1"), at(split_start, width, cols, "bc").alias("x0"), at(split_end, width, cols, "bc").alias("x1"))
 
 
-def with_halo(pixels: DataFrame, grid: DataFrame, halo: int = 1) -> DataFrame:
-    """Every pixel once for each block whose range, wider by ``halo``, has it. The grid has a row per block and is broadcast."""
-    g = F.broadcast(grid)
-    near = (F.col("y") >= F.col("y0") - halo) & (F.col("y") < F.col("y1") + halo) & (F.col("x") >= F.col("x0") - halo) & (F.col("x") < F.col("x1") + halo)
-    return pixels.join(g, near).select("img", "block", "c", "y", "x", "v")
+def with_halo(pixels: DataFrame, height: int, width: int, rows: int, cols: int, halo: int = 1) -> DataFrame:
+    """Every pixel once for each block of a rows x cols grid whose range, wider by ``halo``, has it. A pixel's blocks follow from its place, without a join."""
+    def near(k: str, total: int, parts: int) -> Column:
+        return F.sequence(split_index(total, parts, F.greatest(F.lit(0), F.col(k) - halo)), split_index(total, parts, F.least(F.lit(total - 1), F.col(k) + halo)))
+    spread = pixels.withColumn("br", F.explode(near("y", height, rows))).withColumn("bc", F.explode(near("x", width, cols)))
+    return spread.select("img", (F.col("br") * cols + F.col("bc")).cast("int").alias("block"), "c", "y", "x", "v")
 
 
-def conv3x3_blocks(pixels: DataFrame, weights: DataFrame, grid: DataFrame) -> DataFrame:
+def conv3x3_blocks(pixels: DataFrame, weights: DataFrame, height: int, width: int, rows: int, cols: int) -> DataFrame:
     """The same as conv3x3 by blocks; each block sums on its own and gives the pixels of its core."""
-    out = _gathered(with_halo(pixels, grid), ["img", "block"], weights)
-    core = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return out.join(F.broadcast(grid), "block").where(core).select("img", "c", "y", "x", "v")
+    out = _gathered(with_halo(pixels, height, width, rows, cols), ["img", "block"], weights)
+    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
+    return out.where(inside & (split_index(height, rows, F.col("y")) * cols + split_index(width, cols, F.col("x")) == F.col("block"))).select("img", "c", "y", "x", "v")
 
 
 def stack(spark: SparkSession, pixels: DataFrame, channels: int, height: int, width: int, profile: str, depth: int = 8, grid: tuple[int, int] | None = None, save=None) -> DataFrame:
@@ -91,7 +92,7 @@ def stack(spark: SparkSession, pixels: DataFrame, channels: int, height: int, wi
     """
     for layer, outputs, pool in layers(profile)[:depth]:
         weights = synthetic_weights(spark, layer - 1, channels, outputs)
-        out = conv3x3(pixels, weights, height, width) if grid is None else conv3x3_blocks(pixels, weights, blocks(spark, height, width, *grid))
+        out = conv3x3(pixels, weights, height, width) if grid is None else conv3x3_blocks(pixels, weights, height, width, *grid)
         pixels, channels = relu(out), outputs
         if pool and height >= 2 and width >= 2:
             pixels, height, width = max_pool(pixels, height, width), height // 2, width // 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.operators import tensor
+from tilewright.shared import staged
 from tilewright.sources import adapters
 
 #: A 3x3 kernel for each of two output channels, and their biases.
@@ -33,12 +34,12 @@ def e8_convolution(spark, sf_dir):
 
 def e6_block_convolution(spark, sf_dir):
     """The same by 3x2 blocks with replicated borders."""
-    return tensor.conv3x3_blocks(_maps(spark, sf_dir), _weights(spark), tensor.blocks(spark, SIDE, SIDE, 3, 2))
+    return tensor.conv3x3_blocks(_maps(spark, sf_dir), _weights(spark), SIDE, SIDE, 3, 2)
 
 
 def e3_halo_pixels(spark, sf_dir):
     """Pixels that each block holds with its halo."""
-    return tensor.with_halo(_maps(spark, sf_dir), tensor.blocks(spark, SIDE, SIDE, 3, 2)).groupBy("block").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+    return tensor.with_halo(_maps(spark, sf_dir), SIDE, SIDE, 3, 2).groupBy("block").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
 
 
 BLOCKS_SQL = """select cast(i as int) as block, i // 2 as br, i % 2 as bc, (i // 2) * 2 + least(i // 2, 2) as y0, (i // 2 + 1) * 2 + least(i // 2 + 1, 2) as y1, (i % 2) * 4 as x0, (i % 2 + 1) * 4 as x1 from (select unnest(range(6)) as i)"""
@@ -82,21 +83,29 @@ A23_SQL = f"select count(*) as images, cast(max(m) as double) as max_abs_error,
 
 
 def e10_stack(spark, sf_dir):
-    """Two layers of the tiny profile over a synthetic map in 2x3 blocks, at six decimals."""
-    pixels = tensor.synthetic_map(spark, 3, 16, 16)
-    out = tensor.stack(spark, pixels, 3, 16, 16, "tiny", depth=2, grid=(2, 3))
+    """All layers of the tiny profile over a synthetic map in 2x3 blocks, at six decimals."""
+    pixels = tensor.synthetic_map(spark, 3, 32, 32)
+    out = tensor.stack(spark, pixels, 3, 32, 32, "tiny", grid=(2, 3), save=lambda df: staged(df, "layers"))
     return out.select("c", "y", "x", F.round("v", 6).alias("v"))
 
 
-def _layer_sql(source: str, side: int, inputs: int, outputs: int, layer: int) -> str:
+def _layer_sql(source: str, side: int, inputs: int, outputs: int, layer: int, pool: bool) -> str:
     kernel = f"select oc, ic, ky, kx, 0.035 * sin(0.007 * (i + 101 * ({layer} + 1))) as w, 0.01 * cos(0.11 * ({layer} + oc)) as b from (select i, i // {inputs * 9} as oc, i // 9 % {inputs} as ic, i // 3 % 3 as ky, i % 3 as kx from (select unnest(range({outputs * inputs * 9})) as i))"
     places = f"select i // {side} as y, i % {side} as x from (select unnest(range({side * side})) as i)"
-    conv = f"select k.oc as c, p.y, p.x, greatest(0, sum(k.w * q.v) + min(k.b)) as v from ({places}) p cross join ({kernel}) k join ({source}) q on q.c = k.ic and q.y = p.y + k.ky - 1 and q.x = p.x + k.kx - 1 group by 1, 2, 3"
-    return f"select c, y // 2 as y, x // 2 as x, max(v) as v from ({conv}) group by 1, 2, 3"
+    conv = f"select k.oc as c, p.y, p.x, greatest(0, sum(k.w * q.v) + min(k.b)) as v from ({places}) p cross join ({kernel}) k join {source} q on q.c = k.ic and q.y = p.y + k.ky - 1 and q.x = p.x + k.kx - 1 group by 1, 2, 3"
+    return f"select c, y // 2 as y, x // 2 as x, max(v) as v from ({conv}) group by 1, 2, 3" if pool else conv
 
 
-_INPUT = "select i // 256 as c, i // 16 % 16 as y, i % 16 as x, sin(0.013 * ((i // 256 + 1) * 17 + 3 * (i // 16 % 16) + i % 16)) as v from (select unnest(range(768)) as i)"
-E10_SQL = f"select cast(c as int) as c, cast(y as int) as y, cast(x as int) as x, round(v, 6) as v from ({_layer_sql(_layer_sql(_INPUT, 16, 3, 4, 0), 8, 4, 8, 1)})"
+def _stack_sql(side: int) -> str:
+    steps, channels = [f"l0 as materialized (select i // {side * side} as c, i // {side} % {side} as y, i % {side} as x, sin(0.013 * ((i // {side * side} + 1) * 17 + 3 * (i // {side} % {side}) + i % {side})) as v from (select unnest(range({3 * side * side})) as i))"], 3
+    for layer, outputs, pool in tensor.layers("tiny"):
+        pool = pool and side >= 2
+        steps.append(f"l{layer} as materialized ({_layer_sql(f'l{layer - 1}', side, channels, outputs, layer - 1, pool)})")
+        side, channels = side // 2 if pool else side, outputs
+    return f"with {', '.join(steps)} select cast(c as int) as c, cast(y as int) as y, cast(x as int) as x, round(v, 6) as v from l8"
+
+
+E10_SQL = _stack_sql(32)
 
 QUERIES = {
     "e8_convolution": (e8_convolution, CONV_SQL), "e6_block_convolution": (e6_block_convolution, CONV_SQL), "e3_halo_pixels": (e3_halo_pixels, E3_SQL), "p15_blocks": (p15_blocks, P15_SQL),

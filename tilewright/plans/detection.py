@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +158,36 @@ from (select *, x1 + (cast(0.22 as double) + cast(0.22 as double) * i + cast(0.0
 """
 
 
+COMMAND = DetectionConfig(tile_grid="4x3", frames=20, detector="command", detector_command="echo '# {tile_id}'; echo 1,2,{tile_id}.5,4,0.5; echo 3,4,5,6,0.25; echo broken; test {tile_id} -lt 11")
+WORKER = DetectionConfig(tile_grid="4x3", frames=2000, detector="worker", conf=0.4)
+
+
+def x2_command_boxes(spark, sf_dir):
+    """Boxes that an outside program prints for each tile of 20 frames; it fails on a frame's last tile."""
+    return duplicates.quantized(detect.detect(COMMAND, tasks.tasks(spark, COMMAND)))
+
+
+X2_SQL = f"""select task_id, frame_id, tile_id, x1 + a as x1, y1 + b as y1, x1 + c as x2, y1 + d as y2, s as conf, 0 as cls from ({TASKS_SQL.format(n=240)}),
+ (select unnest([true, false]) as one), lateral (select case when one then 1e0 else 3e0 end as a, case when one then 2e0 else 4e0 end as b, case when one then tile_id + 5e-1 else 5e0 end as c, case when one then 4e0 else 6e0 end as d, case when one then 5e-1 else 25e-2 end as s) where tile_id < 11"""
+
+
+def _loaded():
+    """A stand-in for a network, built once for each task of Spark: two boxes a tile."""
+    def model(batch):
+        parts = [batch[["task_id", "frame_id", "tile_id"]].assign(x1=10.0 * k, y1=5.0, x2=10.0 * k + batch["tile_id"], y2=50.0, conf=(batch["frame_id"] % 10) / 10, cls=k) for k in (0, 1)]
+        return pd.concat(parts, ignore_index=True)
+
+    return model
+
+
+def x3_worker_boxes(spark, sf_dir):
+    """Boxes of a loaded model for each tile, persons of enough confidence only."""
+    return duplicates.quantized(detect.detect(WORKER, tasks.tasks(spark, WORKER), _loaded))
+
+
+X3_SQL = f"select task_id, frame_id, tile_id, cast(x1 as double) as x1, y1 + 5e0 as y1, cast(x1 + tile_id as double) as x2, y1 + 50e0 as y2, round(frame_id % 10 / 10, 4) as conf, 0 as cls from ({TASKS}) where frame_id % 10 >= 4"
+
+
 def x5_costs(spark, sf_dir):
     """Said cost of the tasks of each rank."""
     return detect.with_cost(MOCK, tasks.assigned(tasks.tasks(spark, MOCK), 4)).groupBy("rank").agg(F.sum("cost_ms").alias("cost_ms"))
@@ -385,6 +416,8 @@ QUERIES = {
     "s1_tasks": (s1_tasks, TASKS),
     "f8_static_assignment": (f8_static_assignment, F8_SQL),
     "x1_mock_boxes": (x1_mock_boxes, MOCK_SQL),
+    "x2_command_boxes": (x2_command_boxes, X2_SQL),
+    "x3_worker_boxes": (x3_worker_boxes, X3_SQL),
     "x5_costs": (x5_costs, X5_SQL),
     "p2_remapped_boxes": (p2_remapped_boxes, P2_SQL),
     "p5_box_geometry": (p5_box_geometry, P5_SQL),

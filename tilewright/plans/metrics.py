@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.config import DetectionConfig
 from tilewright.functions import text
 from tilewright.operators import layers, metrics, topology
+from tilewright.shared import staged_path
 from tilewright.sinks import tables
 from tilewright.sources import adapters, files, tasks
 from tilewright.sources.adapters import ansi, relation
@@ -47,6 +49,20 @@ A4_SQL = f"""select round(max(compute_ms), 6) as total_ms_without_comm, round(ma
 from (select *, greatest(0.0, max(compute_ms) over () - compute_ms) as idle from ({RANKS}))"""
 
 
+RUN = DetectionConfig(tile_grid="4x3", frames=400)
+
+
+def k4_summary_table(spark, sf_dir):
+    """K4, A4: the whole one-row summary of a run."""
+    return six(metrics.summary_row(RUN, relation(spark, sf_dir, adapters.RANK_METRICS), relation(spark, sf_dir, adapters.COUNT_SERIAL), run_id="run-1", model="mock"))
+
+
+K4_SQL = f"""select 'run-1' as run_id, 'PySpark' as language, 'mock' as detector, 'mock' as model, 'cpu' as device, 640 as imgsz, 400 as frames, '4x3' as tile_grid, 4800 as num_tasks, 64 as overlap, 1 as tile_owner_filter,
+ cast(0.7 as double) as dedup_ios, cast(0.3 as double) as dedup_center, cast(0.7 as double) as dedup_axis_overlap, cast(0.08 as double) as dedup_gap, 0 as dedup_near_camera, cast(0.12 as double) as dedup_large_area_ratio, 1 as dedup_merge,
+ 'static' as schedule, 1 as chunk_size, 1 as master_compute, w.world_size, 1280 as video_width, 720 as video_height, w.total_ms_with_comm, s.*, c.avg_count, '' as correctness_pass
+from ({A4_SQL}) s, (select cast(count(*) as int) as world_size, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm from ({RANKS})) w, (select round(coalesce(sum(person_count), 0) / 400, 6) as avg_count from ({SERIAL})) c"""
+
+
 def a11_host_rollup(spark, sf_dir):
     """A11, W2, O3."""
     return six(metrics.host_rollup(relation(spark, sf_dir, adapters.RANK_METRICS), "uniform"))
@@ -191,14 +207,15 @@ def j9_scheduler_comparison(spark, sf_dir):
     out = None
     for schedule, keep in (("static", "true"), ("dynamic", "rank % 2 = 0")):
         part = rows.where(keep)
-        one = metrics.run_summary(part).select(F.lit(schedule).alias("schedule"), "total_ms_without_comm", "load_imbalance").join(
+        cfg = DetectionConfig(tile_grid="4x3", frames=400, schedule=schedule)
+        one = metrics.summary_row(cfg, part, relation(spark, sf_dir, adapters.COUNT_SERIAL), run_id=schedule).select("schedule", "world_size", "frames", "tile_grid", "num_tasks", "total_ms_with_comm", "total_ms_without_comm", "load_imbalance").join(
             metrics.rank_summary(part, schedule).select(F.col("label").alias("schedule"), "comm_s_total", "idle_s_total", "idle_gap_ratio", "load_balance_pass"), "schedule")
         out = one if out is None else out.unionByName(one)
     return six(out)
 
 
 def _j9(schedule: str, keep: str) -> str:
-    return f"""select '{schedule}' as schedule, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance, round(sum(comm_ms) / 1000, 6) as comm_s_total,
+    return f"""select '{schedule}' as schedule, cast(count(*) as int) as world_size, 400 as frames, '4x3' as tile_grid, 4800 as num_tasks, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance, round(sum(comm_ms) / 1000, 6) as comm_s_total,
  round(sum(idle) / 1000, 6) as idle_s_total, round((max(idle) filter (tasks_done > 0) - min(idle) filter (tasks_done > 0)) / max(compute_ms) filter (tasks_done > 0), 6) as idle_gap_ratio,
  case when (max(idle) filter (tasks_done > 0) - min(idle) filter (tasks_done > 0)) / max(compute_ms) filter (tasks_done > 0) <= 0.25 then 'YES' else 'NO' end as load_balance_pass
 from (select *, greatest(0.0, max(compute_ms) over () - compute_ms) as idle from ({RANKS}) where {keep})"""
@@ -417,7 +434,32 @@ def s17_keyed_files(spark, sf_dir):
 
 S17_SQL = "select 'nation' as source, count(*) as n from nation union all select 'region', count(*) from region"
 
+def s6_csv_scan(spark, sf_dir):
+    """Counts written as CSV files with a header, read again by the declared columns."""
+    path = staged_path(spark, "csv")
+    relation(spark, sf_dir, adapters.COUNT_SERIAL).select("frame_id", "person_count").write.csv(path, header=True)
+    return files.read_csv(spark, path, "frame_id int, person_count bigint")
+
+
+def s12_ppm_pixels(spark, sf_dir):
+    """A 2x1 image in P6 and one in P3 per supplier, decoded to levels of each channel."""
+    rows = relation(spark, sf_dir, "select s_suppkey from {supplier}")
+    level = lambda k: f"(s_suppkey * 37 + {k} * 11) % 256"
+    binary = F.expr(f"concat(cast('P6\\n# two pixels\\n2 1\\n255\\n' as binary), unhex(concat({', '.join(f'lpad(hex({level(k)}), 2, 0)' for k in range(6))})))")
+    plain = F.expr(f"cast(concat('P3 2 1 255\\n', concat_ws(' ', {', '.join(level(k) for k in range(6))})) as binary)")
+    images = rows.select(F.concat(F.lit("p6/"), "s_suppkey").alias("path"), binary.alias("content")).unionByName(rows.select(F.concat(F.lit("p3/"), "s_suppkey").alias("path"), plain.alias("content")))
+    pixels = files.ppm_pixels(images).select("path", "c", "height", "width", F.posexplode("values").alias("x", "value"))
+    return pixels.select("path", "c", "height", "width", "x", F.round(F.col("value") * 255).cast("int").alias("level"))
+
+
+S12_SQL = """select kind || s_suppkey as path, cast(c as int) as c, 1 as height, 2 as width, cast(x as int) as x, cast((s_suppkey * 37 + (3 * x + c) * 11) % 256 as int) as level
+from supplier, (select unnest(['p6/', 'p3/']) as kind), (select unnest(range(3)) as c), (select unnest(range(2)) as x)"""
+
+
 QUERIES = {
+    "k4_summary_table": (k4_summary_table, K4_SQL),
+    "s6_csv_scan": (s6_csv_scan, f"select cast(frame_id as int) as frame_id, cast(person_count as bigint) as person_count from ({SERIAL})"),
+    "s12_ppm_pixels": (s12_ppm_pixels, S12_SQL),
     "a3_metrics_by_rank": (a3_metrics_by_rank, A3_SQL), "k3_rank_table": (k3_rank_table, K3_SQL), "a4_run_summary": (a4_run_summary, A4_SQL), "a11_host_rollup": (a11_host_rollup, HOST_SQL),
     "a12_rank_summary": (a12_rank_summary, A12_SQL), "j10_host_distribution": (j10_host_distribution, J10_SQL), "j12_host_change": (j12_host_change, J12_SQL), "j2_count_comparison": (j2_count_comparison, J2_SQL),
     "a6_correctness": (a6_correctness, A6_SQL), "k5_correctness_text": (k5_correctness_text, K5_SQL), "j3_truth_comparison": (j3_truth_comparison, J3_SQL), "a7_accuracy": (a7_accuracy, A7_SQL), "a8_truth_counts": (a8_truth_counts, A8_SQL),
