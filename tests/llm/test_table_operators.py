@@ -104,7 +104,7 @@ def plain_components(texts, k, percent):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 384), (5, 80, 384), (3, 85, 8)])
+@pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 384), (5, 80, 96), (3, 85, 8)])
 def test_near_duplicates_equal_brute_force(spark, shingle, percent, block):
     rng = random.Random(percent + block)
     words = [f"w{k}" for k in range(500)]
@@ -231,4 +231,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(out) == {*range(60), 203, 204}
     assert "[access]" in out[203].text and out[203].n_chars == len(out[203].text) and out[204].text is None
     assert len({(r.mix_slot, r.mix_rank) for r in out.values()}) == len(out)
+    odd = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "doc_id as mix_slot", "'own' as leaks", "doc_id + 1 as secret_spans", "1.5D as `a.b`", "'r' as redacted", "array(1) as _c0", "'t' as tox_score", "map(1, 2) as m")
+    for _, stage in corpus_pipeline.STAGES:
+        before, odd = odd.columns, stage(spark, odd, d)
+        assert odd.columns[:len(before)] == before
+    assert odd.columns[len(before):] == ["mix_slot_", "mix_rank", "mix_block"]
+    again = {r.doc_id: r for r in odd.collect()}
+    assert set(again) == set(out) and all((r.mix_slot, r.leaks, r.secret_spans, r["a.b"], r.redacted, r.tox_score, r.m) == (k, "own", k + 1, 1.5, "r", "t", {1: 2}) for k, r in again.items())
+    assert {k: (r.text, r.n_chars, r.mix_slot_) for k, r in again.items()} == {k: (r.text, r.n_chars, r.mix_slot) for k, r in out.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "mixing"]
+
+
+def test_near_duplicates_with_ids_of_text(spark):
+    rows = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six"), ("b", "one two three four five six"), (None, "one two three four five six"), ("z", None), ("c", "else is here in this text")], "`my id` string, text string")
+    out = sorted((r["doc_id"] or "", r["component_id"] or "", r["kept"]) for r in near.near_duplicates(rows, doc_id="my id").collect())
+    assert out == [("", "", True), ("a", "a", True), ("b", "a", False), ("b", "a", False), ("c", "c", True), ("z", "z", True)]
+    assert sorted(str(r[0]) for r in near.drop_near_duplicates(rows, doc_id="my id").collect()) == ["None", "a", "c", "z"]
+
+
+def test_hot_buckets_of_many_blocks_lose_no_link(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for shared, n in ((60, 150), (54, 150)):  # copies that share nearly all, and texts that share a long passage without being copies
+        passage = [rng.choice(words) for _ in range(shared)]
+        texts += [" ".join([*passage, *(rng.choice(words) for _ in range(64 - shared))]) for _ in range(n)]
+    rng.shuffle(texts)
+    out = [r.component_id for r in near.near_duplicates(docs(spark, texts), shingle=3, percent=85, block=6, block_bytes=4000).orderBy("doc_id").collect()]
+    want = [c for _, c in plain_components(texts, 3, 85)]
+    assert out == want and len(set(want)) > 60

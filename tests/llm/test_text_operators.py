@@ -94,8 +94,27 @@ def test_decontaminate_keeps_columns_and_repeats(spark):
     out = decontaminate.decontaminate(rows, bench)
     assert out.columns == rows.columns and out.count() == 3 and out.where("doc_id = 1").count() == 0
     assert decontaminate.decontaminate(rows, bench.limit(0)).count() == 4 and decontaminate.decontaminate(rows.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.find_leaks(rows, bench, item_words=3)
+    for words in (3, 100):
+        assert decontaminate.decontaminate(rows, bench, item_words=words).count() == 3
+
+
+@pytest.mark.parametrize("block", [500, 0])
+def test_leaks_with_ids_of_text_and_clashing_columns(spark, block):
+    item = "one two three four five six seven"
+    rows = spark.createDataFrame([(1, f"x {item} y", "mine", 2.5, 1), (2, "clean text", "own", 3.5, 1), (2, "clean text", "own", 3.5, 1), (None, None, None, None, None)], "doc_id long, text string, Leaks string, `a.b` double, _digest int")
+    bench = spark.createDataFrame([("b", item), ("a", item), (None, "clean"), ("e", ""), ("n", None)], "item_id string, text string")
+    out = {r.doc_id: [tuple(x) for x in r.leaks] for r in decontaminate.find_leaks(rows, bench, block=block).collect()}
+    assert out == {1: [("a", 3, 3), ("b", 3, 3)], 2: [(None, 1, 1)], None: []}
+    kept = decontaminate.decontaminate(rows, bench, block=block)
+    assert kept.columns == rows.columns and sorted((r.doc_id or 0, r.Leaks or "", r["a.b"] or 0) for r in kept.collect()) == [(0, "", 0), (2, "own", 3.5), (2, "own", 3.5)]
+    assert decontaminate.decontaminate(rows, bench, least_words=1, block=block).count() == 1
+
+
+def test_a_large_benchmark_is_searched_in_one_plan(spark):
+    items = spark.range(100_000).selectExpr("id as item_id", "array_join(transform(sequence(0, 11), k -> concat('w', conv(abs(xxhash64(id, k)) % 100000, 10, 36))), ' ') as text")
+    texts = items.where("item_id % 10007 = 5").selectExpr("item_id as doc_id", "concat('start ', text, repeat(' filler word', 500)) as text").unionByName(docs(spark, [None, "", "w1 w2 w3 w4 w5 w6"]))
+    found = decontaminate.find_leaks(texts, items).where("size(leaks) > 0")
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found.collect()} == {k: [k] for k in range(5, 100_000, 10007)}
 
 
 def test_secrets_found_redacted_and_left_alone(spark):
@@ -197,3 +216,51 @@ def test_chat_paths_of_trees(spark):
     loop = spark.createDataFrame([("c", 1, 2, 0.0), ("c", 2, 1, 0.0)], "tree string, message long, parent long, score double")
     with pytest.raises(ValueError):
         chat.best_paths(loop, max_doublings=6)
+
+
+def test_automaton_equals_plain_search():
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon({" vile ": 2.0, " vil": 1.0, " ab": 0.5, " abc ": 3.0, " cab": 1.5}, [" so vile ", " abc de "])
+    machine = lexicon.matcher()
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rng.choice(["vile", "villa", "abc", "ab", "de", "so", "cabs", "xvile"]) for _ in range(rng.randint(0, 30))))
+        hits = {}
+        for pattern, weight in lexicon.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(pattern, at):
+                    hits[at] = max(weight, hits.get(at, weight))
+        excused = [(at, at + len(p) - 1) for p in lexicon.exceptions for at in range(len(folded)) if folded.startswith(p, at)]
+        assert lexicon.matches(machine, folded) == {at: w for at, w in hits.items() if not any(a <= at < z for a, z in excused)}
+
+
+def test_equal_texts_with_different_labels_count_as_toxic(spark):
+    rows = labelled(spark).unionByName(labelled(spark).selectExpr("doc_id + 1000 as doc_id", "text", "0 as toxic"))
+    one, two = toxicity.learn_lexicon(rows), toxicity.learn_lexicon(rows.repartition(7).orderBy(F.rand(3)))
+    assert one == two and any(" badthing ".startswith(p) for p in one.weights)
+
+
+def test_markov_windows_equal_plain_search():
+    ratio, rng = secrets.default_ratio(), random.Random(10)
+    pool = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for _ in range(60):
+        run = b"accountnumber" * rng.randint(0, 3) + b"/" + bytes(rng.choices(pool, k=rng.randint(0, 30))) + b"/" + b"locationservice" * rng.randint(0, 2)
+        if len(run) < 16:
+            continue
+        codes = [0, *run]
+        steps = [ratio[a, b] - 0.5 for a, b in zip(codes, codes[1:])]
+        best, _, at = max((sum(steps[a:z]), -z, (a, z)) for a in range(len(run)) for z in range(a + 16, len(run) + 1))
+        found = secrets._random_parts(run, ratio, 0.5, 16, -1e9)
+        # a window is widened to the next / on both sides
+        assert bool(found) == (best >= 0) and (not found or any(a <= at[0] and at[1] <= z and (a == 0 or run[a - 1:a] == b"/") for a, z in found))
+
+
+def test_markov_recall_by_kind_of_token():
+    ratio, rng = secrets.default_ratio(), random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    markov = lambda text: any(k == "markov" for *_, k in secrets.find_secrets(text.encode(), ratio))
+    for alphabet, least in ((low + up + digits + "+/", (0.96, 0.98, 1)), (low + digits, (0.9, 0.95, 0.97)), (low + up, (0.93, 0.97, 0.99)), (low, (0.7, 0.9, 0.95))):
+        for n, want in zip((16, 20, 32), least):
+            assert sum(markov(f"see {''.join(rng.choices(alphabet, k=n))} end") for _ in range(300)) / 300 >= want, (alphabet, n)
+    uuid = lambda: "-".join("".join(rng.choices(digits + "abcdef", k=k)) for k in (8, 4, 4, 4, 12))
+    assert not any(markov(f"id={uuid()}/x {uuid().upper()}") for _ in range(300))
+    assert markov(f"id={uuid()}/Xq9ZkR3LmP8vTw2B")

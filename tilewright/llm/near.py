@@ -1,27 +1,30 @@
 """MinHash near-duplicates with odd sketches, exact confirmation on full shingle sets, and components.
 
-1. One pass over the texts gives each document its set of word shingles (64-bit hashes), ``SAMPLES``
-   or more MinHash values, band hashes of the first of them and an odd sketch: the MinHash samples fold into a
-   parity bitmap, so two documents' bitmaps differ in about as many bits as their samples do.
-   Documents with equal sets collapse to one node, named by its smallest doc_id.
+1. One pass over the texts gives each document the number of its word shingles, a key of their set,
+   ``SAMPLES`` or more MinHash values, band hashes of the first of them and an odd sketch: the MinHash
+   samples fold into a parity bitmap, so two documents' bitmaps differ in about as many bits as their
+   samples do. Documents with equal sets collapse to one node, named by its smallest id.
 2. Bands of ``ROWS`` values, so many that a pair at the limit meets in none of them once in 10^6.
-   Buckets with the same members in several bands count once.
-3. Members of a bucket are dealt into blocks of about ``BLOCK``. Inside a block the XOR population counts
-   of all odd sketches pick likely pairs; those whose ends are not joined yet are confirmed
-   on the full sets. A block gives back a star per component it has found, never its pairs.
+   Buckets with the same members in several bands count once. Members of a bucket are dealt into blocks of
+   about ``BLOCK``; the XOR population counts of the odd sketches tell which members of a block are likely
+   links. Components of the likely links, with all blocks of a bucket as one, are clusters: every link is
+   inside one, and a node is in one only. Up to here only sketches are shuffled.
+3. The sets of nodes in clusters are confirmed exactly, cluster by cluster. A large cluster is dealt into
+   blocks of about ``BLOCK`` nodes and ``BLOCK_BYTES`` of sets, which share the cluster's ``PIVOTS`` smallest nodes. A
+   block gives back a star per component that it has found, never its pairs.
 4. Components of all stars by alternating large-star and small-star steps.
-5. Only buckets of several blocks are left: there every member outside the bucket's largest component
-   meets the other blocks, block by block, skipping pairs that are joined already. Members of one
-   component need no comparison, so a huge group of copies stays linear in its size.
+5. In large clusters every node outside the cluster's largest component meets the other blocks, first by
+   sketches, then the likely ones by their sets.
 
-Nothing is dropped or capped: a hot bucket only has more blocks.
+Nothing is dropped or capped: a large cluster only has more blocks. A huge group of copies stays linear in
+its size, as its members need no comparison once they share a component.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.llm.common import read_table, renamed, restored, staged
+from tilewright.llm.common import read_table, renamed, restored, row_hash, staged
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
-ROWS = 4
+ROWS = 5
 MISS = 1e-6
 SAMPLES = 256
 SKETCH_BITS = 1024
-BLOCK = 384
+BLOCK = 96
+BLOCK_BYTES = 32_000_000
+PIVOTS = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -153,31 +158,40 @@ def signatures(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch, cluster, block, blocks, shingles) of the rows of (node, text, set_key, sketch, cluster, block, blocks) whose text has the set of that key."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
             sets = [shingler(t).tobytes() for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s) if s else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["node", "set_key", "shingles"])
+            same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(sets, pa.binary())], ["node", "sketch", "cluster", "block", "blocks", "shingles"]).filter(same)
 
-    return docs.mapInArrow(cut, "node bigint, set_key binary, shingles binary")
+    return docs.mapInArrow(cut, "node bigint, sketch binary, cluster bigint, block int, blocks int, shingles binary")
 
 
-class _Forest:
-    """Union-find over the rows of a block."""
+def _popcounts(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int32)
 
-    def __init__(self, labels: np.ndarray):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(int(x), i) for i, x in enumerate(labels)]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def _partners(i: int, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, open_: np.ndarray, percent: int, most_bits: int) -> np.ndarray:
+    """Rows of ``open_`` with another label that are likely partners of row i by size and sketch, the most likely first."""
+    small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+    rest = np.flatnonzero(open_ & (labels != labels[i]) & (100 * small >= percent * large))
+    bits = _popcounts(sketches[i], sketches[rest])
+    order = np.argsort(bits, kind="stable")
+    return rest[order[: np.count_nonzero(bits <= most_bits)]]
 
 
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+def _likely(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, percent: int, most_bits: int) -> np.ndarray:
+    """The rows of a block that have a likely partner: among all rows if all ask, else among askers and those that don't."""
+    found = np.zeros(len(labels), bool)
+    rest = np.ones(len(labels), bool) if asks.all() else ~asks
+    for i in np.flatnonzero(asks):
+        with_ = _partners(i, labels, sizes, sketches, rest, percent, most_bits)
+        if len(with_):
+            found[i] = True
+            found[with_] = True
+    return found
 
 
 def _links(nodes: np.ndarray, labels: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, percent: int, most_bits: int) -> list[tuple[int, int]]:
@@ -185,28 +199,18 @@ def _links(nodes: np.ndarray, labels: np.ndarray, sketches: np.ndarray, sets: li
 
     asks: the rows to compare with all others, or, if not all rows ask, with all that don't.
     """
-    forest, out = _Forest(labels), []
+    out, labels = [], np.unique(labels, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
-    words = sketches.view(np.uint16)
-    asked = np.flatnonzero(asks)
-    done = np.zeros(len(nodes), bool) if asks.all() else asks.copy()
-    for i in asked:
-        roots = np.array([forest.root(j) for j in range(len(nodes))])
-        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        open_ = ~done & (roots != roots[i]) & (100 * small >= percent * large)
-        done[i] = True
-        rest = np.flatnonzero(open_)
-        if not len(rest):
-            continue
-        bits = _POP[words[rest] ^ words[i]].sum(axis=1, dtype=np.int32)
-        order = np.argsort(bits, kind="stable")
-        for j in rest[order[: np.count_nonzero(bits <= most_bits)]]:
-            if forest.root(j) == forest.root(i):
+    open_ = np.ones(len(nodes), bool) if asks.all() else ~asks
+    for i in np.flatnonzero(asks):
+        open_[i] = False
+        for j in _partners(i, labels, sizes, sketches, open_, percent, most_bits):
+            if labels[j] == labels[i]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 out.append((int(nodes[i]), int(nodes[j])))
-                forest.up[forest.root(j)] = forest.root(i)
+                labels[labels == labels[j]] = labels[i]
     return out
 
 
@@ -226,23 +230,61 @@ def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(root(x), x) for x in up if root(x) != x]
 
 
+def _most_bits(percent: int) -> int:
+    return most_differing_bits(percent / 100, max(SAMPLES, n_bands(percent / 100) * ROWS), SKETCH_BITS)
+
+
+def _sketches(table: pa.Table, order: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
+
+
+def _likely_stars(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) stars of the likely links in the groups of ``members``: bucket, block, node, n_shingles, sketch."""
+    most = _most_bits(percent)
+
+    def group(table: pa.Table) -> pa.Table:
+        nodes, sizes = table["node"].to_numpy(), table["n_shingles"].to_numpy()
+        sketches, labels = _sketches(table, np.arange(len(table))), np.arange(len(table))
+        for i in range(len(nodes)):
+            found = _partners(i, labels, sizes, sketches, np.ones(len(nodes), bool), percent, most)
+            labels[np.isin(labels, labels[found])] = labels[i]
+        least = {int(k): int(nodes[labels == k].min()) for k in np.unique(labels)}
+        pairs = [(least[int(k)], int(x)) for k, x in zip(labels, nodes) if least[int(k)] != x]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return members.groupBy("bucket", "block").applyInArrow(group, "a bigint, b bigint")
+
+
+def _with_partners(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """keys, node and asks of the ``members`` (keys, node, label, n_shingles, sketch, asks) that have a likely partner of another label in their group."""
+    most = _most_bits(percent)
+    schema = ", ".join([f"{k} {dict(members.dtypes)[k]}" for k in keys] + ["node bigint", "asks boolean"])
+
+    def group(table: pa.Table) -> pa.Table:
+        order = np.arange(len(table))
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        found = _likely(table["label"].to_numpy(), table["n_shingles"].to_numpy(), _sketches(table, order), asks, percent, most)
+        return table.select([*keys, "node", "asks"]).filter(pa.array(found))
+
+    return members.groupBy(*keys).applyInArrow(group, schema)
+
+
 def _compare(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(a, b) stars from the groups of ``members``: keys, node, label, sketch, shingles, asks."""
-    most = most_differing_bits(percent / 100, max(SAMPLES, n_bands(percent / 100) * ROWS), SKETCH_BITS)
+    most = _most_bits(percent)
 
     def group(table: pa.Table) -> pa.Table:
         nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
         order = np.argsort(nodes, kind="stable")
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(nodes), -1)[order]
         raw = table["shingles"].to_pylist()
         sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-        found = _stars(_links(nodes[order], labels[order], sketches, sets, table["asks"].to_numpy(zero_copy_only=False)[order], percent, most))
+        found = _stars(_links(nodes[order], labels[order], _sketches(table, order), sets, table["asks"].to_numpy(zero_copy_only=False)[order], percent, most))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return members.groupBy(*keys).applyInArrow(group, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node of its component."""
     def both_ways(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -269,58 +311,93 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components don't settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    return staged(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()), name)
+
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` (doc_id, text) with bigint ids in the order of those given, and (number, id) where they aren't whole numbers."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), None
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().orderBy("id")
+    ids = staged(ids.select(F.monotonically_increasing_id().alias("number"), "id"), "ids")
+    return docs.join(ids, F.col("doc_id") == F.col("id"), "left").select(F.col("number").alias("doc_id"), "text"), ids
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT, block: int = BLOCK) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
     Two documents are linked if their sets' intersection is at least ``percent`` hundredths of their union.
     component_id is the smallest doc_id that links reach. Texts without words are linked with nothing.
     Rows with the same doc_id are one node. Rows with a null id stay alone: their component is null and
-    they are kept. Repeated rows stay, kept alike.
+    they are kept. Repeated rows stay, kept alike. Ids may be of any type that sorts.
     """
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs, ids = _numbered(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
     signed = staged(signatures(docs, shingle, percent / 100), "signatures")
-    unique = staged(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
-    own = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").join(unique.select("set_key", "node"), "set_key")
-    same = own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    entries = unique.select("node", F.posexplode("bands").alias("band", "bucket"))
-    whole = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node") % 2_147_483_647).alias("sum"))
-    whole = whole.where("n > 1").groupBy("n", "lo", "hi", "sum").agg(F.min("bucket").alias("bucket"))
-    members = staged(entries.join(whole.select("bucket", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks")), "bucket").select(
-        "bucket", "node", "blocks", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int").alias("block")), "members")
-    wanted = members.select("node").distinct()
+    named = signed.where("set_key is not null and doc_id is not null")
+    unique = staged(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    same = named.select("doc_id", "set_key").join(unique.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    entries = unique.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    whole = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("mark"))
+    whole = whole.where("n > 1").groupBy("n", "lo", "hi", "mark").agg(F.min("bucket").alias("bucket"))
+    members = entries.join(whole.select("bucket", "lo", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks")), "bucket").select(
+        "bucket", "node", "n_shingles", "lo", "blocks", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int").alias("block"))
+    members = staged(members.join(unique.select("node", "sketch"), "node"), "members")
+    likely = _likely_stars(members.select("bucket", "block", "node", "n_shingles", "sketch"), percent)
+    clusters = components(likely.unionByName(members.where("blocks > 1 and node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))), "clusters")
+    clusters = clusters.join(unique.select("node", "n_shingles"), "node")
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).select(
+        F.col("label").alias("cluster"), F.expr(f"cast(ceil(greatest(n / {block}, 8 * total / {block_bytes})) as int)").alias("blocks"))
     # ids and sets grow with the documents: never broadcast, at any size
-    sets = _shingle_sets(docs.hint("merge").join(wanted, F.col("doc_id") == F.col("node")).select("doc_id", "text"), shingle).where("set_key is not null").dropDuplicates(["node", "set_key"])
-    full = staged(sets.join(unique.select("set_key", "sketch"), "set_key").select("node", "sketch", "shingles"), "full-sets")
-    first = members.join(full.hint("merge"), "node").select("bucket", "block", "node", F.col("node").alias("label"), "sketch", "shingles", F.lit(True).alias("asks"))
-    stars = staged(_compare(first, ["bucket", "block"], percent), "stars")
-    links = stars.unionByName(same)
-    joined = staged(components(links), "components")
-    hot = members.where("blocks > 1")
-    if not hot.isEmpty():
-        again = _across_blocks(hot, joined, full, percent)
-        links = staged(joined.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(again), "links")
-        joined = staged(components(links), "components")
+    dealt = staged(clusters.join(sizes, F.col("label") == F.col("cluster")).select(
+        "cluster", "node", "n_shingles", "blocks", F.expr("pmod(xxhash64(node, 5), blocks)").cast("int").alias("block")), "dealt")
+    keys = unique.select("node", "set_key", "sketch").join(dealt, "node")
+    full = _shingle_sets(docs.hint("merge").join(keys, F.col("doc_id") == F.col("node")).select("node", "text", "set_key", "sketch", "cluster", "block", "blocks"), shingle)
+    if not named.groupBy("doc_id", "set_key").count().where("count > 1").isEmpty():
+        full = full.dropDuplicates(["node"])
+    full = staged(full, "full-sets")
+    row = ["cluster", "block", "node", F.col("node").alias("label"), "sketch", "shingles", F.lit(True).alias("asks")]
+    first = full.select(*row)
+    large = dealt.where("blocks > 1")
+    any_large = not large.isEmpty()
+    if any_large:
+        lowest = Window.partitionBy("cluster").orderBy("node")
+        pivots = large.withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= PIVOTS).select("node", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("at")).where("at <> home")
+        first = first.unionByName(full.where("blocks > 1").drop("block").join(pivots.select("node", F.col("at").alias("block")), "node").select(*row))
+    stars = staged(_compare(first, ["cluster", "block"], percent), "stars")
+    joined = components(stars.unionByName(same), "components")
+    if any_large:
+        between = _between_blocks(_labelled(large.join(unique.select("node", "sketch"), "node"), joined), block)
+        group = ["cluster", "from", "block"]
+        again = _labelled(staged(_with_partners(between, group, percent), "across"), joined)
+        if not again.isEmpty():
+            stars = staged(_compare(again.join(full.select("node", "sketch", "shingles"), "node"), group, percent), "more-stars")
+            joined = components(joined.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(stars), "components")
     labels = joined.select(F.col("node").alias("l_node"), F.col("label"))
-    return signed.join(labels, F.col("doc_id") == F.col("l_node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = signed.join(labels, F.col("doc_id") == F.col("l_node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    if ids is not None:
+        for name in ("doc_id", "component_id"):
+            out = out.join(ids.withColumnRenamed("id", "given"), F.col(name) == F.col("number"), "left").drop("number", name).withColumnRenamed("given", name)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node as ``label``; a node that nothing is linked to is its own."""
+    return rows.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("j_node")
 
 
-def _across_blocks(hot: DataFrame, joined: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Stars between the blocks of a bucket, for members outside its largest component against all others."""
-    named = staged(hot.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node"), "left").select(
-        "bucket", "blocks", "block", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    largest = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"), F.count("*").alias("kinds"))
-    rows = named.join(largest.where("kinds > 1"), "bucket")
-    outside = rows.where("label <> top").select("bucket", F.col("block").alias("from"), "blocks", "node", "label")
-    asks = outside.select("bucket", "from", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> from)")).alias("block"), "node", "label", F.lit(True).alias("asks"))
-    froms = outside.select("bucket", "from").distinct().withColumnRenamed("bucket", "f_bucket")
-    answers = rows.join(froms, (F.col("bucket") == F.col("f_bucket")) & (F.col("block") != F.col("from"))).select("bucket", "from", "block", "node", "label", F.lit(False).alias("asks"))
-    both = asks.unionByName(answers).join(full.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node")).select("bucket", "from", "block", "node", "label", "sketch", "shingles", "asks")
-    return _compare(both, ["bucket", "from", "block"], percent)
+def _between_blocks(large: DataFrame, block: int) -> DataFrame:
+    """Rows of (cluster, from, block): nodes outside a cluster's largest component, in groups of about ``block``, ask each of its blocks but their own.
+
+    Nodes of the largest component only answer, so a cluster of copies is read once for each group of others.
+    """
+    large = staged(large, "large")
+    sizes = large.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("top"), (F.sum("c") - F.max("c")).alias("others"))
+    sizes = sizes.where("others > 0").select("cluster", "top", F.expr(f"cast(ceil(others / {block}) as int)").alias("froms"))
+    rows = staged(large.join(sizes, "cluster").select("cluster", "node", "label", "n_shingles", "sketch", "block", "blocks", "top", "froms"), "large-rows")
+    row = ["cluster", "node", "label", "n_shingles", "sketch"]
+    asks = rows.where("label <> top").select(*row, F.expr("pmod(xxhash64(node, 7), froms)").cast("int").alias("from"), F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")).alias("block"), F.lit(True).alias("asks"))
+    answers = rows.select(*row, F.explode(F.expr("sequence(0, froms - 1)")).alias("from"), "block", F.lit(False).alias("asks"))
+    return asks.unionByName(answers)
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -332,9 +409,9 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     now = {old: new for new, old in names.items()}
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     out = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = rows.join(out, F.col(now[doc_id]).cast("bigint") == F.col("_gone"), "left_anti")
+    rows = rows.join(out, F.col(now[doc_id]) == F.col("_gone"), "left_anti")
     spaced = F.trim(F.translate(F.coalesce(F.col(now[text]), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    place = F.row_number().over(Window.partitionBy(now[doc_id]).orderBy(F.xxhash64(*names)))
+    place = F.row_number().over(Window.partitionBy(now[doc_id]).orderBy(row_hash(rows)))
     return rows.withColumn("_place", F.when(F.col(now[doc_id]).isNull() | spaced, 1).otherwise(place)).where("_place = 1").select(*restored(names))
 
 
