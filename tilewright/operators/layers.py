@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.text import most_square_rows
 from tilewright.operators.metrics import share
 
 
@@ -42,3 +43,19 @@ def run_totals(runs: DataFrame) -> DataFrame:
 def halo_share(totals: DataFrame) -> DataFrame:
     """Share of the halo in a run's time; 0 for a run without time."""
     return totals.withColumn("halo_ratio", share(F.col("halo_ms"), F.col("distributed_ms")))
+
+
+def conv_summary(runs: DataFrame, errors: DataFrame, *, profile: str, height: int, width: int, conv_layers: int = 8) -> DataFrame:
+    """K7: a row per run (halo_mode, p) with its grid, times and the error of its result; serial_ms is the run of one process in that mode."""
+    totals = run_totals(runs)
+    serial = totals.where("p = 1").select("halo_mode", F.col("distributed_ms").alias("serial_ms"))
+    rows = most_square_rows(F.col("p"))
+    return totals.join(serial, "halo_mode", "left").join(F.broadcast(errors)).select(
+        F.lit(profile).alias("profile"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("p").alias("world_size"), rows.cast("int").alias("grid_rows"), (F.col("p") / rows).cast("int").alias("grid_cols"),
+        F.lit(conv_layers).alias("conv_layers"), "halo_mode", "distributed_ms", "serial_ms", "max_abs_error", "mean_abs_error", "correct")
+
+
+def image_table(images: DataFrame, times: DataFrame, errors: DataFrame) -> DataFrame:
+    """K7: a row per image from (image_index, path, height, width), its times (image_index, distributed_ms, serial_ms) and its errors (img, max_abs_error, mean_abs_error)."""
+    return images.join(times, "image_index").join(errors, F.col("image_index") == F.col("img")).select(
+        "image_index", F.col("path").alias("image_path"), "height", "width", "distributed_ms", "serial_ms", "max_abs_error", "mean_abs_error", F.when(F.col("max_abs_error") < 1e-3, "YES").otherwise("NO").alias("correct"))

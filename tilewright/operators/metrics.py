@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,11 +112,11 @@ def against_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("absolute_percentage_error", F.when(F.col("gt_count") != 0, F.round(F.col("abs_error") / F.col("gt_count"), 6)))
 
 
-def accuracy(errors: DataFrame) -> DataFrame:
-    """MAE, RMSE, MAPE, share of exact frames, mean counts; six decimals."""
+def accuracy(errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """MAE, RMSE, MAPE, share of exact frames, mean counts; six decimals; of each group of ``by``, as of the sequences of a suite."""
     def six(c: Column) -> Column:
         return F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return errors.agg(F.count("*").alias("frames_compared"), six(F.avg("abs_error")).alias("mae"), six(F.sqrt(F.avg("squared_error"))).alias("rmse"), six(F.avg(F.when(F.col("gt_count") != 0, F.col("abs_error") / F.col("gt_count")))).alias("mean_abs_percentage_error"),
+    return errors.groupBy(*by).agg(F.count("*").alias("frames_compared"), six(F.avg("abs_error")).alias("mae"), six(F.sqrt(F.avg("squared_error"))).alias("rmse"), six(F.avg(F.when(F.col("gt_count") != 0, F.col("abs_error") / F.col("gt_count")))).alias("mean_abs_percentage_error"),
                       six(F.avg((F.col("error") == 0).cast("int"))).alias("exact_match_rate"), six(F.avg("gt_count")).alias("mean_gt_count"), six(F.avg("pred_count")).alias("mean_pred_count"))
 
 
@@ -169,6 +171,35 @@ def readiness(summary: DataFrame, ranks: DataFrame, boxes: DataFrame, hosts: Dat
     return out.unionByName(have.select(F.when(F.col("there"), "PASS").otherwise("FAIL").alias("status"), F.concat(F.lit("required host "), F.col("host")).alias("check"), F.lit("").alias("detail")))
 
 
+def placement_overview(cfg: DetectionConfig, runs: dict[str, DataFrame], counts: DataFrame) -> DataFrame:
+    """A row per placement (label -> ranks): sizes, times, balance and what each host has done."""
+    rows = []
+    for label, ranks in runs.items():
+        row = summary_row(cfg, ranks, counts, run_id=label).select(F.col("run_id").alias("label"), "world_size", "frames", "tile_grid", "total_ms_with_comm", "total_ms_without_comm", "load_imbalance")
+        rows.append(row.join(host_distribution(host_rollup(ranks, label)), "label"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def report_readiness(reports: DataFrame, phrases: list[str], placeholder: str, *, figures: int = 5, tables: int = 8, pages: tuple[int, int] = (10, 20)) -> DataFrame:
+    """(report, failures, ready) from (report, text, html, pdf): what each report still lacks, in order of the rules.
+
+    Placeholders by a pattern, phrases that must be there, figures and tables by number, and the page count,
+    the largest /Count of the PDF or else its /Page entries. A missing part fails by its name.
+    """
+    count = lambda c, pattern: F.size(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0)))
+    counts = F.transform(F.regexp_extract_all(F.decode("pdf", "ISO-8859-1"), F.lit(r"/Count\s+(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    leaves = F.size(F.regexp_extract_all(F.decode("pdf", "ISO-8859-1"), F.lit(r"/Type\s*/Page\b"), F.lit(0)))
+    n_pages = F.coalesce(F.array_max(counts), leaves)
+    rules = [
+        *[(F.col(c).isNull() | (F.length(c) == 0), F.lit(f"missing {c}")) for c in ("text", "html", "pdf")],
+        (count("text", placeholder) > 0, F.lit("placeholders in text")), *[(~F.contains(F.col("text"), F.lit(x)), F.lit(f"missing phrase: {x}")) for x in phrases],
+        (count("text", r"!\[[^\]]*\]\([^)]+\)") < figures, F.concat(F.lit("figures in text: "), count("text", r"!\[[^\]]*\]\([^)]+\)").cast("string"))),
+        (count("html", placeholder) > 0, F.lit("placeholders in html")), (count("html", "data:image/") < figures, F.lit("figures in html")), (count("html", "<table>") < tables, F.lit("tables in html")),
+        (~n_pages.between(*pages), F.concat(F.lit("pages: "), n_pages.cast("string")))]
+    failures = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), said) for bad, said in rules]), lambda x: x.isNotNull())
+    return reports.select("report", failures.alias("failures")).withColumn("ready", F.when(F.size("failures") == 0, "YES").otherwise("NO"))
+
+
 def gate(table: DataFrame, limit: float = 1e-3) -> DataFrame:
     """Whether every row is correct and no error exceeds the limit, from (correct, max_abs_error) texts."""
     worst = F.coalesce(F.max(F.col("max_abs_error").try_cast("double")), F.lit(0.0))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -434,6 +438,98 @@ def s17_keyed_files(spark, sf_dir):
 
 S17_SQL = "select 'nation' as source, count(*) as n from nation union all select 'region', count(*) from region"
 
+def d7_accuracy_overview(spark, sf_dir):
+    """The accuracy table of a suite of four sequences."""
+    return metrics.accuracy(_errors(spark, sf_dir).withColumn("sequence", F.concat(F.lit("seq-"), (F.col("frame_id") % 4).cast("string"))), ("sequence",))
+
+
+D7_SQL = f"""select 'seq-' || (frame_id % 4) as sequence, count(*) as frames_compared, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(coalesce(avg(case when g <> 0 then abs(e) / g end), 0), 6) as mean_abs_percentage_error,
+ round(avg(case when e = 0 then 1 else 0 end), 6) as exact_match_rate, round(avg(g), 6) as mean_gt_count, round(avg(p), 6) as mean_pred_count
+from (select frame_id, gt_count as g, person_count as p, person_count - gt_count as e from ({GT}) t join ({SERIAL}) s using (frame_id)) group by 1"""
+
+
+def d7_placement_overview(spark, sf_dir):
+    """Two placements of the ranks side by side."""
+    rows = relation(spark, sf_dir, adapters.RANK_METRICS)
+    return six(metrics.placement_overview(RUN, {"uniform_24": rows, "weighted_24": rows.where("rank % 3 <> 0")}, relation(spark, sf_dir, adapters.COUNT_SERIAL)))
+
+
+def _placement_sql(label: str, keep: str) -> str:
+    return f"""select '{label}' as label, s.world_size, 400 as frames, '4x3' as tile_grid, s.total_ms_with_comm, s.total_ms_without_comm, s.load_imbalance, h.host_task_distribution
+ from (select cast(count(*) as int) as world_size, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance from ({RANKS}) where {keep}) s,
+ (select string_agg(printf('%s ranks=%d tasks=%d share=%.3f', hostname, rank_count, tasks_done, share), '; ' order by hostname) as host_task_distribution from (select hostname, count(*) as rank_count, cast(sum(tasks_done) as bigint) as tasks_done, cast(sum(tasks_done) / sum(sum(tasks_done)) over () as double) as share from ({RANKS}) where {keep} group by hostname)) h"""
+
+
+D7_PLACEMENT_SQL = f"{_placement_sql('uniform_24', 'true')} union all {_placement_sql('weighted_24', 'rank % 3 <> 0')}"
+
+
+def k7_conv_summary(spark, sf_dir):
+    """K7: the summary of convolution runs, with the error of one of them."""
+    errors = spark.createDataFrame([(0.0005, 0.0001, "YES")], "max_abs_error double, mean_abs_error double, correct string")
+    return layers.conv_summary(_layer_runs(spark, sf_dir), errors, profile="tiny", height=32, width=32)
+
+
+K7_SQL = f"""select 'tiny' as profile, 32 as height, 32 as width, p as world_size, cast(case p when 4 then 2 when 12 then 3 else 1 end as int) as grid_rows, cast(case p when 2 then 2 when 4 then 2 when 12 then 4 else 1 end as int) as grid_cols, 8 as conv_layers,
+ halo_mode, distributed_ms, max(distributed_ms) filter (p = 1) over (partition by halo_mode) as serial_ms, 5e-4 as max_abs_error, 1e-4 as mean_abs_error, 'YES' as correct from ({TOTALS})"""
+
+
+def k7_image_table(spark, sf_dir):
+    """Times and errors of each image of a list."""
+    rows = relation(spark, sf_dir, "select s_suppkey from {supplier}")
+    images = files.image_list(rows.select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".ppm")).alias("value")), base="data").withColumns({"height": F.lit(32), "width": F.lit(48)})
+    times = images.select("image_index", (F.col("image_index") % 7 + 1.5).alias("distributed_ms"), (F.col("image_index") % 11 + 2.5).alias("serial_ms"))
+    errors = images.select(F.col("image_index").alias("img"), (F.col("image_index") % 3 * 0.0005).alias("max_abs_error"), (F.col("image_index") % 3 * 0.0001).alias("mean_abs_error"))
+    return six(layers.image_table(images, times, errors))
+
+
+K7_IMAGE_SQL = """select cast(i as int) as image_index, 'data/img' || s_suppkey || '.ppm' as image_path, 32 as height, 48 as width, i % 7 + 15e-1 as distributed_ms, i % 11 + 25e-1 as serial_ms, round(i % 3 * 5e-4, 6) as max_abs_error, round(i % 3 * 1e-4, 6) as mean_abs_error,
+ case when i % 3 < 2 then 'YES' else 'NO' end as correct from (select s_suppkey, row_number() over (order by s_suppkey) - 1 as i from supplier)"""
+
+
+def _zipped(batches):
+    for batch in batches:
+        contents = []
+        for k in batch["s_suppkey"]:
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w") as archive:
+                archive.writestr("readme.txt", "none")
+                if k % 3:
+                    archive.writestr(f"MOT17/train/Seq-{k}/GT/gt.txt", f"1,{k},3")
+                archive.writestr("other/gt.txt.bak", "x")
+            contents.append(data.getvalue())
+        yield pd.DataFrame({"path": "z" + batch["s_suppkey"].astype(str), "content": contents})
+
+
+def s10_zip_members(spark, sf_dir):
+    """The ground truth inside an archive per supplier; one in three has none."""
+    archives = relation(spark, sf_dir, "select s_suppkey from {supplier}").mapInPandas(_zipped, "path string, content binary")
+    return files.zip_members(archives, "gt\\GT.txt").select("path", "member", F.col("content").cast("string").alias("content"))
+
+
+S10_SQL = "select 'z' || s_suppkey as path, case when s_suppkey % 3 <> 0 then 'MOT17/train/Seq-' || s_suppkey || '/GT/gt.txt' end as member, case when s_suppkey % 3 <> 0 then '1,' || s_suppkey || ',3' end as content from supplier"
+
+
+def f11_report_readiness(spark, sf_dir):
+    """what a report per supplier lacks."""
+    rows = relation(spark, sf_dir, "select s_suppkey as k from {supplier}")
+    reports = rows.select(
+        F.col("k").alias("report"), F.expr("concat(if(k % 2 = 0, 'Static scheduling ', ''), if(k % 5 = 0, '<ID>', ''), repeat('![f](a.png) ', int(k % 7)))").alias("text"),
+        F.expr("if(k % 11 = 0, null, concat(repeat('<table>', int(k % 10)), repeat('data:image/png ', int(k % 6))))").alias("html"),
+        F.expr("cast(if(k % 3 = 0, concat('/Count 3 /Count ', k % 30), repeat('/Type /Page ', int(k % 25))) as binary)").alias("pdf"))
+    out = metrics.report_readiness(reports, ["Static scheduling"], "<ID>")
+    return out.select("report", F.concat_ws("; ", "failures").alias("failures"), "ready")
+
+
+F11_SQL = """
+with r as (select s_suppkey as report, s_suppkey as k, (case when s_suppkey % 2 = 0 then 'Static scheduling ' else '' end) || (case when s_suppkey % 5 = 0 then '<ID>' else '' end) as words, s_suppkey % 7 as figures,
+  case when s_suppkey % 3 = 0 then greatest(3, s_suppkey % 30) else s_suppkey % 25 end as pages from supplier),
+f as (select report, list_filter([
+  case when words = '' and figures = 0 then 'missing text' end, case when k % 11 = 0 or (k % 10 = 0 and k % 6 = 0) then 'missing html' end, case when k % 3 <> 0 and k % 25 = 0 then 'missing pdf' end,
+  case when k % 5 = 0 then 'placeholders in text' end, case when k % 2 <> 0 then 'missing phrase: Static scheduling' end, case when figures < 5 then 'figures in text: ' || figures end,
+  case when k % 11 <> 0 and k % 6 < 5 then 'figures in html' end, case when k % 11 <> 0 and k % 10 < 8 then 'tables in html' end, case when pages not between 10 and 20 then 'pages: ' || pages end], lambda x: x is not null) as l from r)
+select report, array_to_string(l, '; ') as failures, case when len(l) = 0 then 'YES' else 'NO' end as ready from f"""
+
+
 def s6_csv_scan(spark, sf_dir):
     """Counts written as CSV files with a header, read again by the declared columns."""
     path = staged_path(spark, "csv")
@@ -458,6 +554,12 @@ from supplier, (select unnest(['p6/', 'p3/']) as kind), (select unnest(range(3))
 
 QUERIES = {
     "k4_summary_table": (k4_summary_table, K4_SQL),
+    "d7_accuracy_overview": (d7_accuracy_overview, D7_SQL),
+    "d7_placement_overview": (d7_placement_overview, D7_PLACEMENT_SQL),
+    "k7_conv_summary": (k7_conv_summary, K7_SQL),
+    "k7_image_table": (k7_image_table, K7_IMAGE_SQL),
+    "s10_zip_members": (s10_zip_members, S10_SQL),
+    "f11_report_readiness": (f11_report_readiness, F11_SQL),
     "s6_csv_scan": (s6_csv_scan, f"select cast(frame_id as int) as frame_id, cast(person_count as bigint) as person_count from ({SERIAL})"),
     "s12_ppm_pixels": (s12_ppm_pixels, S12_SQL),
     "a3_metrics_by_rank": (a3_metrics_by_rank, A3_SQL), "k3_rank_table": (k3_rank_table, K3_SQL), "a4_run_summary": (a4_run_summary, A4_SQL), "a11_host_rollup": (a11_host_rollup, HOST_SQL),

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.shared import numbered
+
 
 def fixed_decimals(table: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles as texts with ``digits`` decimals."""
@@ -31,8 +33,7 @@ def markdown(table: DataFrame, order: list[str]) -> DataFrame:
     def row(cells: list[Column]) -> Column:
         return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     head = table.sparkSession.createDataFrame([(0, "| " + " | ".join(table.columns) + " |"), (1, "| " + " | ".join("---" for _ in table.columns) + " |")], "seq bigint, line string")
-    from pyspark.sql.window import Window
-    body = table.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("bigint").alias("seq"), row([F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "|", "/") for c in table.columns]).alias("line"))
+    body = numbered(table, order, "_place").select((F.col("_place") + 2).cast("bigint").alias("seq"), row([F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "|", "/") for c in table.columns]).alias("line"))
     return head.unionByName(body)
 
 

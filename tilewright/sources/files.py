@@ -5,13 +5,16 @@ None of them opens a file outside Spark's readers.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tilewright.shared import numbered
 
 DETECTION_FIELDS = (("frame_id", "int"), ("tile_id", "int"), ("rank", "int"), ("x1", "double"), ("y1", "double"), ("x2", "double"), ("y2", "double"), ("conf", "double"), ("cls", "int"))
 METRIC_FIELDS = (("rank", "int"), ("hostname", "string"), ("tasks_done", "bigint"), ("frames_done", "bigint"), ("compute_ms", "double"), ("io_ms", "double"), ("yolo_ms", "double"), ("comm_ms", "double"), ("idle_ms", "double"))
@@ -71,8 +74,8 @@ def image_list(lines: DataFrame, limit: int = 0, base: str = "") -> DataFrame:
     """(image_index, path) in order of seq; blank and comment lines are skipped, relative paths get ``base``."""
     text = F.trim("value")
     rows = lines.where((text != "") & ~text.startswith("#")).select("seq", F.when(text.startswith("/") | (F.lit(base) == ""), text).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), text)).alias("path"))
-    rows = rows.withColumn("image_index", (F.row_number().over(Window.orderBy("seq")) - 1).cast("int"))
-    return (rows.where(F.col("image_index") < limit) if limit else rows).select("image_index", "path")
+    rows = numbered(rows, ["seq"], "image_index").withColumn("image_index", F.col("image_index").cast("int"))
+    return (rows.where(F.col("image_index") < limit) if limit else rows).select("image_index", "path").orderBy("image_index")
 
 
 def with_path_key(table: DataFrame, pattern: str, name: str) -> DataFrame:
@@ -118,6 +121,26 @@ def ppm_pixels(images: DataFrame) -> DataFrame:
     return images.select("path", "content").mapInArrow(decode, "path string, c int, height int, width int, values array<float>")
 
 
+def zip_members(archives: DataFrame, suffix: str) -> DataFrame:
+    """(path, member, content) of the first member of each zip archive (path, content) whose name ends with ``suffix``, letters in either case.
+
+    An archive without such a member gives a null member. One archive is one row's work.
+    """
+    wanted = suffix.lower().replace("\\", "/")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, contents = [], []
+            for content in batch.column(1).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    name = next((n for n in archive.namelist() if n.lower().endswith(wanted)), None)
+                    members.append(name)
+                    contents.append(None if name is None else archive.read(name))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.string()), pa.array(contents, pa.binary())], ["path", "member", "content"])
+
+    return archives.select("path", "content").mapInArrow(find, "path string, member string, content binary")
+
+
 def camera_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frames and tiles from protocol lines; END lines, READY and blank lines carry no rows, ERROR lines are an error."""
     checked = lines.withColumn("value", F.when(F.col("value").startswith("ERROR"), F.raise_error(F.col("value")).cast("string")).otherwise(F.col("value")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
+from tilewright.shared import numbered
 
 
 def parse_grid(grid: Column) -> tuple[Column, Column]:
@@ -46,4 +46,4 @@ def placed_ranks(hosts: DataFrame, policy: str = "slot") -> DataFrame:
     """(rank, host) from (seq, host, slots). slot: fill hosts one by one; node: one rank per host in turn."""
     slots = hosts.select("seq", "host", F.explode(F.sequence(F.lit(1), F.col("slots").cast("int"))).alias("slot"))
     order = ("seq", "slot") if policy == "slot" else ("slot", "seq")
-    return slots.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"), "host")
+    return numbered(slots, list(order), "rank").select(F.col("rank").cast("int").alias("rank"), "host")
