@@ -260,3 +260,29 @@ def test_hot_buckets_of_many_blocks_lose_no_link(spark):
     out = [r.component_id for r in near.near_duplicates(docs(spark, texts), shingle=3, percent=85, block=6, block_bytes=4000).orderBy("doc_id").collect()]
     want = [c for _, c in plain_components(texts, 3, 85)]
     assert out == want and len(set(want)) > 60
+
+
+def test_scores_equal_a_plain_softmax(spark):
+    rng = random.Random(6)
+    texts = corpus(80, 3) + [" ".join(f"rare{rng.randint(0, 5000)}ing" for _ in range(40)) for _ in range(60)] + ["", None, "a1", "unseen WORDS here", "a1 b2 " * 30]
+    texts += [texts[3], texts[3]]
+    rows = docs(spark, texts)
+    scores, vocabulary, p = lm.fit_and_score(rows, rows.where("doc_id < 130"))
+    out = {r.doc_id: r.score for r in scores.collect()}
+    count = Counter()
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    for t in texts[:130]:
+        count.update(split(t))
+    assert (vocabulary.class_types > 0).any() and (vocabulary.class_types == 0).any()
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    for k, t in enumerate(texts):
+        words = split(t)
+        classes, total = vocabulary.lookup(words)[1], 0.0
+        for i, (w, c) in enumerate(zip(words, classes)):
+            one, two = (classes[i - j] if i >= j else vocabulary.end for j in (1, 2))
+            logits = (wide["R"][one] @ wide["C1"] + wide["R"][two] @ wide["C2"]) @ wide["Q"].T + wide["b"][:, 0]
+            total += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10)
+            if vocabulary.class_types[c] or c == vocabulary.other:
+                total += math.log10((count[w] + 0.1) / (vocabulary.class_tokens[c] + 0.1 * (vocabulary.class_types[c] + 1)))
+        assert math.isclose(out[k], total, rel_tol=1e-4), (k, t)
+    assert out[3] == pytest.approx(out[len(texts) - 1]) == pytest.approx(out[len(texts) - 2])

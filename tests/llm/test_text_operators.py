@@ -264,3 +264,10 @@ def test_markov_recall_by_kind_of_token():
     uuid = lambda: "-".join("".join(rng.choices(digits + "abcdef", k=k)) for k in (8, 4, 4, 4, 12))
     assert not any(markov(f"id={uuid()}/x {uuid().upper()}") for _ in range(300))
     assert markov(f"id={uuid()}/Xq9ZkR3LmP8vTw2B")
+
+
+def test_linear_conversations_with_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(1, 1, "user", "b"), (1, 1, "user", "a"), (1, None, "system", "first"), (1, 2, None, None), (None, 5, "user", "x"), (None, 5, "user", "x"), (2, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    out = {r.tree: (chat.parse_turns(r.formatted), len(r.loss_spans)) for r in chat.format_paths(chat.linear_messages(rows)).collect()}
+    assert out == {"1": ([("system", "first"), ("user", "a"), ("user", "b"), ("", "")], 0), "": ([("user", "x"), ("user", "x")], 0), "2": ([("assistant", "")], 1)}
+    assert chat.format_paths(chat.linear_messages(rows.limit(0))).count() == 0

@@ -9,8 +9,8 @@ per class.
 
 Training covers every training text. The texts fall by hash into rounds of rising size; in a round each
 task goes through its texts with its own copy of the parameters (minibatches, noise shared by a batch,
-Adagrad), and the copies are averaged by blocks of parameters, weighted by tokens. Parameters have a
-fixed size, whatever the corpus.
+Adagrad), and the copies are averaged by blocks of parameters, weighted by tokens. So parameters depend
+on how the texts fall into partitions. They have a fixed size, whatever the corpus.
 
 Scoring: with E1 = exp(R C1 Q') and E2 = exp(R C2 Q' + b), one matrix product E1 E2' has the normaliser
 of every context, so a token's normalised log-probability is four table lookups.
@@ -283,6 +283,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, para
         row = TaskContext.get().partitionId() << 33
         log_count = np.log10(v.counts + ALPHA)
         several = v.class_types > 0
+        several[v.other] = True  # it has the unknown words even if no known one
         log_size = np.where(several, np.log10(v.class_tokens + ALPHA * (v.class_types + 1)), 0.0)
         for whole in batches:
             for at in range(0, len(whole), 256):
@@ -311,8 +312,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, para
 
     scored = staged(docs.select("doc_id", "text").mapInArrow(score, _SCORED.format(docs.schema["doc_id"].dataType.simpleString())), "scored")
     words = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("rare"), F.col("r.n").alias("times"))
-    # the counts of a partition are hashed, so that the far larger side needs no sort
-    found = words.join(counts.hint("shuffle_hash"), F.col("rare") == F.col("word"), "left").groupBy("row").agg(
+    found = words.join(counts, F.col("rare") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     total = math.log10(vocabulary.tokens + ALPHA * (vocabulary.types + 1))
     return scored.drop("rare").join(found.withColumnRenamed("row", "f_row"), F.col("row") == F.col("f_row"), "left").select(
