@@ -289,12 +289,17 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     def both_ways(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def total(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether all edges (a < b) are stars: no b is an a, or a b twice."""
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
+        return ends.groupBy("n").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaves")).where("leaves > 1 or leaves = 1 and root = 1").isEmpty()
 
     edges = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = total(edges)
-    for _ in range(max_rounds):
+    rounds = 0
+    while not settled(edges):
+        if rounds == max_rounds:
+            raise RuntimeError("components don't settle")
+        rounds += 1
         # large star: every larger neighbour of a node links to the node's least neighbour
         pairs = both_ways(edges)
         # both sides of each join are plain tables, so that Spark can split the edges of a node that thousands link to
@@ -305,12 +310,6 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         least = staged(large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n"), "least")
         small = large.join(least, F.col("b") == F.col("n"))
         edges = staged(small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "edges")
-        now = total(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components don't settle")
     return staged(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()), name)
 
 
