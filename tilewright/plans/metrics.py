@@ -530,6 +530,19 @@ f as (select report, list_filter([
 select report, array_to_string(l, '; ') as failures, case when len(l) = 0 then 'YES' else 'NO' end as ready from f"""
 
 
+def f1_checked_settings(spark, sf_dir):
+    """settings of a run per supplier, and what is wrong with them."""
+    rows = relation(spark, sf_dir, "select s_suppkey as k from {supplier}")
+    settings = rows.select("k", F.expr("concat(k % 4, if(k % 2 = 0, 'x', 'X'), k % 5)").alias("tile_grid"), F.expr("cast((k % 13) / 10 as double)").alias("iou"), F.expr("cast(k % 6 as int)").alias("chunk_size"),
+                           F.expr("if(k % 7 = 0, 'guided', 'dynamic')").alias("schedule"), F.expr("if(k % 8 = 0, 'command', 'mock')").alias("detector"))
+    return tasks.checked_settings(settings).select("k", "problem")
+
+
+F1_SQL = """select s_suppkey as k, case when s_suppkey % 4 = 0 or s_suppkey % 5 = 0 then 'tile_grid must be COLSxROWS, both positive: ' || (s_suppkey % 4) || (case when s_suppkey % 2 = 0 then 'x' else 'X' end) || (s_suppkey % 5)
+ when s_suppkey % 6 = 0 then 'frames, width, height and chunk_size must be positive' when s_suppkey % 7 = 0 then 'schedule must be static or dynamic' when s_suppkey % 8 = 0 then 'detector command needs detector_command'
+ when s_suppkey % 13 > 10 then 'a duplicate or temporal threshold is out of range' end as problem from supplier"""
+
+
 def s6_csv_scan(spark, sf_dir):
     """Counts written as CSV files with a header, read again by the declared columns."""
     path = staged_path(spark, "csv")
@@ -554,6 +567,7 @@ from supplier, (select unnest(['p6/', 'p3/']) as kind), (select unnest(range(3))
 
 QUERIES = {
     "k4_summary_table": (k4_summary_table, K4_SQL),
+    "f1_checked_settings": (f1_checked_settings, F1_SQL),
     "d7_accuracy_overview": (d7_accuracy_overview, D7_SQL),
     "d7_placement_overview": (d7_placement_overview, D7_PLACEMENT_SQL),
     "k7_conv_summary": (k7_conv_summary, K7_SQL),

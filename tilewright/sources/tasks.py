@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import fields
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,21 @@ def placed_ranks(hosts: DataFrame, policy: str = "slot") -> DataFrame:
     slots = hosts.select("seq", "host", F.explode(F.sequence(F.lit(1), F.col("slots").cast("int"))).alias("slot"))
     order = ("seq", "slot") if policy == "slot" else ("slot", "seq")
     return numbered(slots, list(order), "rank").select(F.col("rank").cast("int").alias("rank"), "host")
+
+
+def checked_settings(settings: DataFrame) -> DataFrame:
+    """F1 over a table of runs: ``settings`` with ``problem``, what DetectionConfig says of a row's columns that it knows; null if it takes them."""
+    known = [f.name for f in fields(DetectionConfig) if f.init]
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            problems = []
+            for row in batch.to_dict("records"):
+                try:
+                    DetectionConfig(**{k: v for k, v in row.items() if k in known})
+                    problems.append(None)
+                except ValueError as error:
+                    problems.append(str(error))
+            yield batch.assign(problem=problems)
+
+    return settings.mapInPandas(check, settings.withColumn("problem", F.lit(None).cast("string")).schema)
