@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tilewright.llm import chat, decontaminate, language_model, mixing, near, pages, quality, secrets, toxicity, urls
+from tilewright.llm import chat, decontaminate, language_id, language_model, mixing, near, pages, quality, resampling, secrets, toxicity, urls, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_scan_secrets": secrets.op8_scan_secrets,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_templates": urls.op10_url_templates,
+        "op11_language_id": language_id.op11_language_id,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_resampling": resampling.op13_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.OP4_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
         "op7_near_duplicates": near.OP7_SQL,
+        "op13_resampling": resampling.OP13_SQL,
     }
