@@ -286,3 +286,34 @@ def test_scores_equal_a_plain_softmax(spark):
                 total += math.log10((count[w] + 0.1) / (vocabulary.class_tokens[c] + 0.1 * (vocabulary.class_types[c] + 1)))
         assert math.isclose(out[k], total, rel_tol=1e-4), (k, t)
     assert out[3] == pytest.approx(out[len(texts) - 1]) == pytest.approx(out[len(texts) - 2])
+
+
+@pytest.mark.parametrize("block", [96, 5])
+def test_ids_with_several_texts_keep_the_links_of_all(spark, block):
+    rng, texts = random.Random(9), {}
+    base = [[f"w{rng.randint(0, 999)}" for _ in range(40)] for _ in range(12)]
+    rows = []
+    for i in range(70):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(40)] = f"x{rng.randint(0, 99)}"
+        rows.append((i % 50, " ".join(words)))
+    rows += rows[:6] + [(1, None), (2, ""), (None, "w1 w2 w3"), (60, "alone"), (60, "alone")]
+    two = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 a13 a14 a15 a16 a17 a18 a19 a20 a21 a22 a23 a24 a25 a26 a27 a28 a29 a30"
+    rows += [(101, two), (101, two.replace("a", "b")), (102, two + " x"), (103, two.replace("a", "b") + " y"), (109, "c c c c c d"), (109, "c c c c c d")]
+    sets = [(i, {tuple(w[k:k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())) for i, w in ((i, (t or "").split()) for i, t in rows)]
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if None not in (i, j) and s and t and 100 * len(s & t) >= 85 * len(s | t):
+                one, other = sorted((find(i), find(j)))
+                root[other] = one
+    out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, block=block).collect()
+    assert len(out) == len(rows) and all(r.component_id == find(r.doc_id) for r in out if r.doc_id is not None)
+    assert find(103) == 101 and find(102) == 101

@@ -158,15 +158,15 @@ def signatures(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, sketch, cluster, block, blocks, shingles) of the rows of (node, text, set_key, sketch, cluster, block, blocks) whose text has the set of that key."""
+    """(node, set_key, sketch, cluster, block, blocks, shingles) of the rows of (node, text, set_key, sketch, cluster, block, blocks) whose text has the set of that key."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
             sets = [shingler(t).tobytes() for t in batch.column(1).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(sets, pa.binary())], ["node", "sketch", "cluster", "block", "blocks", "shingles"]).filter(same)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], ["node", "set_key", "sketch", "cluster", "block", "blocks", "shingles"]).filter(same)
 
-    return docs.mapInArrow(cut, "node bigint, sketch binary, cluster bigint, block int, blocks int, shingles binary")
+    return docs.mapInArrow(cut, "node bigint, set_key binary, sketch binary, cluster bigint, block int, blocks int, shingles binary")
 
 
 def _popcounts(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Two documents are linked if their sets' intersection is at least ``percent`` hundredths of their union.
     component_id is the smallest doc_id that links reach. Texts without words are linked with nothing.
-    Rows with the same doc_id are one node. Rows with a null id stay alone: their component is null and
+    Rows with the same doc_id are one node, with the links of all their texts. Rows with a null id stay alone: their component is null and
     they are kept. Repeated rows stay, kept alike. Ids may be of any type that sorts.
     """
     docs, ids = _numbered(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
@@ -335,24 +335,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = signed.where("set_key is not null and doc_id is not null")
     unique = staged(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
     same = named.select("doc_id", "set_key").join(unique.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    entries = unique.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    whole = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("mark"))
+    # rows of one id may have several texts, so one node several sets: a set's own tag tells buckets apart and finds its sketch
+    tagged = unique.select("node", "n_shingles", F.xxhash64("set_key").alias("tag"), "sketch", "bands")
+    entries = tagged.select("node", "n_shingles", "tag", F.explode("bands").alias("bucket"))
+    whole = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(tag)").alias("mark"))
     whole = whole.where("n > 1").groupBy("n", "lo", "hi", "mark").agg(F.min("bucket").alias("bucket"))
     members = entries.join(whole.select("bucket", "lo", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks")), "bucket").select(
-        "bucket", "node", "n_shingles", "lo", "blocks", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int").alias("block"))
-    members = staged(members.join(unique.select("node", "sketch"), "node"), "members")
+        "bucket", "node", "n_shingles", "tag", "lo", "blocks", F.expr("pmod(xxhash64(node, bucket), blocks)").cast("int").alias("block"))
+    members = staged(members.join(tagged.select("tag", "sketch"), "tag"), "members")
     likely = _likely_stars(members.select("bucket", "block", "node", "n_shingles", "sketch"), percent)
     clusters = components(likely.unionByName(members.where("blocks > 1 and node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))), "clusters")
-    clusters = clusters.join(unique.select("node", "n_shingles"), "node")
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).select(
+    sizes = clusters.join(unique.select("node", "n_shingles"), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).select(
         F.col("label").alias("cluster"), F.expr(f"cast(ceil(greatest(n / {block}, 8 * total / {block_bytes})) as int)").alias("blocks"))
     # ids and sets grow with the documents: never broadcast, at any size
     dealt = staged(clusters.join(sizes, F.col("label") == F.col("cluster")).select(
-        "cluster", "node", "n_shingles", "blocks", F.expr("pmod(xxhash64(node, 5), blocks)").cast("int").alias("block")), "dealt")
+        "cluster", "node", "blocks", F.expr("pmod(xxhash64(node, 5), blocks)").cast("int").alias("block")), "dealt")
     keys = unique.select("node", "set_key", "sketch").join(dealt, "node")
     full = _shingle_sets(docs.hint("merge").join(keys, F.col("doc_id") == F.col("node")).select("node", "text", "set_key", "sketch", "cluster", "block", "blocks"), shingle)
     if not named.groupBy("doc_id", "set_key").count().where("count > 1").isEmpty():
-        full = full.dropDuplicates(["node"])
+        full = full.dropDuplicates(["node", "set_key"])
     full = staged(full, "full-sets")
     row = ["cluster", "block", "node", F.col("node").alias("label"), "sketch", "shingles", F.lit(True).alias("asks")]
     first = full.select(*row)
@@ -365,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     stars = staged(_compare(first, ["cluster", "block"], percent), "stars")
     joined = components(stars.unionByName(same), "components")
     if any_large:
-        between = _between_blocks(_labelled(large.join(unique.select("node", "sketch"), "node"), joined), block)
+        between = _between_blocks(_labelled(large.join(unique.select("node", "n_shingles", "sketch"), "node"), joined), block)
         group = ["cluster", "from", "block"]
         again = _labelled(staged(_with_partners(between, group, percent), "across"), joined)
         if not again.isEmpty():
