@@ -271,3 +271,20 @@ def test_linear_conversations_with_nulls_and_ties(spark):
     out = {r.tree: (chat.parse_turns(r.formatted), len(r.loss_spans)) for r in chat.format_paths(chat.linear_messages(rows)).collect()}
     assert out == {"1": ([("system", "first"), ("user", "a"), ("user", "b"), ("", "")], 0), "": ([("user", "x"), ("user", "x")], 0), "2": ([("assistant", "")], 1)}
     assert chat.format_paths(chat.linear_messages(rows.limit(0))).count() == 0
+
+
+def test_lexicon_of_rows_with_ids_of_text(spark):
+    rows = labelled(spark)
+    named = toxicity.learn_lexicon(rows.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
+    assert named.weights == toxicity.learn_lexicon(rows).weights and named.weights
+
+
+def test_a_megabyte_of_excused_phrases_takes_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" vile ": 2.0}, [" so vile "])
+    machine = lexicon.matcher()
+    text = toxicity.fold("so vile " * 130_000 + "vile")
+    begun = time.perf_counter()
+    assert len(lexicon.matches(machine, text)) == 1
+    assert time.perf_counter() - begun < 2

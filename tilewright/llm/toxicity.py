@@ -91,9 +91,18 @@ class Lexicon:
                 excused.append((start, end))
             else:
                 hits[start] = max(weight, hits.get(start, -math.inf))
-        if excused:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < z for a, z in excused)}
-        return hits
+        if not excused:
+            return hits
+        # phrases by their starts, and the furthest end of those begun so far: a word is excused if that lies behind it
+        excused.sort()
+        kept, at, reach = {}, 0, -1
+        for s in sorted(hits):
+            while at < len(excused) and excused[at][0] <= s:
+                reach = max(reach, excused[at][1])
+                at += 1
+            if s >= reach:
+                kept[s] = hits[s]
+        return kept
 
 
 def _features(raw: float, words: int) -> tuple[float, float, float]:
@@ -108,10 +117,17 @@ def _patterns(folded: str) -> set[str]:
     return out
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pattern) of every text, in parts of about ``COUNTED`` rows."""
     for batch in batches:
-        for i, text in zip(batch["doc_id"], batch["text"]):
-            yield pd.DataFrame({"doc_id": i, "pattern": list(_patterns(fold(text)))})
+        rows, found = [], []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            own = _patterns(fold(text))
+            rows += [k] * len(own)
+            found += own
+            if len(found) > COUNTED or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["doc_id", "pattern"])
+                rows, found = [], []
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +153,8 @@ def learn_lexicon(labelled: DataFrame, *, min_docs: int = 3) -> Lexicon:
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic:
         return Lexicon()
-    pairs = staged(toxic.select("doc_id", "text").mapInPandas(_emit, "doc_id bigint, pattern string"), "toxic-patterns")
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    pairs = staged(toxic.select("doc_id", "text").mapInArrow(_emit, f"doc_id {kind}, pattern string"), "toxic-patterns")
     common = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, max(1, n_toxic // 3)))
     found = clean.select("text").mapInPandas(_count, "pattern string, c bigint").groupBy("pattern").agg(F.sum("c").alias("c"))
     # precise entries only: at least four fifths of their rows are toxic, whatever share of the sample is
