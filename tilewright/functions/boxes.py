@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from tilewright.config import DetectionConfig
 
+EPS = 1e-6
+
 
 def _area(b: dict) -> float:
     return max(0.0, b["x2"] - b["x1"]) * max(0.0, b["y2"] - b["y1"])
@@ -84,3 +88,33 @@ def suppressed_boxes(cfg: DetectionConfig, boxes: list[dict], width: int, height
         else:
             kept.append(new)
     return kept
+
+
+def owned(cfg: DetectionConfig, b: dict, width: int, height: int) -> bool:
+    """F2, T7, T8 on a plain box."""
+    cols, rows = cfg.grid
+    tile = b["tile_id"]
+    if not cfg.tile_owner_filter or cols * rows <= 1 or not 0 <= tile < cols * rows:
+        return True
+
+    def inside(center: float, k: int, total: int, parts: int) -> bool:
+        low, high = math.floor(k * total / parts + 0.5), math.floor((k + 1) * total / parts + 0.5)
+        return center + EPS >= low and (center <= high + EPS if k == parts - 1 else center < high - EPS)
+    return inside((b["x1"] + b["x2"]) * 0.5, tile % cols, width, cols) and inside((b["y1"] + b["y2"]) * 0.5, tile // cols, height, rows)
+
+
+def merged_boxes(cfg: DetectionConfig, tiles: list[dict], anchors: list[dict], width: int, height: int) -> tuple[list[dict], int]:
+    """L2, L4, L5 on the boxes of one frame: what ``operators.duplicates`` makes of its tiles and its anchors, and the tasks that took."""
+    def merge(boxes: list[dict]) -> list[dict]:
+        return suppressed_boxes(cfg, [b for b in boxes if owned(cfg, b, width, height)], width, height)
+
+    whole = cfg.grid[0] * cfg.grid[1]
+    if not cfg.live_anchor_full_frame:
+        return merge(tiles), whole
+    found, policy = merge(anchors), cfg.live_anchor_policy
+    if policy == "anchor-only" or (policy == "anchor-gate" and found):
+        return merge(found), 1
+    own = merge(tiles)
+    if policy == "anchor-gate":
+        return merge(own), whole
+    return merge(found + [t for t in own if not any(same_object(cfg, t, a, width, height) for a in found)]), whole

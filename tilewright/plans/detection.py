@@ -11,8 +11,9 @@ from tilewright.functions import geometry as g
 from tilewright.functions.text import PLACEHOLDERS, fill_template
 from tilewright.operators import detect, duplicates
 from tilewright.shared import staged_path
-from tilewright.sources import adapters, camera, files, tasks
-from tilewright.streaming import live
+from tilewright.sinks import viewer
+from tilewright.sources import adapters, camera, camera_source, files, recordings, tasks
+from tilewright.streaming import frames, live
 
 CFG = DetectionConfig(tile_grid="4x3")
 NEAR = DetectionConfig(tile_grid="4x3", duplicate_near_camera=True, duplicate_large_area_ratio=0.02)
@@ -380,6 +381,49 @@ def l3_live_stream(spark, sf_dir):
     return spark.read.schema(live.EVENT).parquet(f"{shared}/events").select("camera", "frame_id", "person_count", "tasks")
 
 
+def _camera(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The frames of ``events`` as a recording of four cameras, replayed as a stream of protocol rows; and the run's folder."""
+    shared = staged_path(spark, "camera")
+    recordings.write_recording(recordings.with_tile_images(det(spark, sf_dir), 4, LIVE.width, LIVE.height, 12, "rank = 0"), f"{shared}/recording")
+    return camera_source.camera_stream(spark, f"{shared}/recording", LIVE, frames_per_trigger=2000, progress=f"{shared}/progress"), shared
+
+
+def s4_camera_stream(spark, sf_dir):
+    """All rows that the camera source sends for the frames of ``events``, with the boxes that their images show."""
+    lines, shared = _camera(spark, sf_dir)
+    rows = lines.withColumn("boxes", frames.decoded_boxes()).withColumn("n_boxes", F.when(F.col("kind").isin("FRAME", "TILE"), F.size("boxes"))).drop("image", "boxes", "captured_ms", "capture_ms")
+    frames.run_through(rows.writeStream.format("parquet").option("path", f"{shared}/lines").option("checkpointLocation", f"{shared}/log"))
+    return spark.read.schema(rows.schema).parquet(f"{shared}/lines")
+
+
+S4_STREAM_SQL = f"""
+with d as ({DET}), f as (select distinct frame_id, 'cam' || (frame_id % 4) as camera, cast(frame_id // 4 as bigint) as seq from d), n as (select camera, max(seq) + 1 as n from f group by 1),
+ t as (select cast(range as int) as tile_id from range(12)), b as (select x.tile_id, x1, y1, x2, y2 from ({TASKS_SQL.format(n=12)}) x)
+select camera, 'READY' as kind, 0 as seq, null as frame_id, null as width, null as height, null as task_id, null as tile_id, null as x1, null as y1, null as x2, null as y2, 12 as tiles, null as n_boxes from n
+union all select camera, 'FRAME', seq, frame_id, 1280, 720, null, null, null, null, null, null, null, (select count(*) from d where d.frame_id = f.frame_id and rank = 0) from f
+union all select camera, 'TILE', seq, frame_id, 1280, 720, seq * 12 + tile_id, tile_id, x1, y1, x2, y2, null, (select count(*) from d where d.frame_id = f.frame_id and d.tile_id = b.tile_id) from f, b
+union all select camera, 'END_FRAME', seq, frame_id, 1280, 720, null, null, null, null, null, null, 12, null from f
+union all select camera, 'END_STREAM', n, null, null, null, null, null, null, null, null, null, n, null from n
+"""
+
+
+def l6_live_camera(spark, sf_dir):
+    """Events of the live run over the camera source, with the signs of their times: capture, and capture to result."""
+    lines, shared = _camera(spark, sf_dir)
+    with frames.typed_state(spark):
+        frames.run_through(frames.live_frames(LIVE, frames.decoded(lines)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/log"))
+    rows = spark.read.schema(frames.EVENT).parquet(f"{shared}/events")
+    return rows.select("camera", "seq", "frame_id", "person_count", "tasks", "status", (F.col("capture_ms") >= 0).alias("captured"), (F.col("latency_ms") > 0).alias("timed"))
+
+
+def k9_viewer_frames(spark, sf_dir):
+    """K9: what a viewer gets of the live run over the camera source: the lines of every frame, once."""
+    lines, shared = _camera(spark, sf_dir)
+    with frames.typed_state(spark):
+        frames.run_through(viewer.to_viewer(frames.live_frames(LIVE, frames.decoded(lines)), f"{shared}/viewer", f"{shared}/log"))
+    return viewer.viewed(spark, f"{shared}/viewer")
+
+
 #: Tiles and anchors of a frame are merged apart first, then together.
 ANCHORS = f"select frame_id, {FLAT} from ({kept_sql(f'select frame_id, cast(-1 as int) as tile_id, rank, x1, y1, x2, y2, conf, cls from ({DET}) where rank = 0')})"
 TILES = f"select frame_id, {FLAT} from ({kept_sql(OWNED)})"
@@ -407,6 +451,8 @@ r as (select camera, seq, frame_id, now as kept from q where seq = 1
 A10_SQL = f"{LIVE_SQL} select camera, frame_id, cast(len(kept) as int) as person_count, 12 as tasks from r"
 K9_SQL = f"""{LIVE_SQL} select camera, frame_id, cast(place - 1 as int) as place, line from (select camera, frame_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as place from (
  select camera, frame_id, list_concat(list_concat(['FRAME ' || frame_id || ' ' || len(kept)], list_transform(kept, lambda b: 'BOX ' || {" || ' ' || ".join(f"printf(chr(37) || chr(46) || chr(52) || chr(102), b.{c})" for c in ("x1", "y1", "x2", "y2", "conf"))})), ['END_FRAME ' || frame_id]) as lines from r))"""
+L6_SQL = f"{LIVE_SQL} select camera, cast(frame_id // 4 as bigint) as seq, frame_id, cast(len(kept) as int) as person_count, 12 as tasks, 'whole' as status, true as captured, true as timed from r"
+K9_FRAMES_SQL = f"select camera, frame_id, place, case when place = 0 then replace(line, 'FRAME ' || frame_id, 'FRAME ' || frame_id || ' 1280 720') else line end as line from ({K9_SQL})"
 _EVENTS = f"select frame_id, {FLAT} from (select frame_id, unnest(kept) as b from r)"
 L10_SQL = f"""{LIVE_SQL} select f.frame_id, coalesce(len(kept), 0) as person_count from (select distinct frame_id from ({DET})) f left join ({kept_lists_sql(f"select d.* from ({_EVENTS}) d where {_owned('d')}")}) k on f.frame_id = k.frame_id"""
 
@@ -438,4 +484,7 @@ QUERIES = {
     "a10_temporal_dedup": (a10_temporal_dedup, A10_SQL),
     "l10_final_counts": (l10_final_counts, L10_SQL),
     "l3_live_stream": (l3_live_stream, A10_SQL),
+    "s4_camera_stream": (s4_camera_stream, S4_STREAM_SQL),
+    "l6_live_camera": (l6_live_camera, L6_SQL),
+    "k9_viewer_frames": (k9_viewer_frames, K9_FRAMES_SQL),
 }

@@ -33,6 +33,14 @@ def tile_bounds(cfg: DetectionConfig, tile_id: Column, *, half_even: bool = Fals
         F.least(F.lit(cfg.width), edge(col + 1, cfg.width, cols) + cfg.overlap).alias("x2"), F.least(F.lit(cfg.height), edge(row + 1, cfg.height, rows) + cfg.overlap).alias("y2")]
 
 
+def plain_tile_bounds(cfg: DetectionConfig, width: int, height: int) -> list[tuple[int, int, int, int]]:
+    """P1, T6 on plain numbers: bounds of all tiles of a frame as a camera cuts them, halves to even."""
+    cols, rows = cfg.grid
+    edges = lambda total, parts: [round(k * total / parts) for k in range(parts + 1)]
+    xs, ys = edges(width, cols), edges(height, rows)
+    return [(max(0, xs[c] - cfg.overlap), max(0, ys[r] - cfg.overlap), min(width, xs[c + 1] + cfg.overlap), min(height, ys[r + 1] + cfg.overlap)) for r in range(rows) for c in range(cols)]
+
+
 def tasks(spark: SparkSession, cfg: DetectionConfig) -> DataFrame:
     """One row per frame and tile with a dense task_id (W3); a range, so no join and no numbering pass."""
     per_frame = cfg.grid[0] * cfg.grid[1]
