@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import split_end, split_index, split_start
+from tilewright.operators import blocks as B
+from tilewright.shared import bucketed
 
 #: E9, fixed values: output channels of the layers of each profile, and the layers after which pooling follows.
 PROFILES = {"tiny": (4, 8, 8, 8, 8, 8, 8, 8), "small": (16, 32, 64, 64, 128, 128, 128, 128), "full": (64, 128, 256, 256, 512, 512, 512, 512)}
@@ -44,8 +46,13 @@ def _gathered(pixels: DataFrame, keys: list[str], weights: DataFrame) -> DataFra
     return met.groupBy(*keys, F.col("oc").alias("c"), "y", "x").agg((F.sum(F.col("v") * F.col("w")) + F.first("b")).alias("v"))
 
 
-def conv3x3(pixels: DataFrame, weights: DataFrame, height: int, width: int) -> DataFrame:
-    """3x3 convolution with zero border; same height and width. Pixels outside take no part."""
+def conv3x3(pixels: DataFrame, weights: DataFrame, height: int, width: int, channels: int = 1) -> DataFrame:
+    """3x3 convolution with zero border; same height and width, missing pixels are 0 (E2). In blocks of a bounded size, a matrix product each."""
+    return conv3x3_blocks(pixels, weights, channels, B.grid_for(channels, height, width))
+
+
+def conv3x3_joined(pixels: DataFrame, weights: DataFrame, height: int, width: int) -> DataFrame:
+    """E8 as a join of pixels and weights by channel and offset, for weights of any size."""
     out = _gathered(pixels, ["img"], weights)
     return out.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
 
@@ -65,9 +72,16 @@ def max_pool(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 def blocks(spark: SparkSession, height: int, width: int, rows: int, cols: int) -> DataFrame:
     """(block, br, bc, y0, y1, x0, x1) of a rows x cols grid, half-open, row-major."""
-    i = spark.range(rows * cols).select(F.col("id").cast("int").alias("block"), F.floor(F.col("id") / cols).cast("int").alias("br"), (F.col("id") % cols).cast("int").alias("bc"))
-    at = lambda f, total, parts, k: f(F.lit(total), F.lit(parts), F.col(k)).cast("int")
-    return i.select("*", at(split_start, height, rows, "br").alias("y0"), at(split_end, height, rows, "br").alias("y1"), at(split_start, width, cols, "bc").alias("x0"), at(split_end, width, cols, "bc").alias("x1"))
+    one = spark.range(1).select(F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(rows).alias("rows"), F.lit(cols).alias("cols"))
+    return blocks_of(one).drop("height", "width", "rows", "cols")
+
+
+def blocks_of(grids: DataFrame) -> DataFrame:
+    """P14, P15, J14 for a table of grids (height, width, rows, cols, and any other columns): a row for each block of each grid."""
+    at = lambda f, total, parts, k: f(F.col(total), F.col(parts), F.col(k)).cast("int").alias
+    rows = grids.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)).alias("block"))
+    rows = rows.select("*", F.floor(F.col("block") / F.col("cols")).cast("int").alias("br"), (F.col("block") % F.col("cols")).cast("int").alias("bc"))
+    return rows.select("*", at(split_start, "height", "rows", "br")("y0"), at(split_end, "height", "rows", "br")("y1"), at(split_start, "width", "cols", "bc")("x0"), at(split_end, "width", "cols", "bc")("x1"))
 
 
 def with_halo(pixels: DataFrame, height: int, width: int, rows: int, cols: int, halo: int = 1) -> DataFrame:
@@ -78,22 +92,31 @@ def with_halo(pixels: DataFrame, height: int, width: int, rows: int, cols: int,
     return spread.select("img", (F.col("br") * cols + F.col("bc")).cast("int").alias("block"), "c", "y", "x", "v")
 
 
-def conv3x3_blocks(pixels: DataFrame, weights: DataFrame, height: int, width: int, rows: int, cols: int) -> DataFrame:
-    """The same as conv3x3 by blocks; each block sums on its own and gives the pixels of its core."""
-    out = _gathered(with_halo(pixels, height, width, rows, cols), ["img", "block"], weights)
-    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
-    return out.where(inside & (split_index(height, rows, F.col("y")) * cols + split_index(width, cols, F.col("x")) == F.col("block"))).select("img", "c", "y", "x", "v")
+def conv3x3_blocks(pixels: DataFrame, weights: DataFrame, channels: int, grid: B.Grid, mode: str = "strips", relu: bool = False) -> DataFrame:
+    """The pixels of a convolution by blocks of ``grid``, whose borders meet as ``mode`` says; weights beyond B.WEIGHT_BYTES are joined instead."""
+    dense = B.dense_weights(weights, channels)
+    if dense is None:
+        out = conv3x3_joined(pixels, weights, grid.height, grid.width)
+        return out.withColumn("v", F.greatest(F.lit(0.0), F.col("v"))) if relu else out
+    blocks = B.pack(pixels, grid)
+    if grid.rows * grid.cols == 1:
+        met = blocks.select("img", "block", "v", F.array().cast("array<int>").alias("sides"), F.array().cast("array<double>").alias("borders"))
+    else:
+        # strips and cores are two reads of the blocks, so those are written, in buckets by block
+        met = B.with_strips(bucketed(blocks, ["img", "block"], "blocks"), grid, mode)
+    return B.unpack(B.convolved(met, grid, dense, relu), B.Grid(len(dense[1]), grid.height, grid.width, grid.rows, grid.cols))
 
 
-def stack(spark: SparkSession, pixels: DataFrame, channels: int, height: int, width: int, profile: str, depth: int = 8, grid: tuple[int, int] | None = None, save=None) -> DataFrame:
-    """``depth`` layers of convolution, ReLU and pooling; by blocks if ``grid`` is given.
+def stack(spark: SparkSession, pixels: DataFrame, channels: int, height: int, width: int, profile: str, depth: int = 8, grid: tuple[int, int] | None = None, save=None, mode: str = "strips") -> DataFrame:
+    """``depth`` layers of convolution, ReLU and pooling; by blocks of ``grid``, or of a bounded size without one.
 
     ``save`` (DataFrame -> DataFrame) cuts the lineage after every second layer, for instance by a written table.
     """
     for layer, outputs, pool in layers(profile)[:depth]:
         weights = synthetic_weights(spark, layer - 1, channels, outputs)
-        out = conv3x3(pixels, weights, height, width) if grid is None else conv3x3_blocks(pixels, weights, height, width, *grid)
-        pixels, channels = relu(out), outputs
+        dealt = B.grid_for(max(channels, outputs), height, width) if grid is None else B.Grid(channels, height, width, min(height, grid[0]), min(width, grid[1]))
+        pixels = conv3x3_blocks(pixels, weights, channels, B.Grid(channels, height, width, dealt.rows, dealt.cols), mode, relu=True)
+        channels = outputs
         if pool and height >= 2 and width >= 2:
             pixels, height, width = max_pool(pixels, height, width), height // 2, width // 2
         if save and layer % 2 == 0:

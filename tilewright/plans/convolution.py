@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.operators import tensor
+from tilewright.operators import blocks, tensor
 from tilewright.shared import staged
 from tilewright.sources import adapters
 
@@ -12,6 +12,7 @@ from tilewright.sources import adapters
 KERNELS = {0: (1, 2, 1, 2, 4, 2, 1, 2, 1), 1: (-1, 0, 1, -2, 0, 2, -1, 0, 1)}
 BIASES = {0: 3, 1: -5}
 SIDE = 8
+GRID = blocks.Grid(1, SIDE, SIDE, 3, 2)
 KERNEL_SQL = "select * from (values " + ", ".join(f"({oc}, {k // 3}, {k % 3}, {w}, {BIASES[oc]})" for oc, ws in KERNELS.items() for k, w in enumerate(ws)) + ") t(oc, ky, kx, w, b)"
 
 
@@ -33,8 +34,19 @@ def e8_convolution(spark, sf_dir):
 
 
 def e6_block_convolution(spark, sf_dir):
-    """The same by 3x2 blocks with replicated borders."""
-    return tensor.conv3x3_blocks(_maps(spark, sf_dir), _weights(spark), SIDE, SIDE, 3, 2)
+    """The same by 3x2 blocks, whose border strips meet them by a join."""
+    return tensor.conv3x3_blocks(_maps(spark, sf_dir), _weights(spark), 1, GRID)
+
+
+def e4_halo_modes(spark, sf_dir):
+    """Pixels of the convolution in both modes of the halo exchange, with how they differ."""
+    rows = {mode: tensor.conv3x3_blocks(_maps(spark, sf_dir), _weights(spark), 1, GRID, mode) for mode in ("replicate", "strips")}
+    keys = ["img", "c", "y", "x"]
+    both = rows["replicate"].join(rows["strips"].withColumnRenamed("v", "w"), keys, "full_outer")
+    return both.groupBy("img", "c").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"), F.max(F.abs(F.col("v") - F.col("w"))).alias("largest_difference"))
+
+
+E4_SQL = f"select img, c, count(*) as pixels, sum(v) as total, cast(0 as double) as largest_difference from ({CONV_SQL}) group by 1, 2"
 
 
 def e3_halo_pixels(spark, sf_dir):
@@ -47,11 +59,19 @@ E3_SQL = f"select block, count(*) as pixels, sum(v) as total from ({adapters.FEA
 
 
 def p15_blocks(spark, sf_dir):
-    """P14, P15, P17, J14."""
-    return tensor.blocks(spark, SIDE, SIDE, 3, 2)
+    """The blocks of a grid for each supplier."""
+    key = F.col("s_suppkey")
+    grids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", *[(lo + key % n).cast("int").alias(c) for c, lo, n in (("height", 5, 11), ("width", 3, 8), ("rows", 1, 4), ("cols", 1, 3))])
+    return tensor.blocks_of(grids)
 
 
-P15_SQL = f"select block, cast(br as int) as br, cast(bc as int) as bc, cast(y0 as int) as y0, cast(y1 as int) as y1, cast(x0 as int) as x0, cast(x1 as int) as x1 from ({BLOCKS_SQL})"
+P15_SQL = """
+with g as (select s_suppkey, 5 + s_suppkey % 11 as height, 3 + s_suppkey % 8 as width, 1 + s_suppkey % 4 as rows, 1 + s_suppkey % 3 as cols from supplier),
+b as (select *, block // cols as br, block % cols as bc from (select *, unnest(range(rows * cols)) as block from g))
+select s_suppkey, cast(height as int) as height, cast(width as int) as width, cast(rows as int) as rows, cast(cols as int) as cols, cast(block as int) as block, cast(br as int) as br, cast(bc as int) as bc,
+ cast(br * (height // rows) + least(br, height % rows) as int) as y0, cast((br + 1) * (height // rows) + least(br + 1, height % rows) as int) as y1,
+ cast(bc * (width // cols) + least(bc, width % cols) as int) as x0, cast((bc + 1) * (width // cols) + least(bc + 1, width % cols) as int) as x1 from b
+"""
 
 
 def a21_relu_pool(spark, sf_dir):
@@ -83,31 +103,42 @@ A23_SQL = f"select count(*) as images, cast(max(m) as double) as max_abs_error,
 
 
 def e10_stack(spark, sf_dir):
-    """All layers of the tiny profile over a synthetic map in 2x3 blocks, at six decimals."""
-    pixels = tensor.synthetic_map(spark, 3, 32, 32)
-    out = tensor.stack(spark, pixels, 3, 32, 32, "tiny", grid=(2, 3), save=lambda df: staged(df, "layers"))
-    return out.select("c", "y", "x", F.round("v", 6).alias("v"))
+    """All layers of the tiny profile over the maps of ``embeddings``, first in 2x3 blocks, at six decimals."""
+    pixels = _maps(spark, sf_dir).withColumn("v", F.col("v") / 100)
+    out = tensor.stack(spark, pixels, 1, SIDE, SIDE, "tiny", grid=(2, 3), save=lambda df: staged(df, "layers"))
+    return out.select("img", "c", "y", "x", F.round("v", 6).alias("v"))
+
+
+def s13_synthetic_maps(spark, sf_dir):
+    """What each map of ``embeddings`` differs by from the synthetic one of its size, at six decimals."""
+    made = tensor.synthetic_map(spark, 1, SIDE, SIDE).select("c", "y", "x", F.col("v").alias("made"))
+    both = _maps(spark, sf_dir).join(F.broadcast(made), ["c", "y", "x"])  # 64 rows
+    return both.groupBy("img").agg(F.round(F.sum(F.col("v") * F.col("made")), 6).alias("product"))
+
+
+S13_SQL = f"select img, round(sum(v * sin(0.013 * ((c + 1) * 17 + 3 * y + x))), 6) as product from ({adapters.FEATURE_MAP_ANSI}) group by 1"
 
 
 def _layer_sql(source: str, side: int, inputs: int, outputs: int, layer: int, pool: bool) -> str:
     kernel = f"select oc, ic, ky, kx, 0.035 * sin(0.007 * (i + 101 * ({layer} + 1))) as w, 0.01 * cos(0.11 * ({layer} + oc)) as b from (select i, i // {inputs * 9} as oc, i // 9 % {inputs} as ic, i // 3 % 3 as ky, i % 3 as kx from (select unnest(range({outputs * inputs * 9})) as i))"
-    places = f"select i // {side} as y, i % {side} as x from (select unnest(range({side * side})) as i)"
-    conv = f"select k.oc as c, p.y, p.x, greatest(0, sum(k.w * q.v) + min(k.b)) as v from ({places}) p cross join ({kernel}) k join {source} q on q.c = k.ic and q.y = p.y + k.ky - 1 and q.x = p.x + k.kx - 1 group by 1, 2, 3"
-    return f"select c, y // 2 as y, x // 2 as x, max(v) as v from ({conv}) group by 1, 2, 3" if pool else conv
+    places = f"select distinct img, y, x from {source}"
+    conv = f"select p.img, k.oc as c, p.y, p.x, greatest(0, sum(k.w * q.v) + min(k.b)) as v from ({places}) p cross join ({kernel}) k join {source} q on q.img = p.img and q.c = k.ic and q.y = p.y + k.ky - 1 and q.x = p.x + k.kx - 1 group by 1, 2, 3, 4"
+    return f"select img, c, y // 2 as y, x // 2 as x, max(v) as v from ({conv}) group by 1, 2, 3, 4" if pool else conv
 
 
 def _stack_sql(side: int) -> str:
-    steps, channels = [f"l0 as materialized (select i // {side * side} as c, i // {side} % {side} as y, i % {side} as x, sin(0.013 * ((i // {side * side} + 1) * 17 + 3 * (i // {side} % {side}) + i % {side})) as v from (select unnest(range({3 * side * side})) as i))"], 3
+    steps, channels = [f"l0 as materialized (select img, c, y, x, v / 100 as v from ({adapters.FEATURE_MAP_ANSI}))"], 1
     for layer, outputs, pool in tensor.layers("tiny"):
         pool = pool and side >= 2
         steps.append(f"l{layer} as materialized ({_layer_sql(f'l{layer - 1}', side, channels, outputs, layer - 1, pool)})")
         side, channels = side // 2 if pool else side, outputs
-    return f"with {', '.join(steps)} select cast(c as int) as c, cast(y as int) as y, cast(x as int) as x, round(v, 6) as v from l8"
+    return f"with {', '.join(steps)} select img, cast(c as int) as c, cast(y as int) as y, cast(x as int) as x, round(v, 6) as v from l8"
 
 
-E10_SQL = _stack_sql(32)
+E10_SQL = _stack_sql(SIDE)
 
 QUERIES = {
     "e8_convolution": (e8_convolution, CONV_SQL), "e6_block_convolution": (e6_block_convolution, CONV_SQL), "e3_halo_pixels": (e3_halo_pixels, E3_SQL), "p15_blocks": (p15_blocks, P15_SQL),
     "a21_relu_pool": (a21_relu_pool, A21_SQL), "a22_tensor_error": (a22_tensor_error, A22_SQL), "a23_image_set_error": (a23_image_set_error, A23_SQL), "e10_stack": (e10_stack, E10_SQL),
+    "e4_halo_modes": (e4_halo_modes, E4_SQL), "s13_synthetic_maps": (s13_synthetic_maps, S13_SQL),
 }

@@ -17,7 +17,7 @@ from tilewright.streaming import frames, live
 
 CFG = DetectionConfig(tile_grid="4x3")
 NEAR = DetectionConfig(tile_grid="4x3", duplicate_near_camera=True, duplicate_large_area_ratio=0.02)
-MOCK = DetectionConfig(tile_grid="4x3", frames=2000, sleep_ms=3)
+MOCK = DetectionConfig(tile_grid="4x3", sleep_ms=3)
 LIVE = DetectionConfig(tile_grid="4x3", live=True, live_anchor_full_frame=True, live_temporal_dedup=True)
 DET = adapters.ansi(adapters.DET)
 
@@ -129,18 +129,23 @@ select cast(id as bigint) as task_id, cast(id // 12 as int) as frame_id, cast(t
  cast(least(1280, round((t % 4 + 1) * 1280 / 4.0) + 64) as int) as x2, cast(least(720, round((t // 4 + 1) * 720 / 3.0) + 64) as int) as y2
 from (select range as id, range % 12 as t from range({n}))
 """
-TASKS = TASKS_SQL.format(n=MOCK.frames * 12)
+#: The tiles of all frames of ``events``.
+TASKS = TASKS_SQL.replace("select range as id, range % 12 as t from range({n})", f"select frame_id * 12 + t as id, t from (select distinct frame_id from ({DET})), (select range as t from range(12))")
+
+
+def work(spark, sf_dir, cfg: DetectionConfig = MOCK) -> DataFrame:
+    """The tiles of all frames of ``events``."""
+    return tasks.frame_tasks(cfg, frames_of(det(spark, sf_dir)))
 
 
 def s1_tasks(spark, sf_dir):
-    """Work items of 2,000 frames in 4x3 tiles."""
-    return tasks.tasks(spark, MOCK)
+    """Work items of all frames in 4x3 tiles."""
+    return work(spark, sf_dir)
 
 
 def f8_static_assignment(spark, sf_dir):
     """Tasks and frames of each of 7 ranks, dealt in chunks of 5."""
-    work = tasks.assigned(tasks.tasks(spark, MOCK), 7, 5)
-    return work.groupBy("rank").agg(F.count("*").alias("tasks_done"), F.count_if(F.col("tile_id") == 0).alias("frames_done"))
+    return tasks.assigned(work(spark, sf_dir), 7, 5).groupBy("rank").agg(F.count("*").alias("tasks_done"), F.count_if(F.col("tile_id") == 0).alias("frames_done"))
 
 
 F8_SQL = f"select cast(task_id // 5 % 7 as int) as rank, count(*) as tasks_done, count(*) filter (tile_id = 0) as frames_done from ({TASKS}) group by 1"
@@ -148,7 +153,7 @@ F8_SQL = f"select cast(task_id // 5 % 7 as int) as rank, count(*) as tasks_done,
 
 def x1_mock_boxes(spark, sf_dir):
     """Boxes of the mock detector, at four decimals."""
-    return duplicates.quantized(detect.detect(MOCK, tasks.tasks(spark, MOCK)))
+    return duplicates.quantized(detect.detect(MOCK, work(spark, sf_dir)))
 
 
 MOCK_SQL = f"""
@@ -159,16 +164,16 @@ from (select *, x1 + (cast(0.22 as double) + cast(0.22 as double) * i + cast(0.0
 """
 
 
-COMMAND = DetectionConfig(tile_grid="4x3", frames=20, detector="command", detector_command="echo '# {tile_id}'; echo 1,2,{tile_id}.5,4,0.5; echo 3,4,5,6,0.25; echo broken; test {tile_id} -lt 11")
-WORKER = DetectionConfig(tile_grid="4x3", frames=2000, detector="worker", conf=0.4)
+COMMAND = DetectionConfig(tile_grid="4x3", detector="command", detector_command="echo '# {tile_id}'; echo 1,2,{tile_id}.5,4,0.5; echo 3,4,5,6,0.25; echo broken; test {tile_id} -lt 11")
+WORKER = DetectionConfig(tile_grid="4x3", detector="worker", conf=0.4)
 
 
 def x2_command_boxes(spark, sf_dir):
-    """Boxes that an outside program prints for each tile of 20 frames; it fails on a frame's last tile."""
-    return duplicates.quantized(detect.detect(COMMAND, tasks.tasks(spark, COMMAND)))
+    """Boxes that an outside program prints for each tile of every frame; it fails on a frame's last tile."""
+    return duplicates.quantized(detect.detect(COMMAND, work(spark, sf_dir, COMMAND)))
 
 
-X2_SQL = f"""select task_id, frame_id, tile_id, x1 + a as x1, y1 + b as y1, x1 + c as x2, y1 + d as y2, s as conf, 0 as cls from ({TASKS_SQL.format(n=240)}),
+X2_SQL = f"""select task_id, frame_id, tile_id, x1 + a as x1, y1 + b as y1, x1 + c as x2, y1 + d as y2, s as conf, 0 as cls from ({TASKS}),
  (select unnest([true, false]) as one), lateral (select case when one then 1e0 else 3e0 end as a, case when one then 2e0 else 4e0 end as b, case when one then tile_id + 5e-1 else 5e0 end as c, case when one then 4e0 else 6e0 end as d, case when one then 5e-1 else 25e-2 end as s) where tile_id < 11"""
 
 
@@ -183,7 +188,7 @@ def _loaded():
 
 def x3_worker_boxes(spark, sf_dir):
     """Boxes of a loaded model for each tile, persons of enough confidence only."""
-    return duplicates.quantized(detect.detect(WORKER, tasks.tasks(spark, WORKER), _loaded))
+    return duplicates.quantized(detect.detect(WORKER, work(spark, sf_dir, WORKER), _loaded))
 
 
 X3_SQL = f"select task_id, frame_id, tile_id, cast(x1 as double) as x1, y1 + 5e0 as y1, cast(x1 + tile_id as double) as x2, y1 + 50e0 as y2, round(frame_id % 10 / 10, 4) as conf, 0 as cls from ({TASKS}) where frame_id % 10 >= 4"
@@ -191,7 +196,7 @@ X3_SQL = f"select task_id, frame_id, tile_id, cast(x1 as double) as x1, y1 + 5e0
 
 def x5_costs(spark, sf_dir):
     """Said cost of the tasks of each rank."""
-    return detect.with_cost(MOCK, tasks.assigned(tasks.tasks(spark, MOCK), 4)).groupBy("rank").agg(F.sum("cost_ms").alias("cost_ms"))
+    return detect.with_cost(MOCK, tasks.assigned(work(spark, sf_dir), 4)).groupBy("rank").agg(F.sum("cost_ms").alias("cost_ms"))
 
 
 X5_SQL = f"select cast(task_id % 4 as int) as rank, cast(sum(3 + (frame_id + tile_id) % 5) as bigint) as cost_ms from ({TASKS}) group by 1"
@@ -310,11 +315,11 @@ def s2_tile_grids(spark, sf_dir):
 
 
 def s5_camera_lines(spark, sf_dir):
-    """Tiles of 2,000 frames as a camera's lines with base64 images, read again."""
-    work = tasks.tasks(spark, MOCK)
+    """Tiles of all frames as a camera's lines with base64 images, read again."""
+    tiles = work(spark, sf_dir)
     image = F.base64(F.concat(F.lit("tile "), F.col("task_id").cast("string")).cast("binary"))
-    tile = work.select(F.concat(F.format_string("TILE %d %d %d %d %d %d %d ", "task_id", "frame_id", "tile_id", "x1", "y1", "x2", "y2"), image).alias("value"))
-    frame = work.where("tile_id = 0").select(F.format_string("FRAME %d 1280 720 1.5 eA==", "frame_id").alias("value"))
+    tile = tiles.select(F.concat(F.format_string("TILE %d %d %d %d %d %d %d ", "task_id", "frame_id", "tile_id", "x1", "y1", "x2", "y2"), image).alias("value"))
+    frame = tiles.where("tile_id = 0").select(F.format_string("FRAME %d 1280 720 1.5 eA==", "frame_id").alias("value"))
     found = files.camera_lines(tile.unionByName(frame))[1]
     return found.withColumn("image", F.decode("image", "UTF-8"))
 

@@ -8,12 +8,11 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
 from tilewright.functions import text
 from tilewright.operators import layers, metrics, topology
-from tilewright.shared import staged_path
+from tilewright.shared import before_sums, staged_path
 from tilewright.sinks import tables
 from tilewright.sources import adapters, files, tasks
 from tilewright.sources.adapters import ansi, relation
@@ -53,18 +52,24 @@ A4_SQL = f"""select round(max(compute_ms), 6) as total_ms_without_comm, round(ma
 from (select *, greatest(0.0, max(compute_ms) over () - compute_ms) as idle from ({RANKS}))"""
 
 
-RUN = DetectionConfig(tile_grid="4x3", frames=400)
+N_FRAMES = f"(select cast(count(distinct frame_id) as int) from ({adapters.ansi(adapters.DET)}))"
+
+
+def _run(spark, sf_dir, **settings) -> DetectionConfig:
+    """The settings of a run over all frames of ``events``."""
+    frames = relation(spark, sf_dir, adapters.DET).select("frame_id").distinct().count()
+    return DetectionConfig(tile_grid="4x3", frames=frames, **settings)
 
 
 def k4_summary_table(spark, sf_dir):
     """K4, A4: the whole one-row summary of a run."""
-    return six(metrics.summary_row(RUN, relation(spark, sf_dir, adapters.RANK_METRICS), relation(spark, sf_dir, adapters.COUNT_SERIAL), run_id="run-1", model="mock"))
+    return six(metrics.summary_row(_run(spark, sf_dir), relation(spark, sf_dir, adapters.RANK_METRICS), relation(spark, sf_dir, adapters.COUNT_SERIAL), run_id="run-1", model="mock"))
 
 
-K4_SQL = f"""select 'run-1' as run_id, 'PySpark' as language, 'mock' as detector, 'mock' as model, 'cpu' as device, 640 as imgsz, 400 as frames, '4x3' as tile_grid, 4800 as num_tasks, 64 as overlap, 1 as tile_owner_filter,
+K4_SQL = f"""select 'run-1' as run_id, 'PySpark' as language, 'mock' as detector, 'mock' as model, 'cpu' as device, 640 as imgsz, {N_FRAMES} as frames, '4x3' as tile_grid, 12 * {N_FRAMES} as num_tasks, 64 as overlap, 1 as tile_owner_filter,
  cast(0.7 as double) as dedup_ios, cast(0.3 as double) as dedup_center, cast(0.7 as double) as dedup_axis_overlap, cast(0.08 as double) as dedup_gap, 0 as dedup_near_camera, cast(0.12 as double) as dedup_large_area_ratio, 1 as dedup_merge,
  'static' as schedule, 1 as chunk_size, 1 as master_compute, w.world_size, 1280 as video_width, 720 as video_height, w.total_ms_with_comm, s.*, c.avg_count, '' as correctness_pass
-from ({A4_SQL}) s, (select cast(count(*) as int) as world_size, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm from ({RANKS})) w, (select round(coalesce(sum(person_count), 0) / 400, 6) as avg_count from ({SERIAL})) c"""
+from ({A4_SQL}) s, (select cast(count(*) as int) as world_size, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm from ({RANKS})) w, (select round(coalesce(sum(person_count), 0) / {N_FRAMES}, 6) as avg_count from ({SERIAL})) c"""
 
 
 def a11_host_rollup(spark, sf_dir):
@@ -211,7 +216,7 @@ def j9_scheduler_comparison(spark, sf_dir):
     out = None
     for schedule, keep in (("static", "true"), ("dynamic", "rank % 2 = 0")):
         part = rows.where(keep)
-        cfg = DetectionConfig(tile_grid="4x3", frames=400, schedule=schedule)
+        cfg = _run(spark, sf_dir, schedule=schedule)
         one = metrics.summary_row(cfg, part, relation(spark, sf_dir, adapters.COUNT_SERIAL), run_id=schedule).select("schedule", "world_size", "frames", "tile_grid", "num_tasks", "total_ms_with_comm", "total_ms_without_comm", "load_imbalance").join(
             metrics.rank_summary(part, schedule).select(F.col("label").alias("schedule"), "comm_s_total", "idle_s_total", "idle_gap_ratio", "load_balance_pass"), "schedule")
         out = one if out is None else out.unionByName(one)
@@ -219,7 +224,7 @@ def j9_scheduler_comparison(spark, sf_dir):
 
 
 def _j9(schedule: str, keep: str) -> str:
-    return f"""select '{schedule}' as schedule, cast(count(*) as int) as world_size, 400 as frames, '4x3' as tile_grid, 4800 as num_tasks, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance, round(sum(comm_ms) / 1000, 6) as comm_s_total,
+    return f"""select '{schedule}' as schedule, cast(count(*) as int) as world_size, {N_FRAMES} as frames, '4x3' as tile_grid, 12 * {N_FRAMES} as num_tasks, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance, round(sum(comm_ms) / 1000, 6) as comm_s_total,
  round(sum(idle) / 1000, 6) as idle_s_total, round((max(idle) filter (tasks_done > 0) - min(idle) filter (tasks_done > 0)) / max(compute_ms) filter (tasks_done > 0), 6) as idle_gap_ratio,
  case when (max(idle) filter (tasks_done > 0) - min(idle) filter (tasks_done > 0)) / max(compute_ms) filter (tasks_done > 0) <= 0.25 then 'YES' else 'NO' end as load_balance_pass
 from (select *, greatest(0.0, max(compute_ms) over () - compute_ms) as idle from ({RANKS}) where {keep})"""
@@ -277,9 +282,8 @@ A27_SQL = f"select halo_mode, p, round(case when distributed_ms > 0 then halo_ms
 
 def w6_displacements(spark, sf_dir):
     """Where each rank's payload begins."""
-    rows = relation(spark, sf_dir, adapters.RANK_METRICS)
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("rank", F.col("tasks_done").alias("size"), F.coalesce(F.sum("tasks_done").over(before), F.lit(0)).alias("displacement"))
+    rows = relation(spark, sf_dir, adapters.RANK_METRICS).select("rank", F.col("tasks_done").alias("size"))
+    return before_sums(rows, ["rank"], "size", "displacement")
 
 
 W6_SQL = f"select rank, tasks_done as size, cast(coalesce(sum(tasks_done) over (order by rank rows between unbounded preceding and 1 preceding), 0) as bigint) as displacement from ({RANKS})"
@@ -400,14 +404,14 @@ P13_SQL = "select s_suppkey, case when s_suppkey%4=0 then 'n/a' else printf('%.3
 
 
 def p16_grids(spark, sf_dir):
-    """The most square grid of 1 to 200 processes, and the second part of 1,000 dealt into as many."""
-    p = F.col("id")
+    """The most square grid of one process more than each supplier's key says, and the second part of 1,000 dealt into as many."""
+    p = F.col("s_suppkey").cast("bigint") + 1
     rows = text.most_square_rows(p)
-    return spark.range(1, 201).select(p.alias("processes"), rows.alias("rows"), F.floor(p / rows).alias("cols"), text.split_start(F.lit(1000), p, F.lit(1)).alias("start"), text.split_end(F.lit(1000), p, F.lit(1)).alias("end"))
+    return relation(spark, sf_dir, "select s_suppkey from {supplier}").select(p.alias("processes"), rows.alias("rows"), F.floor(p / rows).alias("cols"), text.split_start(F.lit(1000), p, F.lit(1)).alias("start"), text.split_end(F.lit(1000), p, F.lit(1)).alias("end"))
 
 
 P16_SQL = """select p as processes, r as rows, p // r as cols, 1000 // p + least(1, 1000 % p) as start, 2 * (1000 // p) + least(2, 1000 % p) as "end"
-from (select p, list_max(list_filter(range(1, p + 1), lambda d: p % d = 0 and d * d <= p)) as r from (select unnest(range(1, 201)) as p))"""
+from (select p, list_max(list_filter(range(1, p + 1), lambda d: p % d = 0 and d * d <= p)) as r from (select cast(s_suppkey + 1 as bigint) as p from supplier))"""
 
 
 def k10_markdown(spark, sf_dir):
@@ -451,11 +455,11 @@ from (select frame_id, gt_count as g, person_count as p, person_count - gt_count
 def d7_placement_overview(spark, sf_dir):
     """Two placements of the ranks side by side."""
     rows = relation(spark, sf_dir, adapters.RANK_METRICS)
-    return six(metrics.placement_overview(RUN, {"uniform_24": rows, "weighted_24": rows.where("rank % 3 <> 0")}, relation(spark, sf_dir, adapters.COUNT_SERIAL)))
+    return six(metrics.placement_overview(_run(spark, sf_dir), {"uniform_24": rows, "weighted_24": rows.where("rank % 3 <> 0")}, relation(spark, sf_dir, adapters.COUNT_SERIAL)))
 
 
 def _placement_sql(label: str, keep: str) -> str:
-    return f"""select '{label}' as label, s.world_size, 400 as frames, '4x3' as tile_grid, s.total_ms_with_comm, s.total_ms_without_comm, s.load_imbalance, h.host_task_distribution
+    return f"""select '{label}' as label, s.world_size, {N_FRAMES} as frames, '4x3' as tile_grid, s.total_ms_with_comm, s.total_ms_without_comm, s.load_imbalance, h.host_task_distribution
  from (select cast(count(*) as int) as world_size, round(max(compute_ms + comm_ms), 6) as total_ms_with_comm, round(max(compute_ms), 6) as total_ms_without_comm, round(max(compute_ms) filter (tasks_done > 0) / avg(compute_ms) filter (tasks_done > 0), 6) as load_imbalance from ({RANKS}) where {keep}) s,
  (select string_agg(printf('%s ranks=%d tasks=%d share=%.3f', hostname, rank_count, tasks_done, share), '; ' order by hostname) as host_task_distribution from (select hostname, count(*) as rank_count, cast(sum(tasks_done) as bigint) as tasks_done, cast(sum(tasks_done) / sum(sum(tasks_done)) over () as double) as share from ({RANKS}) where {keep} group by hostname)) h"""
 

@@ -49,6 +49,13 @@ def tasks(spark: SparkSession, cfg: DetectionConfig) -> DataFrame:
     return rows.select("*", *tile_bounds(cfg, F.col("tile_id")))
 
 
+def frame_tasks(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
+    """S1, J1 over given frames: one row per frame_id and tile, task_id by arithmetic."""
+    per_frame = cfg.grid[0] * cfg.grid[1]
+    rows = frames.select(F.col("frame_id").cast("int").alias("frame_id"), F.explode(F.sequence(F.lit(0), F.lit(per_frame - 1))).alias("tile_id"))
+    return rows.select((F.col("frame_id").cast("bigint") * per_frame + F.col("tile_id")).alias("task_id"), "frame_id", "tile_id", *tile_bounds(cfg, F.col("tile_id")))
+
+
 def assigned(work: DataFrame, ranks: int, chunk: int = 1) -> DataFrame:
     """Block-cyclic rank of every task."""
     return work.withColumn("rank", (F.floor(F.col("task_id") / chunk) % ranks).cast("int"))
