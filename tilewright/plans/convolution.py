@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.operators import blocks, tensor
-from tilewright.shared import staged
-from tilewright.sources import adapters
+from tilewright.config import DetectionConfig
+from tilewright.operators import blocks, resize, tensor
+from tilewright.shared import staged, staged_path
+from tilewright.sources import adapters, video
 
 #: A 3x3 kernel for each of two output channels, and their biases.
 KERNELS = {0: (1, 2, 1, 2, 4, 2, 1, 2, 1), 1: (-1, 0, 1, -2, 0, 2, -1, 0, 1)}
@@ -137,7 +138,59 @@ def _stack_sql(side: int) -> str:
 
 E10_SQL = _stack_sql(SIDE)
 
+RESIZED = (5, 3)
+
+
+def s19_area_resize(spark, sf_dir):
+    """The maps of ``embeddings`` at 5 x 3 pixels, each the mean of the area under it."""
+    return resize.area_resize(_maps(spark, sf_dir), (SIDE, SIDE), RESIZED).withColumn("v", F.round("v", 6))
+
+
+_OVERLAP = "greatest(0, least((p.{k} + 1) * {t}, (t.{k} + 1) * 8) - greatest(p.{k} * {t}, t.{k} * 8))"
+S19_SQL = f"""select p.img, p.c, cast(t.y as int) as y, cast(t.x as int) as x, round(sum(p.v * {_OVERLAP.format(k='y', t=5)} * {_OVERLAP.format(k='x', t=3)}) / 64, 6) as v
+from ({adapters.FEATURE_MAP_ANSI}) p, (select range // 3 as y, range % 3 as x from range(15)) t group by 1, 2, 3, 4"""
+VIDEO = DetectionConfig(tile_grid="3x2", overlap=1)
+
+
+def _video(spark, sf_dir) -> str:
+    """The maps of ``embeddings`` in order of their ids as the frames of a mono video of 25 frames a second, in the shared folder."""
+    from tilewright.shared import numbered
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.expr("transform(embedding, v -> pmod(cast(round(v * 100) as int), 256))").alias("p"))
+    luma = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    path = staged_path(spark, "video")
+    video.write_video(numbered(rows, ["vec_id"]).select("place", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), luma.alias("luma")), path, 25)
+    return path
+
+
+def s3_video_tiles(spark, sf_dir):
+    """Tiles of every frame of a video of the maps of ``embeddings``, read by byte ranges: their sizes and the sums of their pixels."""
+    path = _video(spark, sf_dir)
+    frames = video.read_video(spark, path, "frame_id bigint, width int, height int")
+    tiles = video.tile_pixels(video.video_tasks(VIDEO, frames, SIDE, SIDE), path)
+    value = lambda s: F.conv(F.hex(s), 16, 10).cast("bigint")
+    total = F.aggregate(F.sequence(F.lit(1), F.length("pixels")), F.lit(0).cast("bigint"), lambda a, k: a + value(F.substring(F.col("pixels"), k, F.lit(1))))
+    return tiles.select("frame_id", "tile_id", F.length("pixels").alias("n_pixels"), total.alias("total"))
+
+
+S3_SQL = """
+with f as (select row_number() over (order by vec_id) - 1 as frame_id, embedding from embeddings),
+ p as (select frame_id, k // 8 as y, k % 8 as x, ((cast(round(v * 100) as int) % 256) + 256) % 256 as v from (select frame_id, unnest(embedding) as v, unnest(range(len(embedding))) as k from f)),
+ t as (select cast(range as int) as tile_id, greatest(0, round_even(range % 3 * 8 / 3, 0) - 1) as x1, least(8, round_even((range % 3 + 1) * 8 / 3, 0) + 1) as x2, greatest(0, range // 3 * 4 - 1) as y1, least(8, (range // 3 + 1) * 4 + 1) as y2 from range(6))
+select frame_id, tile_id, cast(count(*) as int) as n_pixels, cast(sum(v) as bigint) as total from p join t on x >= x1 and x < x2 and y >= y1 and y < y2 group by 1, 2
+"""
+
+
+def s18_video_probe(spark, sf_dir):
+    """Size, rate and number of frames of the same video, without reading a frame."""
+    rows = video.probe(spark, _video(spark, sf_dir))
+    return rows.groupBy("width", "height", "fps").agg(F.sum("frames").alias("frames"))
+
+
+S18_SQL = "select 8 as width, 8 as height, cast(25 as double) as fps, count(*) as frames from embeddings"
+
 QUERIES = {
+    "s19_area_resize": (s19_area_resize, S19_SQL), "s3_video_tiles": (s3_video_tiles, S3_SQL), "s18_video_probe": (s18_video_probe, S18_SQL),
     "e8_convolution": (e8_convolution, CONV_SQL), "e6_block_convolution": (e6_block_convolution, CONV_SQL), "e3_halo_pixels": (e3_halo_pixels, E3_SQL), "p15_blocks": (p15_blocks, P15_SQL),
     "a21_relu_pool": (a21_relu_pool, A21_SQL), "a22_tensor_error": (a22_tensor_error, A22_SQL), "a23_image_set_error": (a23_image_set_error, A23_SQL), "e10_stack": (e10_stack, E10_SQL),
     "e4_halo_modes": (e4_halo_modes, E4_SQL), "s13_synthetic_maps": (s13_synthetic_maps, S13_SQL),
