@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
-from tilewright.functions.boxes import suppressed_boxes
+from tilewright.functions import folds
 from tilewright.functions.geometry import BOX, box, duplicate, merged
 
 EPS = 1e-6
@@ -61,14 +62,15 @@ def frame_boxes(boxes: DataFrame) -> DataFrame:
 
 
 def suppress(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
-    """A9 over all frames, in parallel by frame: one shuffle, then a fold over each frame's boxes in Arrow batches.
+    """A9 over all frames, in parallel by frame: one shuffle, then a fold over the frames of an Arrow batch side by side.
 
     The fold is sequential inside a frame; as nested higher-order functions (``suppressed``) it takes several times as long.
     """
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [suppressed_boxes(cfg, frame, cfg.width, cfg.height) for frame in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, batch.schema.field(1).type)], ["frame_id", "boxes"])
+            n = batch.num_rows
+            kept = folds.suppressed(cfg, folds.from_arrow(batch.column(1), np.full(n, cfg.width), np.full(n, cfg.height)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), folds.to_arrow(kept, batch.schema.field(1).type)], ["frame_id", "boxes"])
 
     frames = frame_boxes(boxes)
     kept = frames.mapInArrow(fold, frames.schema).select("frame_id", F.explode("boxes").alias("b"))
@@ -102,24 +104,34 @@ def uncovered(cfg: DetectionConfig, tiles: DataFrame, anchors: DataFrame) -> Dat
 def duplicate_pairs(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
     """(frame_id, a, b) of all pairs of a frame's boxes that are duplicates, a < b by det_id.
 
-    The join is by frame and by cells of 128 pixels that both boxes touch, so distant boxes never meet; a pair
-    that shares several cells counts in its first. Near-camera rules link boxes apart, so with them the join is
-    by frame alone, whose few boxes meet each other.
+    The join is by frame, class and cell, so distant boxes never meet; a pair that shares several cells counts in
+    its first. Boxes stand in levels by their longer side, cells of a level are as large as its boxes, and a box
+    goes to the few cells of its reach in its own level and all coarser ones, where the larger box of a pair is.
+    Reach is the box itself; with near-camera rules it is wider by the share of its sides that those rules allow.
     """
-    if cfg.duplicate_near_camera:
-        one = boxes.select("frame_id", "det_id", box().alias("b"))
-        two = one.select(F.col("frame_id").alias("l_frame_id"), F.col("det_id").alias("l_det_id"), F.col("b").alias("l_b"))
-        met = (F.col("frame_id") == F.col("l_frame_id")) & (F.col("l_det_id") < F.col("det_id"))
-        return two.join(one, met & duplicate(cfg, F.col("b"), F.col("l_b"))).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
-    cell = 128
-    spans = boxes.select("frame_id", "det_id", box().alias("b")).select(
-        "frame_id", "det_id", "b", F.floor(F.col("b.x1") / cell).alias("x0"), F.floor(F.col("b.y1") / cell).alias("y0"),
-        F.explode(F.sequence(F.floor(F.col("b.x1") / cell), F.floor(F.col("b.x2") / cell))).alias("cx"), F.floor(F.col("b.y1") / cell).alias("ya"), F.floor(F.col("b.y2") / cell).alias("yb"))
-    cells = spans.select("frame_id", "det_id", "b", "x0", "y0", "cx", F.explode(F.sequence("ya", "yb")).alias("cy"))
+    reach = max(cfg.duplicate_gap, cfg.duplicate_center) if cfg.duplicate_near_camera else 0.0
+    if cfg.iou <= 0:
+        raise ValueError("an iou of 0 makes duplicates of all boxes of a class")
+    flat = ["x1", "y1", "x2", "y2", "conf", "tile_id", "rank", "cls"]
+    wide, high = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")), F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), wide, high))) - 5).cast("int")
+    rows = boxes.select("frame_id", "det_id", *flat, level.alias("level"), (wide * reach).alias("mx"), (high * reach).alias("my"))
+    # a coarser level costs a box a cell or four; levels end with the largest box
+    top = rows.agg(F.coalesce(F.max("level"), F.lit(0)).alias("top"))  # one row
+    rows = rows.crossJoin(F.broadcast(top)).select("*", F.explode(F.sequence("level", "top")).alias("at"))
+    edge = F.pow(F.lit(2.0), F.col("at") + 5)
+    lo = lambda k, m: F.floor((F.col(f"{k}1") - F.col(m)) / edge)
+    hi = lambda k, m: F.floor((F.greatest(f"{k}1", f"{k}2") + F.col(m)) / edge)
+    spans = rows.select("frame_id", "det_id", *flat, "level", "at", lo("x", "mx").alias("x0"), lo("y", "my").alias("y0"), hi("y", "my").alias("yb"), F.explode(F.sequence(lo("x", "mx"), hi("x", "mx"))).alias("cx"))
+    cells = spans.select("frame_id", "det_id", *flat, "level", "at", "x0", "y0", "cx", F.explode(F.sequence("y0", "yb")).alias("cy"))
     left = cells.select(*[F.col(c).alias(f"l_{c}") for c in cells.columns])
-    same = (F.col("l_frame_id") == F.col("frame_id")) & (F.col("l_cx") == F.col("cx")) & (F.col("l_cy") == F.col("cy")) & (F.col("l_det_id") < F.col("det_id"))
-    first = (F.col("cx") == F.greatest("l_x0", "x0")) & (F.col("cy") == F.greatest("l_y0", "y0"))
-    return left.join(cells, same & first & duplicate(cfg, F.col("b"), F.col("l_b"))).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
+    same = F.lit(True)
+    for key in ("frame_id", "cls", "at", "cx", "cy"):
+        same = same & (F.col(f"l_{key}") == F.col(key))
+    # a pair meets in the level of its larger box, in the first cell that both have there
+    first = (F.col("l_det_id") < F.col("det_id")) & (F.col("at") == F.greatest("l_level", "level")) & (F.col("cx") == F.greatest("l_x0", "x0")) & (F.col("cy") == F.greatest("l_y0", "y0"))
+    one, two = (F.struct(*[F.col(p + c).alias(c) for c in flat]) for p in ("", "l_"))
+    return left.join(cells, same & first & duplicate(cfg, one, two)).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
 
 
 def ranked(boxes: DataFrame) -> DataFrame:

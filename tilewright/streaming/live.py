@@ -11,15 +11,18 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.config import DetectionConfig
+from tilewright.functions import folds
 from tilewright.functions.boxes import around, matches, suppressed_boxes
 from tilewright.functions.geometry import BOX
-from tilewright.operators.duplicates import counts_on_spine, merge_frame, owner_filter, suppress, with_anchors
+from tilewright.operators.duplicates import counts_on_spine, owner_filter, suppress
 
 FRAME = f"camera string, frame_id int, frame_width int, frame_height int, capture_ms double, tiles array<{BOX}>, anchors array<{BOX}>"
 EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, latency_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
@@ -45,14 +48,17 @@ def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int
 
 
 def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
-    """Each frame (FRAME) with ``boxes`` after merging its tiles, and its anchors if there is an anchor pass, and ``tasks``."""
-    w, h = F.col("frame_width"), F.col("frame_height")
-    tiles = merge_frame(cfg, F.col("tiles"), w, h)
-    if not cfg.live_anchor_full_frame:
-        return frames.withColumn("boxes", tiles).withColumn("tasks", F.lit(cfg.grid[0] * cfg.grid[1]))
-    anchors = merge_frame(cfg, F.col("anchors"), w, h)
-    first = F.lit(cfg.live_anchor_policy == "anchor-only") | (F.lit(cfg.live_anchor_policy == "anchor-gate") & (F.size("anchors") > 0))
-    return frames.withColumn("boxes", with_anchors(cfg, anchors, tiles, w, h)).withColumn("tasks", F.when(first, 1).otherwise(cfg.grid[0] * cfg.grid[1]))
+    """Each frame (FRAME) with ``boxes`` after merging its tiles, and its anchors if there is an anchor pass, and ``tasks``; the frames of an Arrow batch side by side."""
+    kind = frames.schema["tiles"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width, height = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("frame_width", "frame_height"))
+            tiles, anchors = (folds.from_arrow(batch.column(k), width, height) for k in ("tiles", "anchors"))
+            boxes, tasks = folds.with_anchors(cfg, tiles, anchors)
+            yield pa.RecordBatch.from_arrays([*batch.columns, folds.to_arrow(boxes, batch.schema.field("tiles").type), pa.array(tasks, pa.int32())], [*batch.schema.names, "boxes", "tasks"])
+
+    return frames.mapInArrow(merge, frames.withColumn("boxes", F.lit(None).cast(kind)).withColumn("tasks", F.lit(0)).schema)
 
 
 def _events(cfg: DetectionConfig, camera: str, rows: pd.DataFrame, before: list[dict]) -> tuple[list[tuple], list[dict]]:
