@@ -2,8 +2,9 @@
 
 A stream of frames is keyed by its camera. Merging a frame needs no state (L2, L4). Temporal
 de-duplication keeps the last frame's boxes per camera as arbitrary state (L3); rows of a micro-batch are
-sorted by frame first. ``dedup_frames`` is the same fold over a whole table, cut where a frame's result
-does not depend on the frame before. The rules on plain boxes are in ``functions.boxes``.
+sorted by frame first. ``dedup_frames`` is the same fold over a whole table, in pieces that are folded at
+once and corrected where the frame before was another. The rules on plain boxes are in ``functions.boxes``.
+``streaming.frames`` is the live mode from a camera's rows on, with typed state.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from tilewright.functions import folds
 from tilewright.functions.boxes import around, matches, suppressed_boxes
 from tilewright.functions.geometry import BOX
 from tilewright.operators.duplicates import counts_on_spine, owner_filter, suppress
+from tilewright.shared import staged
 
 FRAME = f"camera string, frame_id int, frame_width int, frame_height int, capture_ms double, tiles array<{BOX}>, anchors array<{BOX}>"
 EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, latency_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
 STATE = "boxes string"
-#: Frames in a span of frame ids that ``dedup_frames`` looks for cuts in at a time.
-SPAN = 4096
+#: Frame ids in a piece of a camera that ``dedup_frames`` folds at a time.
+PIECE = 256
 
 
 def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int | None = None, height: int | None = None) -> list[dict]:
@@ -97,43 +99,85 @@ def event_lines(events: DataFrame) -> DataFrame:
     return events.select("camera", "frame_id", "person_count", "tasks", *[F.format_string("%.4f", c).alias(c) for c in ("capture_ms", "latency_ms")])
 
 
-def with_pieces(frames: DataFrame) -> DataFrame:
-    """``frames`` with ``piece``, the last frame up to each one of its camera that has fewer than two boxes.
+def _fold(cfg: DetectionConfig):
+    """Arrow batches of rows by camera, piece and frame, with ``boxes`` as merged, to those rows with ``out``, the boxes after the temporal pass.
 
-    Such a frame's boxes stay as they are whatever came before, so a new piece starts there with it. Cuts are
-    looked for in spans of frame ids, and the last cut before a span among the spans: no task has a whole camera.
+    A piece may begin with a row without a frame, whose boxes are those of the frame before it; then ``out`` has
+    what an earlier round found, and rows come back only until the boxes are again what that round had: from
+    there on nothing can differ.
     """
-    cut = F.when(F.size("boxes") < 2, F.col("frame_id"))
-    rows = frames.withColumn("_span", F.floor(F.col("frame_id") / SPAN)).withColumn("_cut", cut)
-    spans = rows.groupBy("camera", "_span").agg(F.max("_cut").alias("_last"))
-    before = Window.partitionBy("camera").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(F.col("camera").alias("_camera"), F.col("_span").alias("_at"), F.max("_last").over(before).alias("_before"))
-    inside = Window.partitionBy("camera", "_span").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_own", F.max("_cut").over(inside))
-    rows = rows.join(spans, F.col("camera").eqNullSafe(F.col("_camera")) & (F.col("_span") == F.col("_at")), "left")
-    return rows.withColumn("piece", F.coalesce("_own", "_before")).drop("_span", "_cut", "_own", "_camera", "_at", "_before")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, before, met = None, [], False
+        for batch in batches:
+            rows, outs, took = [], [], []
+            for k, r in enumerate(batch.select(["camera", "piece", "frame_id", "frame_width", "frame_height", "boxes", "out"]).to_pylist()):
+                if (r["camera"], r["piece"]) != piece:
+                    piece, before, met = (r["camera"], r["piece"]), [], False
+                if r["frame_id"] is None:
+                    before = r["boxes"]
+                elif not met:
+                    began = time.perf_counter()
+                    before = dedup(cfg, r["boxes"], before, r["frame_width"], r["frame_height"])
+                    met = r["out"] is not None and before == r["out"]
+                    if not met:
+                        rows.append(k)
+                        outs.append(before)
+                        took.append((time.perf_counter() - began) * 1000)
+            same = batch.select([n for n in batch.schema.names if n not in ("out", "latency_ms")]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(outs, batch.schema.field("boxes").type), pa.array(took, pa.float64())], [*same.schema.names, "out", "latency_ms"])
+
+    return fold
 
 
 def dedup_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
-    """A10, W5, J7 over a table: EVENT rows, each camera's frames folded in order.
+    """A10, W5, J7 over a table: EVENT rows, each camera's frames folded in order, all pieces of all cameras in parallel.
 
-    Pieces of a camera are folded apart; a piece is one sequence by nature. Arrow batches of its frames come in order, so a task holds one batch and the boxes before it.
+    A camera is cut into pieces of ``PIECE`` frame ids. First every piece is folded as if nothing came before it.
+    Then a piece whose frame before (in the piece before) has other boxes than it was folded with is folded again
+    from those, but only until its boxes are what they were: mostly a few frames. That goes on until no piece's
+    start differs, so the result is that of the fold from the first frame to the last. One row a piece, with its
+    last boxes, says which pieces are left.
     """
-    merged = with_pieces(merged_frames(cfg, frames).select(*_FRAME_COLUMNS))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, before = None, []
-        for batch in batches:
-            out = []
-            for name, rows in batch.groupby(["camera", "piece"], sort=False, dropna=False):
-                name = tuple(None if x != x else x for x in name)
-                if name != piece:
-                    piece, before = name, []
-                more, before = _events(cfg, name[0], rows, before)
-                out += more
-            yield pd.DataFrame(out, columns=_COLUMNS)
-
-    return merged.repartition("camera", "piece").sortWithinPartitions("camera", "piece", "frame_id").mapInPandas(fold, EVENT)
+    kind = frames.schema["tiles"].dataType.simpleString()
+    keys = ["camera", "piece"]
+    merged = merged_frames(cfg, frames).select(*_FRAME_COLUMNS, F.floor(F.col("frame_id") / PIECE).alias("piece"))
+    empty = {"out": F.lit(None).cast(kind), "latency_ms": F.lit(None).cast("double")}
+
+    def folded(rows: DataFrame, name: str) -> DataFrame:
+        return staged(rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("frame_id")).mapInArrow(_fold(cfg), rows.schema), name)
+
+    base = folded(merged.withColumns(empty), "pieces")
+    order = Window.partitionBy("camera").orderBy("piece")
+    ends = base.groupBy(*keys).agg(F.max("frame_id").alias("last"), F.max_by("out", "frame_id").alias("end"))
+    ends = staged(ends.withColumn("prior", F.lag("piece").over(order)).withColumn("used", F.array().cast(kind)), "ends")
+    patches = None
+    while True:
+        before = ends.select(F.col("camera").alias("b_camera"), F.col("piece").alias("b_piece"), F.col("end").alias("start"))
+        left = ends.join(before, F.col("camera").eqNullSafe(F.col("b_camera")) & (F.col("prior") == F.col("b_piece"))).where("not (start <=> used)").select("camera", "piece", "start")
+        left = staged(left, "differing")
+        if left.isEmpty():
+            break
+        wanted = left.select(F.col("camera").alias("b_camera"), F.col("piece").alias("b_piece"))
+        rows = base.join(wanted, F.col("camera").eqNullSafe(F.col("b_camera")) & (F.col("piece") == F.col("b_piece")), "left_semi")
+        rows = rows if patches is None else _patched(rows, patches)
+        starts = left.select("camera", F.lit(None).cast("int").alias("frame_id"), *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in _FRAME_COLUMNS[2:-1]], F.col("start").alias("boxes"), "piece", *[v.alias(k) for k, v in empty.items()])
+        new = folded(rows.unionByName(starts), "patches").select("camera", "frame_id", "piece", "out", "latency_ms")
+        # boxes at the end of a piece, where the new fold got so far, and what each piece was folded with
+        late = new.groupBy(*keys).agg(F.max("frame_id").alias("n_last"), F.max_by("out", "frame_id").alias("n_end")).toDF("n_camera", "n_piece", "n_last", "n_end")
+        used = left.toDF("u_camera", "u_piece", "start")
+        ends = ends.join(used, F.col("camera").eqNullSafe(F.col("u_camera")) & (F.col("piece") == F.col("u_piece")), "left").join(late, F.col("camera").eqNullSafe(F.col("n_camera")) & (F.col("piece") == F.col("n_piece")), "left")
+        ends = staged(ends.select("camera", "piece", "last", F.when(F.col("n_last") == F.col("last"), F.col("n_end")).otherwise(F.col("end")).alias("end"), "prior", F.coalesce("start", "used").alias("used")), "ends")
+        patches = new if patches is None else staged(new.unionByName(patches.join(new.select(F.col("camera").alias("b_camera"), F.col("frame_id").alias("b_frame")), F.col("camera").eqNullSafe(F.col("b_camera")) & (F.col("frame_id") == F.col("b_frame")), "left_anti")), "patches")
+    out = base if patches is None else _patched(base, patches)
+    plain = F.transform("out", lambda b: F.struct(*[b[c].alias(c) for c in ("tile_id", "rank", "x1", "y1", "x2", "y2", "conf", "cls")]))
+    return out.select("camera", "frame_id", F.size("out").alias("person_count"), F.col("tasks").cast("int").alias("tasks"), "capture_ms", "latency_ms", plain.alias("boxes"))
+
+
+def _patched(rows: DataFrame, patches: DataFrame) -> DataFrame:
+    """``rows`` with the boxes that ``patches`` has for their frames."""
+    new = patches.select(F.col("camera").alias("p_camera"), F.col("frame_id").alias("p_frame"), F.col("out").alias("p_out"), F.col("latency_ms").alias("p_latency"))
+    met = rows.join(new, F.col("camera").eqNullSafe(F.col("p_camera")) & (F.col("frame_id") == F.col("p_frame")), "left")
+    return met.withColumns({"out": F.coalesce("p_out", "out"), "latency_ms": F.coalesce("p_latency", "latency_ms")}).select(*rows.columns)
 
 
 def final_counts(cfg: DetectionConfig, spine: DataFrame, events: DataFrame) -> DataFrame:
