@@ -11,6 +11,7 @@ from tilewright.config import DetectionConfig
 from tilewright.functions import boxes
 from tilewright.functions.geometry import BOX, duplicate, near_camera_duplicate, temporal_match
 from tilewright.operators.duplicates import frame_spine
+from tilewright.streaming import frames as live_frames
 from tilewright.streaming import live
 
 CFG = DetectionConfig(tile_grid="1x1", live=True, live_temporal_dedup=True)
@@ -63,9 +64,9 @@ def test_stream_equals_table_and_plain_fold(spark, tmp_path):
     for k in range(3):
         rows.where(f"frame_id div 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = live.live_events(cfg, stream).writeStream.format("memory").queryName("live_test").trigger(availableNow=True).start()
-    query.awaitTermination()
-    streamed = {(r.camera, r.frame_id): [b.asDict() for b in r.boxes] for r in spark.table("live_test").collect()}
+    with live_frames.typed_state(spark):
+        live_frames.run_through(live_frames.live_frames(cfg, live_frames.protocol_rows(stream, 2)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")))
+    streamed = {(r.camera, r.frame_id): [b.asDict() for b in r.boxes] for r in spark.read.schema(live_frames.EVENT).parquet(str(tmp_path / "out")).collect()}
     assert streamed == table and len(table) == 12
     before, want = {}, {}
     for r in sorted(live.merged_frames(cfg, rows).collect(), key=lambda r: r.frame_id):

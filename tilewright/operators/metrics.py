@@ -142,6 +142,24 @@ def speedup_by_mode(runs: DataFrame, by: str = "halo_mode") -> DataFrame:
     return runs.join(base, by).withColumn("speedup", gain).withColumn("efficiency", share(gain, F.col("p"))).drop("base")
 
 
+def sweep_overview(ranks: DataFrame, limit: float = 0.25) -> DataFrame:
+    """One row per tile_grid and world_size from the rank rows of all runs of a sweep.
+
+    Balance as in ``rank_summary``, over each run's own ranks; speedup and efficiency against the smallest run of
+    the same grid, with communication (the slowest rank's compute and communication) and without.
+    """
+    run, active = ["tile_grid", "world_size"], F.col("tasks_done") > 0
+    most = ranks.groupBy(*run).agg(F.max("compute_ms").alias("run_max"))
+    rows = ranks.join(most, run).withColumn("idle_ms", F.greatest(F.lit(0.0), F.col("run_max") - F.col("compute_ms")))
+    runs = rows.groupBy(*run).agg(
+        F.sum("tasks_done").alias("total_tasks"), *[F.coalesce(f(F.when(active, F.col("compute_ms") / 1000)), F.lit(0.0)).alias(f"compute_s_{n}") for n, f in (("max", F.max), ("min", F.min), ("avg", F.avg))],
+        (F.sum("comm_ms") / 1000).alias("comm_s_total"), (F.sum("idle_ms") / 1000).alias("idle_s_total"), F.max(F.col("compute_ms") + F.col("comm_ms")).alias("total_ms_with_comm"), F.max("compute_ms").alias("total_ms_without_comm"),
+        F.coalesce((F.max(F.when(active, F.col("idle_ms"))) - F.min(F.when(active, F.col("idle_ms")))) / 1000, F.lit(0.0)).alias("gap"))
+    ratio = share(F.col("gap"), F.col("compute_s_max"))
+    runs = runs.select(*[c for c in runs.columns if c != "gap"], ratio.alias("idle_gap_ratio"), F.when(ratio <= limit, "YES").otherwise("NO").alias("load_balance_pass"))
+    return speedup(runs.withColumn("run_seq", F.col("world_size")), ["tile_grid"]).drop("run_seq")
+
+
 def repeats(runs: DataFrame) -> DataFrame:
     """Repeated runs per label and size; one run has a deviation of 0."""
     return runs.groupBy("label", "world_size").agg(

@@ -376,14 +376,14 @@ def l10_final_counts(spark, sf_dir):
 
 
 def l3_live_stream(spark, sf_dir):
-    """The temporal pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
+    """The live pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
     shared = staged_path(spark, "live")
-    frames = _frames(spark, sf_dir).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
-    frames.write.parquet(f"{shared}/frames")
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 4).parquet(f"{shared}/frames")
-    query = live.live_events(LIVE, stream).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(live.EVENT).parquet(f"{shared}/events").select("camera", "frame_id", "person_count", "tasks")
+    nested = _frames(spark, sf_dir).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
+    nested.write.parquet(f"{shared}/frames")
+    stream = spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 4).parquet(f"{shared}/frames")
+    with frames.typed_state(spark):
+        frames.run_through(frames.live_frames(LIVE, frames.protocol_rows(stream, 4)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state"))
+    return spark.read.schema(frames.EVENT).parquet(f"{shared}/events").select("camera", "frame_id", "person_count", "tasks")
 
 
 def _camera(spark, sf_dir) -> tuple[DataFrame, str]:

@@ -452,6 +452,21 @@ D7_SQL = f"""select 'seq-' || (frame_id % 4) as sequence, count(*) as frames_com
 from (select frame_id, gt_count as g, person_count as p, person_count - gt_count as e from ({GT}) t join ({SERIAL}) s using (frame_id)) group by 1"""
 
 
+def d7_sweep_overview(spark, sf_dir):
+    """Granularity and speedup of all grids and process counts as one table."""
+    return six(metrics.sweep_overview(relation(spark, sf_dir, adapters.GRID_RANKS)))
+
+
+D7_SWEEP_SQL = f"""
+with m as (select * from ({ansi(adapters.GRID_RANKS)})), i as (select *, greatest(0.0, max(compute_ms) over (partition by tile_grid, world_size) - compute_ms) as idle from m),
+r as (select tile_grid, world_size, cast(sum(tasks_done) as bigint) as total_tasks, coalesce(max(compute_ms) filter (tasks_done > 0), 0) / 1000 as hi, coalesce(min(compute_ms) filter (tasks_done > 0), 0) / 1000 as lo, coalesce(avg(compute_ms) filter (tasks_done > 0), 0) / 1000 as mid,
+ sum(comm_ms) / 1000 as comm, sum(idle) / 1000 as idle, max(compute_ms + comm_ms) as tw, max(compute_ms) as tc, coalesce(max(idle) filter (tasks_done > 0) - min(idle) filter (tasks_done > 0), 0) / 1000 as gap from i group by 1, 2),
+b as (select *, first(tw) over w / tw as sw, first(tc) over w / tc as sc, case when hi > 0 then gap / hi else 0 end as ratio from r window w as (partition by tile_grid order by world_size rows between unbounded preceding and unbounded following))
+select tile_grid, world_size, total_tasks, round(hi, 6) as compute_s_max, round(lo, 6) as compute_s_min, round(mid, 6) as compute_s_avg, round(comm, 6) as comm_s_total, round(idle, 6) as idle_s_total, tw as total_ms_with_comm, tc as total_ms_without_comm,
+ round(ratio, 6) as idle_gap_ratio, case when ratio <= 0.25 then 'YES' else 'NO' end as load_balance_pass, round(sw, 6) as speedup_with_comm, round(sw / world_size, 6) as efficiency_with_comm, round(sc, 6) as speedup_without_comm, round(sc / world_size, 6) as efficiency_without_comm from b
+"""
+
+
 def d7_placement_overview(spark, sf_dir):
     """Two placements of the ranks side by side."""
     rows = relation(spark, sf_dir, adapters.RANK_METRICS)
@@ -573,7 +588,7 @@ QUERIES = {
     "k4_summary_table": (k4_summary_table, K4_SQL),
     "f1_checked_settings": (f1_checked_settings, F1_SQL),
     "d7_accuracy_overview": (d7_accuracy_overview, D7_SQL),
-    "d7_placement_overview": (d7_placement_overview, D7_PLACEMENT_SQL),
+    "d7_sweep_overview": (d7_sweep_overview, D7_SWEEP_SQL), "d7_placement_overview": (d7_placement_overview, D7_PLACEMENT_SQL),
     "k7_conv_summary": (k7_conv_summary, K7_SQL),
     "k7_image_table": (k7_image_table, K7_IMAGE_SQL),
     "s10_zip_members": (s10_zip_members, S10_SQL),

@@ -37,6 +37,13 @@ select cast(l.l_suppkey%12 as int) as rank, concat('host', cast(l.l_suppkey%3 as
  from {lineitem} l group by cast(l.l_suppkey%12 as int), concat('host', cast(l.l_suppkey%3 as varchar(4))), l.l_linenumber
  union all select 0, '', cast(0 as bigint), cast(0 as bigint), cast(0 as double), cast(0 as double), cast(0 as double), cast(7 as double)
 """
+#: Rank rows of a sweep over three tile grids and four process counts.
+GRID_RANKS = """
+select case l_orderkey%3 when 0 then '1x1' when 1 then '2x2' else '4x3' end as tile_grid,
+ cast(case floor(l_orderkey/3)%4 when 0 then 1 when 1 then 2 when 2 then 4 else 12 end as int) as world_size,
+ cast(l_suppkey%(case floor(l_orderkey/3)%4 when 0 then 1 when 1 then 2 when 2 then 4 else 12 end) as int) as rank, cast(count(*) as bigint) as tasks_done,
+ cast(sum(cast(l_quantity as bigint)) as double) as compute_ms, cast(sum(cast(floor(l_tax*100+0.5) as bigint)) as double) as comm_ms from {lineitem} group by 1, 2, 3
+"""
 SWEEP_RUNS = """
 select case when o_custkey%2=0 then 'local_only' else 'cluster' end as label, cast(o_orderkey%5 as int) as p_idx,
  cast(case o_orderkey%5 when 0 then 1 when 1 then 2 when 2 then 4 when 3 then 8 else 12 end as int) as world_size,

@@ -1,7 +1,8 @@
 """A camera's protocol rows become frames, frames become events; state in typed variables.
 
 Rows of a camera come in any order within and across micro-batches. A frame is held in state until its
-END_FRAME row and as many tiles as that says are there and the frame before it is done; then its tiles
+END_FRAME row and as many tiles as that says are there and the frame before it is done (the first one is
+that of READY, or 0); then its tiles
 and anchors are merged, matched with the boxes of the frame before, and an event is sent. A frame that
 holds up the others for longer than ``hold_ms`` is done with what has come (``partial``), or skipped if
 nothing has; END_STREAM does the same at once for all frames that are left. Rows of a frame that is
@@ -121,7 +122,7 @@ class FrameProcessor(StatefulProcessor):
         before = None
         for seq in sorted(waiting):
             held = waiting[seq]
-            next_ = done is not None and seq == done + 1
+            next_ = seq == (-1 if done is None else done) + 1
             if not (ended or (next_ and held.whole()) or now - held.began >= self.hold_ms):
                 break
             before = [dict(zip(_FIELDS, b)) for b in self.before.get()] if before is None and self.before.exists() else before or []
@@ -162,6 +163,18 @@ def live_frames(cfg: DetectionConfig, found: DataFrame, hold_ms: int = 10_000) -
     return found.groupBy("camera").transformWithState(FrameProcessor(cfg, hold_ms), EVENT, "append", "ProcessingTime")
 
 
+def protocol_rows(frames: DataFrame, cameras: int = 1) -> DataFrame:
+    """The rows that a camera sends for frames with nested boxes (``live.FRAME``), boxes in place of images; frame f is the (f div ``cameras``)-th of its camera."""
+    head = ["camera", F.floor(F.col("frame_id") / cameras).alias("seq"), "frame_id", F.col("frame_width").alias("width"), F.col("frame_height").alias("height"), (F.unix_micros(F.current_timestamp()) / 1000).alias("captured_ms"), "capture_ms"]
+    ids = F.array_sort(F.array_distinct(F.transform("tiles", lambda b: b["tile_id"])))
+    row = lambda kind, tile, tiles, boxes: F.struct(F.lit(kind).alias("kind"), tile.cast("int").alias("tile_id"), tiles.cast("int").alias("tiles"), boxes.alias("boxes"))
+    null = F.lit(None)
+    of_tiles = F.transform(ids, lambda t: row("TILE", t, null, F.filter("tiles", lambda b: b["tile_id"] == t)))
+    rows = F.concat(F.array(row("FRAME", null, null, F.col("anchors"))), of_tiles, F.array(row("END_FRAME", null, F.size(ids), null.cast(f"array<{BOX}>"))))
+    out = frames.select(*head, F.explode(rows).alias("r")).select("camera", "seq", "frame_id", "width", "height", "captured_ms", "capture_ms", "r.*")
+    return out.select("camera", "kind", "seq", "frame_id", "width", "height", "captured_ms", "capture_ms", "tile_id", "tiles", "boxes")
+
+
 @contextmanager
 def typed_state(spark: SparkSession) -> Iterator[None]:
     """Settings under which streaming queries with ``live_frames`` start; the session's own come back afterwards.

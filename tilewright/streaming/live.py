@@ -1,19 +1,16 @@
 """Live mode: frames with nested tile boxes, per-frame merging, and state from the frame before.
 
-A stream of frames is keyed by its camera. Merging a frame needs no state (L2, L4). Temporal
-de-duplication keeps the last frame's boxes per camera as arbitrary state (L3); rows of a micro-batch are
-sorted by frame first. ``dedup_frames`` is the same fold over a whole table, in pieces that are folded at
+Merging a frame needs no state (L2, L4). Temporal de-duplication (A10) needs the last frame's boxes of the
+camera: as a stream in ``streaming.frames``, with typed state (L3). ``dedup_frames`` is the same fold over a whole table, in pieces that are folded at
 once and corrected where the frame before was another. The rules on plain boxes are in ``functions.boxes``.
-``streaming.frames`` is the live mode from a camera's rows on, with typed state.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +25,6 @@ from tilewright.shared import staged
 
 FRAME = f"camera string, frame_id int, frame_width int, frame_height int, capture_ms double, tiles array<{BOX}>, anchors array<{BOX}>"
 EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, latency_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
-STATE = "boxes string"
 #: Frame ids in a piece of a camera that ``dedup_frames`` folds at a time.
 PIECE = 256
 
@@ -63,37 +59,9 @@ def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
     return frames.mapInArrow(merge, frames.withColumn("boxes", F.lit(None).cast(kind)).withColumn("tasks", F.lit(0)).schema)
 
 
-def _events(cfg: DetectionConfig, camera: str, rows: pd.DataFrame, before: list[dict]) -> tuple[list[tuple], list[dict]]:
-    out = []
-    for r in rows.sort_values("frame_id", kind="stable").itertuples(index=False):
-        began = time.perf_counter()
-        before = dedup(cfg, [dict(b) for b in r.boxes], before, r.frame_width, r.frame_height)
-        plain = [{k: v for k, v in b.items() if k != "neg_conf"} for b in before]
-        out.append((camera, r.frame_id, len(before), r.tasks, r.capture_ms, (time.perf_counter() - began) * 1000, plain))
-    return out, before
-
-
-_COLUMNS = ["camera", "frame_id", "person_count", "tasks", "capture_ms", "latency_ms", "boxes"]
 _FRAME_COLUMNS = ("camera", "frame_id", "frame_width", "frame_height", "capture_ms", "tasks", "boxes")
 
 
-def live_events(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
-    """A streaming DataFrame of EVENT rows from a streaming DataFrame of FRAME rows.
-
-    latency_ms is the time that a frame took in the temporal pass; its capture time is apart.
-    """
-    import json
-
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches), ignore_index=True)
-        out, before = _events(cfg, key[0], rows, before)
-        state.update((json.dumps(before),))
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    return merged_frames(cfg, frames).select(*_FRAME_COLUMNS).groupBy("camera").applyInPandasWithState(step, EVENT, STATE, "append", "NoTimeout")
-
-
 def event_lines(events: DataFrame) -> DataFrame:
     """K6: the live event table as texts with four decimals."""
     return events.select("camera", "frame_id", "person_count", "tasks", *[F.format_string("%.4f", c).alias(c) for c in ("capture_ms", "latency_ms")])
