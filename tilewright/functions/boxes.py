@@ -28,17 +28,18 @@ def matches(cfg: DetectionConfig, now: dict, before: dict) -> bool:
     """F5 on plain boxes."""
     if now["cls"] != before["cls"]:
         return False
-    union, small = _overlaps(now, before)
-    if union >= 0.15 or small >= cfg.live_temporal_ios:
+    ax1, ay1, ax2, ay2, bx1, by1, bx2, by2 = now["x1"], now["y1"], now["x2"], now["y2"], before["x1"], before["y1"], before["x2"], before["y2"]
+    aw, ah, bw, bh = max(0.0, ax2 - ax1), max(0.0, ay2 - ay1), max(0.0, bx2 - bx1), max(0.0, by2 - by1)
+    ox, oy = max(0.0, min(ax2, bx2) - max(ax1, bx1)), max(0.0, min(ay2, by2) - max(ay1, by1))
+    both = ox * oy
+    union, small = aw * ah + bw * bh - both, min(aw * ah, bw * bh)
+    if union > 0 and both / union >= 0.15 or (both / small if small > 0 else 0.0) >= cfg.live_temporal_ios:
         return True
-    apart, shared = [], []
-    for lo, hi in (("x1", "x2"), ("y1", "y2")):
-        sides = [max(0.0, b[hi] - b[lo]) for b in (now, before)]
-        if max(sides) <= 0:
-            return False
-        apart.append(abs((now[lo] + now[hi]) / 2 - (before[lo] + before[hi]) / 2) / max(sides))
-        shared.append(_span(now[lo], now[hi], before[lo], before[hi]) / min(sides) if min(sides) > 0 else 0.0)
-    return max(apart) <= cfg.live_temporal_center and max(shared) > 0.10
+    w, h, far = max(aw, bw), max(ah, bh), cfg.live_temporal_center
+    if w <= 0 or h <= 0 or abs((ax1 + ax2) / 2 - (bx1 + bx2) / 2) / w > far or abs((ay1 + ay2) / 2 - (by1 + by2) / 2) / h > far:
+        return False
+    narrow, low = min(aw, bw), min(ah, bh)
+    return (narrow > 0 and ox / narrow > 0.10) or (low > 0 and oy / low > 0.10)
 
 
 def around(a: dict, b: dict) -> dict:
@@ -73,6 +74,8 @@ def same_object(cfg: DetectionConfig, a: dict, b: dict, width: int, height: int)
     """F4 on plain boxes."""
     if a["cls"] != b["cls"]:
         return False
+    if cfg.iou > 0 and not cfg.duplicate_near_camera and (min(a["x2"], b["x2"]) <= max(a["x1"], b["x1"]) or min(a["y2"], b["y2"]) <= max(a["y1"], b["y1"])):
+        return False  # no common area
     union, small = _overlaps(a, b)
     return union >= cfg.iou or (cfg.duplicate_ios > 0 and small >= cfg.duplicate_ios) or near_camera(cfg, a, b, width, height)
 

@@ -61,15 +61,18 @@ def frame_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("frame_id").agg(F.collect_list(box()).alias("boxes"))
 
 
-def suppress(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
+def suppress(cfg: DetectionConfig, boxes: DataFrame, *, own: bool = False) -> DataFrame:
     """A9 over all frames, in parallel by frame: one shuffle, then a fold over the frames of an Arrow batch side by side.
 
     The fold is sequential inside a frame; as nested higher-order functions (``suppressed``) it takes several times as long.
+    ``own`` applies the ownership filter (F2) in the fold: as a filter, Spark works out the boxes' coordinates again for each of its comparisons.
     """
+    step = folds.merged if own else folds.suppressed
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            kept = folds.suppressed(cfg, folds.from_arrow(batch.column(1), np.full(n, cfg.width), np.full(n, cfg.height)))
+            kept = step(cfg, folds.from_arrow(batch.column(1), np.full(n, cfg.width), np.full(n, cfg.height)))
             yield pa.RecordBatch.from_arrays([batch.column(0), folds.to_arrow(kept, batch.schema.field(1).type)], ["frame_id", "boxes"])
 
     frames = frame_boxes(boxes)

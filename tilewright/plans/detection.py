@@ -262,13 +262,13 @@ J5_SQL = f"select a.frame_id, a.det_id as a, b.det_id as b from ({DET}) a join (
 
 def a9_suppressed_boxes(spark, sf_dir):
     """Boxes after quantising, ownership and greedy suppression with merging."""
-    return duplicates.suppress(CFG, duplicates.owner_filter(CFG, duplicates.quantized(det(spark, sf_dir))))
+    return duplicates.suppress(CFG, duplicates.quantized(det(spark, sf_dir)), own=True)
 
 
 def a1_people_count(spark, sf_dir):
     """People per frame; the flagship query."""
     boxes = det(spark, sf_dir)
-    return duplicates.counts_on_spine(frames_of(boxes), duplicates.suppress(CFG, duplicates.owner_filter(CFG, duplicates.quantized(boxes))))
+    return duplicates.counts_on_spine(frames_of(boxes), duplicates.suppress(CFG, duplicates.quantized(boxes), own=True))
 
 
 A1_SQL = f"select f.frame_id, coalesce(n, 0) as person_count from (select distinct frame_id from ({DET})) f left join (select frame_id, count(*) as n from ({kept_sql(OWNED)}) group by frame_id) k on f.frame_id = k.frame_id"

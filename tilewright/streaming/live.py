@@ -20,7 +20,7 @@ from tilewright.config import DetectionConfig
 from tilewright.functions import folds
 from tilewright.functions.boxes import around, matches, suppressed_boxes
 from tilewright.functions.geometry import BOX
-from tilewright.operators.duplicates import counts_on_spine, owner_filter, suppress
+from tilewright.operators.duplicates import counts_on_spine, suppress
 from tilewright.shared import staged
 
 FRAME = f"camera string, frame_id int, frame_width int, frame_height int, capture_ms double, tiles array<{BOX}>, anchors array<{BOX}>"
@@ -109,10 +109,12 @@ def dedup_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
     kind = frames.schema["tiles"].dataType.simpleString()
     keys = ["camera", "piece"]
     merged = merged_frames(cfg, frames).select(*_FRAME_COLUMNS, F.floor(F.col("frame_id") / PIECE).alias("piece"))
+    # as many tasks as a shuffle has: a row is small for the time that it takes
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     empty = {"out": F.lit(None).cast(kind), "latency_ms": F.lit(None).cast("double")}
 
     def folded(rows: DataFrame, name: str) -> DataFrame:
-        return staged(rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("frame_id")).mapInArrow(_fold(cfg), rows.schema), name)
+        return staged(rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.asc_nulls_first("frame_id")).mapInArrow(_fold(cfg), rows.schema), name)
 
     base = folded(merged.withColumns(empty), "pieces")
     order = Window.partitionBy("camera").orderBy("piece")
@@ -151,7 +153,7 @@ def _patched(rows: DataFrame, patches: DataFrame) -> DataFrame:
 def final_counts(cfg: DetectionConfig, spine: DataFrame, events: DataFrame) -> DataFrame:
     """Counts per frame after one more ownership filter and suppression of all events' boxes, by the configured size."""
     boxes = events.select("frame_id", F.explode("boxes").alias("b")).select("frame_id", "b.*")
-    return counts_on_spine(spine, suppress(cfg, owner_filter(cfg, boxes)))
+    return counts_on_spine(spine, suppress(cfg, boxes, own=True))
 
 
 def nested_frames(boxes: DataFrame, cameras: int, width: int, height: int) -> DataFrame:
