@@ -86,3 +86,25 @@ def test_pairs_of_any_size_meet_in_cells(spark, near):
     want = sorted((f, i, j) for f, i, a in plain for g, j, b in plain if f == g and i < j and boxes.same_object(cfg, b, a, 1280, 720))
     assert got == want and len(want) > 50
     assert duplicates.duplicate_pairs(cfg, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cfg", CONFIGS)
+def test_a_frame_folded_by_components_equals_the_whole_fold(spark, cfg):
+    from tilewright.operators import crowds
+
+    rng = random.Random(6)
+    # chains of boxes that grow into each other, and far ones
+    rows = [(k % 2, 0, *box(rng, span=1500, side=rng.choice([30, 120, 500]))[1:]) for k in range(300)]
+    rows += [(2, 0, k % 12, 40.0 * k, 0.0, 40.0 * k + 100, 100.0, [0.9, 0.5, 0.7][k % 3], 0, 0) for k in range(25)] + rows[:5]
+    table = spark.createDataFrame(rows, "frame_id int, det_id int, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, rank int, cls int")
+    got, want = (sorted(tuple(r) for r in f(cfg, table).collect()) for f in (crowds.suppress_crowds, duplicates.suppress))
+    assert got == want and len(want) < len(rows)
+    assert crowds.suppress_crowds(cfg, table.limit(0)).count() == 0
+
+
+def test_components_of_chains(spark):
+    from tilewright.operators import crowds
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (105, 101), (200, 200)]
+    out = {r.node: r.label for r in crowds.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 105: 100, 200: 200}

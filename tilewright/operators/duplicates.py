@@ -112,29 +112,44 @@ def duplicate_pairs(cfg: DetectionConfig, boxes: DataFrame) -> DataFrame:
     goes to the few cells of its reach in its own level and all coarser ones, where the larger box of a pair is.
     Reach is the box itself; with near-camera rules it is wider by the share of its sides that those rules allow.
     """
-    reach = max(cfg.duplicate_gap, cfg.duplicate_center) if cfg.duplicate_near_camera else 0.0
     if cfg.iou <= 0:
         raise ValueError("an iou of 0 makes duplicates of all boxes of a class")
-    flat = ["x1", "y1", "x2", "y2", "conf", "tile_id", "rank", "cls"]
+    rows = boxes.select("frame_id", "det_id", *FLAT)
+    cells = cells_of(cfg, rows, rows.agg(F.coalesce(F.max(_side()), F.lit(1.0)).alias("size")))
+    left = cells.select(*[F.col(c).alias(f"l_{c}") for c in cells.columns])
+    one, two = (F.struct(*[F.col(p + c).alias(c) for c in FLAT]) for p in ("", "l_"))
+    return left.join(cells, met_in_cells() & (F.col("l_det_id") < F.col("det_id")) & duplicate(cfg, one, two)).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
+
+
+FLAT = ["x1", "y1", "x2", "y2", "conf", "tile_id", "rank", "cls"]
+
+
+def _side() -> Column:
+    """The longer side of a box, at least 1."""
+    return F.greatest(F.lit(1.0), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+
+
+def cells_of(cfg: DetectionConfig, boxes: DataFrame, size: DataFrame) -> DataFrame:
+    """``boxes`` with level, at, cx and cy, a row for each cell of their reach in their own level and all coarser ones up to that of ``size`` (one row: the largest side)."""
+    reach = max(cfg.duplicate_gap, cfg.duplicate_center) if cfg.duplicate_near_camera else 0.0
+    level = lambda side: F.greatest(F.lit(0), F.ceil(F.log2(side)) - 5).cast("int")
     wide, high = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")), F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), wide, high))) - 5).cast("int")
-    rows = boxes.select("frame_id", "det_id", *flat, level.alias("level"), (wide * reach).alias("mx"), (high * reach).alias("my"))
-    # a coarser level costs a box a cell or four; levels end with the largest box
-    top = rows.agg(F.coalesce(F.max("level"), F.lit(0)).alias("top"))  # one row
-    rows = rows.crossJoin(F.broadcast(top)).select("*", F.explode(F.sequence("level", "top")).alias("at"))
+    rows = boxes.select("*", level(_side()).alias("level"), (wide * reach).alias("mx"), (high * reach).alias("my"))
+    # a coarser level costs a box a cell or four
+    rows = rows.crossJoin(F.broadcast(size.select(level(F.col("size")).alias("top")))).select("*", F.explode(F.sequence("level", F.greatest("level", "top"))).alias("at"))
     edge = F.pow(F.lit(2.0), F.col("at") + 5)
     lo = lambda k, m: F.floor((F.col(f"{k}1") - F.col(m)) / edge)
     hi = lambda k, m: F.floor((F.greatest(f"{k}1", f"{k}2") + F.col(m)) / edge)
-    spans = rows.select("frame_id", "det_id", *flat, "level", "at", lo("x", "mx").alias("x0"), lo("y", "my").alias("y0"), hi("y", "my").alias("yb"), F.explode(F.sequence(lo("x", "mx"), hi("x", "mx"))).alias("cx"))
-    cells = spans.select("frame_id", "det_id", *flat, "level", "at", "x0", "y0", "cx", F.explode(F.sequence("y0", "yb")).alias("cy"))
-    left = cells.select(*[F.col(c).alias(f"l_{c}") for c in cells.columns])
-    same = F.lit(True)
+    spans = rows.select(*boxes.columns, "level", "at", lo("x", "mx").alias("x0"), lo("y", "my").alias("y0"), hi("y", "my").alias("yb"), F.explode(F.sequence(lo("x", "mx"), hi("x", "mx"))).alias("cx"))
+    return spans.select(*boxes.columns, "level", "at", "x0", "y0", "cx", F.explode(F.sequence("y0", "yb")).alias("cy"))
+
+
+def met_in_cells() -> Column:
+    """Whether rows of ``cells_of``, one side's columns with l_ in front, meet: same frame and class, in the level of the larger box, in the first cell that both have there."""
+    same = (F.col("at") == F.greatest("l_level", "level")) & (F.col("cx") == F.greatest("l_x0", "x0")) & (F.col("cy") == F.greatest("l_y0", "y0"))
     for key in ("frame_id", "cls", "at", "cx", "cy"):
-        same = same & (F.col(f"l_{key}") == F.col(key))
-    # a pair meets in the level of its larger box, in the first cell that both have there
-    first = (F.col("l_det_id") < F.col("det_id")) & (F.col("at") == F.greatest("l_level", "level")) & (F.col("cx") == F.greatest("l_x0", "x0")) & (F.col("cy") == F.greatest("l_y0", "y0"))
-    one, two = (F.struct(*[F.col(p + c).alias(c) for c in flat]) for p in ("", "l_"))
-    return left.join(cells, same & first & duplicate(cfg, one, two)).select("frame_id", F.col("l_det_id").alias("a"), F.col("det_id").alias("b"))
+        same = (F.col(f"l_{key}") == F.col(key)) & same
+    return same
 
 
 def ranked(boxes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tilewright.config import DetectionConfig
 from tilewright.functions import geometry as g
 from tilewright.functions.text import PLACEHOLDERS, fill_template
-from tilewright.operators import detect, duplicates
+from tilewright.operators import crowds, detect, duplicates
 from tilewright.shared import staged_path
 from tilewright.sinks import viewer
 from tilewright.sources import adapters, camera, camera_source, files, recordings, tasks
@@ -265,6 +265,18 @@ def a9_suppressed_boxes(spark, sf_dir):
     return duplicates.suppress(CFG, duplicates.quantized(det(spark, sf_dir)), own=True)
 
 
+#: Forty frames as one picture of 8 x 5 of them.
+MOSAIC = "select cast(frame_id // 40 as int) as frame_id, tile_id, rank, x1 + frame_id % 8 * 1280 as x1, y1 + frame_id % 40 // 8 * 720 as y1, x2 + frame_id % 8 * 1280 as x2, y2 + frame_id % 40 // 8 * 720 as y2, conf, cls from ({det})"
+
+
+def a9_crowded_frames(spark, sf_dir):
+    """A9 on frames of a thousand boxes: mosaics of forty frames each, folded by components."""
+    at = F.col("frame_id")
+    dx, dy = at % 8 * 1280, F.floor(at % 40 / 8) * 720
+    boxes = det(spark, sf_dir).select(F.floor(at / 40).cast("int").alias("frame_id"), "tile_id", "rank", *[(F.col(c) + d).alias(c) for c, d in (("x1", dx), ("y1", dy), ("x2", dx), ("y2", dy))], "conf", "cls")
+    return crowds.suppress_crowds(CFG, boxes)
+
+
 def a1_people_count(spark, sf_dir):
     """People per frame; the flagship query."""
     boxes = det(spark, sf_dir)
@@ -476,6 +488,7 @@ QUERIES = {
     "f2_owner_filter": (f2_owner_filter, f"select det_id, frame_id, tile_id from ({OWNED})"),
     "j5_duplicate_pairs": (j5_duplicate_pairs, J5_SQL),
     "a9_suppressed_boxes": (a9_suppressed_boxes, f"select frame_id, {FLAT} from ({kept_sql(OWNED)})"),
+    "a9_crowded_frames": (a9_crowded_frames, f"select frame_id, {FLAT} from ({kept_sql(MOSAIC.format(det=DET))})"),
     "w7_order_in_frame": (w7_order_in_frame, f"select det_id, frame_id, row_number() over (partition by frame_id order by conf desc, tile_id, x1, y1, x2, y2) as place from ({DET})"),
     "k2_bbox_table": (k2_bbox_table, K2_SQL),
     "j6_uncovered_boxes": (j6_uncovered_boxes, J6_SQL),
