@@ -37,6 +37,8 @@ ALL_BYTES = 64_000_000
 PIECE = 8_192
 NARROW = 0.02
 LEAST = 3
+#: Languages whose counts are broadcast; those of more are joined as Spark chooses.
+BROADCAST = 10_000
 #: Words of each language in a carrier, and carriers: the same words from another language on.
 CARRIER, CARRIERS = 40, 4
 UNKNOWN = "und"
@@ -142,9 +144,10 @@ def learn_dictionaries(labelled: DataFrame, *, sample: int = SAMPLE) -> dict[str
     """
     rows = labelled.where("lang is not null and text rlike '\\\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
     # of n distinct texts about twice the sample passes the bound on hashes, so only these are sorted
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "of")
+    sizes = staged(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "of"), "language-sizes")
+    known = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
     bound = F.expr(f"least(1.0d, {2.0 * sample + 50} / n) * 9223372036854775807d * 2 - 9223372036854775807d")
-    few = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("h") <= bound).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SLICE)).alias("text"))
+    few = rows.join(known, F.col("lang") == F.col("of")).where(F.col("h") <= bound).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SLICE)).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = staged(few.withColumn("place", place).where(F.col("place") <= sample).drop("place"), "language-sample")
     names = sorted(r.lang for r in chosen.select("lang").distinct().collect())
