@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
@@ -148,43 +149,78 @@ def test_components_of_chains_and_stars(spark):
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_slots(weights, blocks):
+    """(source, block) -> slot, block after block with a heap of waiting and one of released blocks."""
+    total, slot, out, ready = sum(weights), 0, {}, []
+    waiting = [(0, s, 0) for s, n in enumerate(blocks) if n]
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(b + 1) * total // weights[s]), s, b))
+        _, s, b = heapq.heappop(ready)
+        out[s, b] = slot
+        slot += 1
+        if b + 1 < blocks[s]:
+            heapq.heappush(waiting, ((b + 1) * total // weights[s], s, b + 1))
+    return out
+
+
 def test_mixing_keeps_within_one_block(spark):
     rows = spark.createDataFrame([(k, "s" if k % 3 == 0 else None if k % 3 == 1 else f"r{k % 5}", 1) for k in range(3000)], "doc_id long, source string, mix_rank int").unionByName(
         spark.createDataFrame([(0, "s", 1)], "doc_id long, source string, mix_rank int"))
-    out = mixing.mix_sources(rows, cycle=100, block=1).collect()
+    out = mixing.mix_sources(rows, block=1).collect()
     assert len(out) == 3001
     shares = {r.row.source: r.mix_share for r in out}
     slots = {r.mix_slot: r.row.source for r in out}
-    assert sum(shares.values()) == 100 and len(slots) == 3001
+    total = sum(shares.values())
+    assert len(slots) == 3001
     ran = Counter()
     last = min(max(r.mix_slot for r in out if r.row.source == s) for s in shares)
     for t in range(last):
         ran[slots[t]] += 1
-        assert all(abs(ran[s] - shares[s] * (t + 1) / 100) < 1 for s in shares)
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out if r.mix_slot < last)
+        assert all(abs(ran[s] - shares[s] * (t + 1) / total) < 1 for s in shares)
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
     assert mixing.mix_sources(rows.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(rows, cycle=3)
 
 
 def test_mixing_by_given_weights(spark):
     rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(400)], "doc_id long, source string")
-    out = mixing.mix_sources(rows, spark.createDataFrame([("a", 3), ("b", 1)], "source string, weight long"), cycle=100).collect()
-    assert {r.row.source: r.mix_share for r in out} == {"a": 75, "b": 25} or {r.row.source: r.mix_share for r in out} == {"a": 74, "b": 26}
+    out = mixing.mix_sources(rows, spark.createDataFrame([("a", 300), ("b", 100), ("c", 5)], "source string, weight long")).collect()
+    assert {r.row.source: r.mix_share for r in out} == {"a": 3, "b": 1}
+    out = mixing.mix_sources(rows, spark.createDataFrame([("a", None), ("c", 5)], "source string, weight long")).collect()
+    assert {r.row.source: r.mix_share for r in out} == {"a": 1, "b": 1}
+
+
+@pytest.mark.parametrize("weights, steps", [
+    ([70] + [1] * 30, 64), ([100_000] + [1] * 19, 64), ([1, 1, 1], 16), ([31623, 31622, 14142, 7], 32), ([97003, 12011, 4000, 311, 310, 11, 3, 1], 8), ([5], 8)])
+def test_segments_make_the_schedule_of_a_single_pass(spark, monkeypatch, weights, steps):
+    monkeypatch.setattr(mixing, "STEPS", steps)
+    monkeypatch.setattr(mixing, "SOURCE_STEPS", 1)
+    total = sum(weights)
+    for blocks in ([-(-1500 * w // total) + 1 for w in weights], [40 + 13 * s for s in range(len(weights))]):
+        sources = spark.createDataFrame([([(str(s), w, n) for s, (w, n) in enumerate(zip(weights, blocks))], total)], "sources array<struct<name: string, share: long, blocks: long>>, total long")
+        rows = mixing.exact_schedule(sources).collect()
+        assert {(r.s, r.block): r.slot for r in rows} == plain_slots(weights, blocks) and len(rows) == sum(blocks)
+        assert all(r.block * total // weights[r.s] <= r.slot < -(-(r.block + 1) * total // weights[r.s]) for r in rows)
+
+
+def test_wrong_guesses_are_worked_out_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 8)
+    monkeypatch.setattr(mixing, "SOURCE_STEPS", 1)
+    weights, blocks = [50, 30, 20], [60, 40, 20]
+    right = mixing._segments
 
+    def swapped(sources):  # one block too many for the last source, one too few for the first
+        return right(sources).withColumn("ran", F.when((F.col("start") > 0) & (F.col("ran")[0] > 0) & (F.col("ran")[2] < 20), F.expr("transform(ran, (n, s) -> n - int(s = 0) + int(s = 2))")).otherwise(F.col("ran")))
 
-@pytest.mark.parametrize("weights", [[70] + [1] * 30, [100_000] + [1] * 19, [1, 1, 1], [1] * 1500, [31623, 31622, 14142, 7]])
-def test_exact_mixing_stays_within_one_block_of_the_weights(weights):
-    total, ran = sum(weights), [0] * len(weights)
-    for s, b, slot in mixing.exact_slots(weights, [-(-4000 * w // total) + 1 for w in weights]):
-        assert b == ran[s] and b * total // weights[s] <= slot < -(-(b + 1) * total // weights[s])
-        ran[s] += 1
-        if slot < 4000:
-            assert sum(ran) == slot + 1 and all(abs(n * total - w * (slot + 1)) < total for n, w in zip(ran, weights))
+    monkeypatch.setattr(mixing, "_segments", swapped)
+    sources = spark.createDataFrame([([(str(s), w, n) for s, (w, n) in enumerate(zip(weights, blocks))], 100)], "sources array<struct<name: string, share: long, blocks: long>>, total long")
+    assert {(r.s, r.block): r.slot for r in mixing.exact_schedule(sources).collect()} == plain_slots(weights, blocks)
 
 
-def test_mixing_takes_the_exact_weights_of_any_number_of_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "CHUNK", 500)
+def test_mixing_takes_the_exact_weights_of_any_number_of_sources(spark):
     rows = spark.range(6000).selectExpr("id as doc_id", "if(id < 3000, 'a', if(id < 4500, null, concat('s', id % 1100))) as source")
     given = [("a", 7)] + [(f"s{k}", 1 + k % 2) for k in range(1100)]
     out = mixing.mix_sources(rows, spark.createDataFrame(given, "source string, weight long"), block=1).collect()
