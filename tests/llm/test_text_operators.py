@@ -87,6 +87,29 @@ def test_leaks_equal_brute_force(spark, block):
     assert got == want and sum(map(bool, want.values())) > 10
 
 
+@pytest.mark.parametrize("longs", [1 << 20, 1])
+def test_index_of_items_with_hot_hashes_and_a_full_sieve(spark, monkeypatch, longs):
+    monkeypatch.setattr(decontaminate, "HOT", 5)
+    monkeypatch.setattr(decontaminate, "HOT_HASHES", 10**9)
+    monkeypatch.setattr(decontaminate, "SIEVE_LONGS", longs)
+    rng = random.Random(5)
+    common = "all rights reserved by the owner of this page".split()
+    make = lambda n: [f"v{rng.randrange(300)}" for _ in range(n)]
+    items = [(k, " ".join(common if k == 0 else make(4) + common[:6] if k % 3 else make(9 + k))) for k in range(30)]
+    texts = [" ".join(make(40) + common + (items[k % 30][1].split() if k % 4 == 0 else []) + make(10)) for k in range(120)]
+    found = decontaminate.find_leaks(docs(spark, texts + texts[:3]), spark.createDataFrame(items, "item_id long, text string"), block=0)
+    got = {r.doc_id: [tuple(x) for x in r.leaks] for r in found.collect()}
+    assert got == {k: leaks_plain(t, items) for k, t in enumerate(texts + texts[:3])}
+
+
+def test_sieve_holds_every_hash_and_few_others(spark):
+    index = spark.range(20_000).selectExpr("xxhash64(id) as h")
+    others = spark.range(20_000, 120_000).selectExpr("xxhash64(id) as h")
+    assert decontaminate._sifted(index, index).count() == 20_000
+    assert decontaminate._sifted(others, index).count() < 3_000
+    assert decontaminate._sifted(others, index.limit(0)).count() == 0
+
+
 def test_decontaminate_keeps_columns_and_repeats(spark):
     item = "one two three four five six seven"
     rows = spark.createDataFrame([(1, item, "x", 2), (2, "clean", "y", 3), (2, "clean", "y", 3), (None, None, None, None)], "doc_id long, text string, _words string, _hits int")

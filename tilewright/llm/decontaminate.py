@@ -13,8 +13,10 @@ of a document instead; that is the containment form of the search, and it is los
 
 A benchmark of at most ``block`` items and ``item_words`` words goes to the documents as one bounded row:
 a document is then one row from the scan to the result, and nothing is shuffled. A larger one, of any
-size, is an index of (sketch hash, item) that the documents' hashes are joined with; candidates (text,
-item) are verified by a join on (text, shingle). Both give the same leaks in one pass of the search.
+size, is an index of (sketch hash, item) that the documents' hashes are joined with. Hashes that no item
+has are left out before that by a bit set of all sketch hashes (``sieve``, at most ``SIEVE_LONGS`` longs),
+so next to nothing but hits is shuffled; a hash that very many texts have is dealt into parts. Candidates
+(text, item) are verified by a join on (text, shingle). Both give the same leaks.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ THRESHOLD_PERCENT = 80
 #: Items and words of a benchmark that is sent to the documents as one row.
 BLOCK = 500
 ITEM_WORDS = 200_000
+#: Bits of the sieve for each sketch hash, and its most longs (a power of two): a fuller one lets more through, no fewer.
+SIEVE_BITS = 16
+SIEVE_LONGS = 1 << 20
+#: Texts with one hash that are a part; at most HOT_HASHES hashes are dealt into parts, the commonest.
+HOT = 100_000
+HOT_HASHES = 2000
 
 
 def _gather(words: str, k: int) -> str:
@@ -89,6 +97,41 @@ def _by_one_row(docs: DataFrame, items: DataFrame, text: str, percent: int, kind
     return bound(rows, "_leaks", F.when(F.size("_hits") > 0, once).otherwise(F.array().cast(kind))).drop("_words", "_hashes", "_hits", "_items")
 
 
+def sieve(index: DataFrame) -> tuple[DataFrame, int]:
+    """(one row with the longs of a bit set in array ``bits``, number of bits) in which every ``h`` of ``index`` sets two bits."""
+    distinct = index.select("h").distinct()
+    n, longs = distinct.count(), 1
+    while longs < SIEVE_LONGS and longs * 64 < n * SIEVE_BITS:
+        longs *= 2
+    mask = longs * 64 - 1
+    set_bits = distinct.selectExpr(f"explode(array(h & {mask}L, shiftrightunsigned(h, 32) & {mask}L)) as b").groupBy(F.expr("b div 64").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("value"))
+    row = index.sparkSession.range(longs).join(set_bits, F.col("id") == F.col("at"), "left").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("value", F.lit(0)).alias("value")))), lambda x: x.value).alias("bits"))
+    return staged(row, "sieve"), longs * 64
+
+
+def _sifted(hashes: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``hashes`` whose ``h`` has both its bits in the sieve of ``index``."""
+    row, n_bits = sieve(index)
+    bits = row.scalar()
+    probes = [F.col("h").bitwiseAND(F.lit(n_bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(n_bits - 1))]
+    tests = [F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in probes]
+    return hashes.where(tests[0] & tests[1])
+
+
+def _dealt(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """``hits`` joined with ``index`` on ``h``; a hash of more than ``HOT`` hits meets its items in several parts.
+
+    At most ``HOT_HASHES`` hashes can have that many, since the limit grows with the hits.
+    """
+    limit = max(HOT, hits.count() // HOT_HASHES)
+    hot = staged(hits.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("h", F.expr(f"n div {limit} + 1").alias("parts")), "hot-hashes")
+    salted = hits.join(F.broadcast(hot), "h", "left").withColumn("part", F.expr("pmod(xxhash64(_digest), coalesce(parts, 1L))")).drop("parts")
+    copied = index.join(F.broadcast(hot), "h", "left").withColumn("part", F.expr("explode(sequence(0L, coalesce(parts, 1L) - 1))")).drop("parts")
+    return salted.join(copied, ["h", "part"])
+
+
 def _by_index(docs: DataFrame, items: DataFrame, text: str, percent: int, kind: str) -> DataFrame:
     """``docs`` with ``_leaks``, for a benchmark of any size: leaks are worked out once for each different text."""
     items = staged(items.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
@@ -97,7 +140,8 @@ def _by_index(docs: DataFrame, items: DataFrame, text: str, percent: int, kind:
     hashed = bound(rows.select("_digest", text), "_words", words_of(F.lower(F.col(text))))
     hashed = bound(hashed, "_hashes", F.array_distinct(_hashes("_words", lengths)))
     index = items.select("item", "need", "least", F.explode("sketch").alias("h"))
-    hits = hashed.select("_digest", F.size("_hashes").alias("size"), F.explode("_hashes").alias("h")).join(index, "h").where("least <= size").select("_digest", "item", "need", "h").distinct()
+    hits = staged(_sifted(hashed.select("_digest", F.size("_hashes").alias("size"), F.explode("_hashes").alias("h")), index), "hits")
+    hits = _dealt(hits, index).where("least <= size").select("_digest", "item", "need", "h").distinct()
     found = staged(hits.groupBy("_digest", "item").agg(F.count("*").alias("n_hits"), F.first("need").alias("need")).where("n_hits >= need").select("_digest", "item"), "candidates")
     # every shingle of a candidate's item against those of the text; both sides are dealt by text and shingle
     asked = found.join(items.select("item", F.explode("shingles").alias("s")), "item")
