@@ -16,7 +16,7 @@ a document is then one row from the scan to the result, and nothing is shuffled.
 size, is an index of (sketch hash, item) that the documents' hashes are joined with. Hashes that no item
 has are left out before that by a bit set of all sketch hashes (``sieve``, at most ``SIEVE_LONGS`` longs),
 so next to nothing but hits is shuffled; a hash that very many texts have is dealt into parts. Candidates
-(text, item) are verified by a join on (text, shingle). Both give the same leaks.
+(text, item) are verified by a join on (text, shingle), sifted in the same way. Both give the same leaks.
 """
 
 from __future__ import annotations
@@ -136,18 +136,20 @@ def _by_index(docs: DataFrame, items: DataFrame, text: str, percent: int, kind:
     """``docs`` with ``_leaks``, for a benchmark of any size: leaks are worked out once for each different text."""
     items = staged(items.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
     lengths = _lengths(items)
-    rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     hashed = bound(rows.select("_digest", text), "_words", words_of(F.lower(F.col(text))))
     hashed = bound(hashed, "_hashes", F.array_distinct(_hashes("_words", lengths)))
     index = items.select("item", "need", "least", F.explode("sketch").alias("h"))
     hits = staged(_sifted(hashed.select("_digest", F.size("_hashes").alias("size"), F.explode("_hashes").alias("h")), index), "hits")
     hits = _dealt(hits, index).where("least <= size").select("_digest", "item", "need", "h").distinct()
     found = staged(hits.groupBy("_digest", "item").agg(F.count("*").alias("n_hits"), F.first("need").alias("need")).where("n_hits >= need").select("_digest", "item"), "candidates")
-    # every shingle of a candidate's item against those of the text; both sides are dealt by text and shingle
-    asked = found.join(items.select("item", F.explode("shingles").alias("s")), "item")
+    # every shingle of a candidate's item against those of the text that may be asked for; both sides are dealt by text and shingle
+    asked = staged(found.join(items.select("item", F.explode("shingles").alias("s")), "item"), "asked")
     texts = bound(rows.join(found.select("_digest").distinct(), "_digest").select("_digest", text), "_words", words_of(F.lower(F.col(text))))
     there = reduce(DataFrame.unionByName, [texts.where(F.size("_words") >= k).select("_digest", F.explode(F.expr(
-        f"transform(sequence(0, size(_words) - {k}), i -> concat(' ', array_join(slice(_words, i + 1, {k}), ' '), ' '))")).alias("s")) for k in lengths]).distinct()
+        f"transform(sequence(0, size(_words) - {k}), i -> concat(' ', array_join(slice(_words, i + 1, {k}), ' '), ' '))")).alias("s")) for k in lengths])
+    pair = F.xxhash64("_digest", "s").alias("h")
+    there = _sifted(there.select("*", pair), asked.select(pair)).drop("h").distinct()
     counts = asked.join(there, ["_digest", "s"]).groupBy("_digest", "item").agg(F.count("*").cast("int").alias("n_shared"))
     leaks = counts.join(items.select("item", "item_id", F.col("n").alias("n_item")), "item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     leaks = staged(leaks.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("item_id", "n_item", "n_shared"))).alias("_found")), "leaks")
