@@ -116,3 +116,16 @@ def test_area_resize_equals_means_over_a_fine_grid(spark, size, target):
     assert len(out) == 4 * th * tw
     with pytest.raises(ValueError):
         area_resize(spark.createDataFrame(rows, "img int, c int, y int, x int, v double"), size, (0, 1))
+
+
+def test_pixels_are_rounded_in_the_type_of_the_values(spark, tmp_path):
+    import duckdb
+
+    from tilewright.plans.convolution import S3_SQL, s3_video_tiles
+
+    rows = [(k, [float(v) for v in np.float32([0.105, -0.105, 0.115, 0.3 + k / 100] * 16)]) for k in range(3)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        expected = db.execute(S3_SQL).fetchall()
+    assert sorted(map(tuple, s3_video_tiles(spark, str(tmp_path)).collect())) == sorted(expected)

@@ -156,7 +156,8 @@ def _video(spark, sf_dir) -> str:
     """The maps of ``embeddings`` in order of their ids as the frames of a mono video of 25 frames a second, in the shared folder."""
     from tilewright.shared import numbered
 
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.expr("transform(embedding, v -> pmod(cast(round(v * 100) as int), 256))").alias("p"))
+    # in the type of the values, as the SQL has it: Spark takes a float times a whole number as doubles
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.expr("transform(embedding, v -> pmod(cast(round(v * cast(100 as float)) as int), 256))").alias("p"))
     luma = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     path = staged_path(spark, "video")
     video.write_video(numbered(rows, ["vec_id"]).select("place", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), luma.alias("luma")), path, 25)
