@@ -151,3 +151,16 @@ def test_worker_detector_loads_once_and_filters(spark):
 def test_bad_settings(bad):
     with pytest.raises(ValueError):
         DetectionConfig(**bad)
+
+
+def test_commands_share_a_shell_but_nothing_else():
+    lines = ["echo a; x=1; exit 0", "echo ${x-none}", "cat; echo \"it's\"", "echo b; false", "if", "printf 'c\\n1'", "echo d; kill -9 $$", "(sleep 0.2; echo late) & echo e", "echo f >&2"] * 3
+    got = list(detect._printed(lines))
+    assert [t and t.strip() for t in got] == ["a", "none", "it's", None, None, "c\n1", None, "e\nlate", ""] * 3
+
+
+def test_programs_and_models_run_in_many_tasks(spark):
+    cfg = DetectionConfig(tile_grid="4x3", detector="command", detector_command="echo 1,2,3,4,0.5")
+    frames = spark.range(200).select(F.floor(F.col("id") / 2).alias("frame_id")).distinct()
+    out = detect.detect(cfg, tasks.frame_tasks(cfg, frames)).withColumn("part", F.spark_partition_id())
+    assert out.count() == 1200 and out.select("part").distinct().count() == 4

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shlex
 import subprocess
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tilewright.config import DetectionConfig
 
+#: Command lines that one shell runs.
+LINES = 512
 BOXES = "task_id bigint, frame_id int, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
 
 
@@ -25,6 +30,11 @@ def mock(cfg: DetectionConfig, work: DataFrame) -> DataFrame:
                        (cx + bw / 2).alias("x2"), (cy + bh / 2).alias("y2"), (0.92 - 0.03 * F.col("i")).cast("double").alias("conf"), F.lit(0).alias("cls"))
 
 
+def _dealt(work: DataFrame) -> DataFrame:
+    """As many tasks as a shuffle has: a row is small for the time that it takes, so adaptive execution would put all of them into one."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task_id")
+
+
 def _local_boxes(text: str) -> list[tuple[float, ...]]:
     """Five numbers a line; comments and malformed lines are skipped."""
     out = []
@@ -39,20 +49,42 @@ def _local_boxes(text: str) -> list[tuple[float, ...]]:
     return out
 
 
+def _printed(lines: list[str]) -> Iterator[str | None]:
+    """What each command line prints; None for one that fails.
+
+    Every line is run by a fork of one shell, which costs far less than a new one; a line that ends that shell itself is run again, alone, and another shell goes on behind it.
+    """
+    mark, at = uuid.uuid4().hex, 0
+    while at < len(lines):
+        some = lines[at:at + LINES]
+        script = "".join(f"o=$(eval {shlex.quote(line)} 2>/dev/null </dev/null); r=$?\nprintf '%s\\n{mark} %s\\n' \"$o\" $r\n" for line in some)
+        done = subprocess.run(["/bin/sh"], input=script, capture_output=True, text=True)
+        found = re.split(rf"\n{mark} (\d+)\n", done.stdout)
+        yield from (text if code == "0" else None for text, code in zip(found[:-1:2], found[1::2]))
+        at += len(found) // 2
+        if len(found) // 2 < len(some):
+            alone = subprocess.run(lines[at], shell=True, capture_output=True, text=True)  # noqa: S602  the command is the user's own setting
+            yield alone.stdout if alone.returncode == 0 else None
+            at += 1
+
+
 def command(cfg: DetectionConfig, work: DataFrame) -> DataFrame:
     """An outside program per task; its template takes {frame_id}, {tile_id}, {x1}, {y1}, {x2}, {y2}. A failing program gives no boxes."""
+    names = ("frame_id", "tile_id", "x1", "y1", "x2", "y2")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for t in batch.itertuples(index=False):
+            work, lines, rows = list(batch.itertuples(index=False)), [], []
+            for t in work:
                 line = cfg.detector_command
-                for name in ("frame_id", "tile_id", "x1", "y1", "x2", "y2"):
+                for name in names:
                     line = line.replace("{" + name + "}", str(getattr(t, name)))
-                done = subprocess.run(line, shell=True, capture_output=True, text=True)  # noqa: S602  the command is the user's own setting
-                rows += [(t.task_id, t.frame_id, t.tile_id, t.x1 + a, t.y1 + b, t.x1 + c, t.y1 + d, s, 0) for a, b, c, d, s in (_local_boxes(done.stdout) if done.returncode == 0 else [])]
+                lines.append(line)
+            for t, text in zip(work, _printed(lines)):
+                rows += [(t.task_id, t.frame_id, t.tile_id, t.x1 + a, t.y1 + b, t.x1 + c, t.y1 + d, s, 0) for a, b, c, d, s in _local_boxes(text or "")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in BOXES.split(", ")])
 
-    return work.mapInPandas(run, BOXES)
+    return _dealt(work).mapInPandas(run, BOXES)
 
 
 def worker(cfg: DetectionConfig, work: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
@@ -67,7 +99,7 @@ def worker(cfg: DetectionConfig, work: DataFrame, load: Callable[[], Callable[[p
                 found = found.assign(**{lo: found[lo] + shift, hi: found[hi] + shift})
             yield found[(found["cls"] == 0) & (found["conf"] >= cfg.conf)]
 
-    return work.mapInPandas(run, BOXES)
+    return _dealt(work).mapInPandas(run, BOXES)
 
 
 def detect(cfg: DetectionConfig, work: DataFrame, load: Callable | None = None) -> DataFrame:
