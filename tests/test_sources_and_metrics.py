@@ -170,3 +170,10 @@ def test_first_frames_must_suffice(spark):
     assert [(r.part, r.seq) for r in tables.first_frames([part, part], 3).orderBy("part", "seq").collect()] == [(0, 0), (0, 1), (1, 0)]
     with pytest.raises(PySparkException):
         tables.first_frames([part], 3).collect()
+
+
+def test_grids_of_large_counts_try_few_rows(spark):
+    counts = [1, 2, 3, 4, 12, 97, 99, 100, 10_000_019, 10_000 * 10_000, 99_990_001, 2 * 49_999_991]
+    rows = spark.createDataFrame([(p,) for p in counts * 20], "p bigint").select("p", text.most_square_rows(F.col("p")).alias("rows")).distinct()
+    expected = {p: max(d for d in range(1, int(p**0.5) + 1) if p % d == 0) for p in counts}
+    assert dict(map(tuple, rows.collect())) == expected

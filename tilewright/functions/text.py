@@ -50,5 +50,6 @@ def split_index(total: int, parts: int, k: Column) -> Column:
 
 
 def most_square_rows(processes: Column) -> Column:
-    """Rows of the most square grid with no more rows than columns."""
-    return F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), processes.cast("bigint")), lambda d: (processes % d == 0) & (d * d <= processes)))
+    """Rows of the most square grid with no more rows than columns; only numbers up to the square root are tried."""
+    root = F.greatest(F.lit(1), F.floor(F.sqrt(processes))).cast("bigint")
+    return F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda d: (processes % d == 0) & (d * d <= processes)))
