@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,16 @@ def test_grids_hold_their_bound():
         g = blocks.grid_for(c, h, w)
         sizes = [(y1 - y0) * (x1 - x0) for y0, y1, x0, x1 in map(g.bounds, range(g.rows * g.cols))]
         assert sum(sizes) == h * w and (max(sizes) * c <= 2 * blocks.BLOCK_VALUES or max(sizes) == 1)
+
+
+def test_a_batch_is_worked_through_in_steps_of_bounded_size(monkeypatch):
+    shapes, real = [], blocks.product
+    monkeypatch.setattr(blocks, "product", lambda e, w, b: shapes.append(e.shape) or real(e, w, b))
+    w, bias = np.random.default_rng(1).integers(-3, 4, (2, 1, 3, 3)).astype(float), np.array([1.0, -1.0])
+    maps = np.random.default_rng(2).integers(-9, 10, (5000, 64)).astype(float)
+    none = pa.array([[]] * 5000, pa.list_(pa.int32()))
+    out = blocks.batch_convolved(blocks.Grid(1, 8, 8), (w, bias), False, pa.array([0] * 5000, pa.int32()), pa.array(list(maps), pa.list_(pa.float64())), none, none.cast(pa.list_(pa.float64())))
+    assert 1 < len(shapes) < 100 and max(s[0] for s in shapes) * 9 * 64 <= blocks.STEP_VALUES
+    padded = np.pad(maps.reshape(-1, 8, 8), ((0, 0), (1, 1), (1, 1)))
+    want = sum(w[:, 0, y, x][None, :, None, None] * padded[:, None, y:y + 8, x:x + 8] for y in range(3) for x in range(3)) + bias[None, :, None, None]
+    assert np.array_equal(np.array(out.to_pylist()), want.reshape(5000, -1))
