@@ -114,10 +114,12 @@ class CameraReader(DataSourceStreamReader):
         if at < partition.end:
             began = time.perf_counter()
             for batch in self.recording.frames(partition.parts, at, partition.end):
+                rows = []
                 for frame in sorted(batch.to_pylist(), key=lambda f: f["seq"]):
                     took = (time.perf_counter() - began) * 1000
-                    yield self._rows(self._frame(partition.camera, frame, took))
+                    rows += self._frame(partition.camera, frame, took)
                     began = time.perf_counter()
+                yield self._rows(rows)
         if partition.last:
             yield self._rows([dict(camera=partition.camera, kind="END_STREAM", seq=partition.end, tiles=partition.end - self.first)])
 

@@ -79,10 +79,14 @@ def with_tile_images(boxes: DataFrame, cameras: int, width: int, height: int, ti
     from tilewright.functions.geometry import box
 
     one = F.struct(F.col("tile_id").alias("t"), box().alias("b"))
-    rows = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.array_sort(F.collect_list(F.when(F.expr(anchor), box().withField("tile_id", F.lit(-1))))).alias("anchors"))
     # every tile of a frame has an image; boxes of a tile id outside the grid go with the first tile's
-    inside = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.filter("all", lambda x: (x["t"] == k) | ((k == 0) & ((x["t"] < 0) | (x["t"] >= tiles)))))
-    images = F.transform(inside, lambda part: F.to_json(F.transform(part, lambda x: x["b"])).cast("binary"))
+    slot = F.when(F.col("tile_id").between(0, tiles - 1), F.col("tile_id")).otherwise(F.lit(0))
+    parts = boxes.where("tile_id is not null").groupBy("frame_id", slot.alias("slot")).agg(F.array_sort(F.collect_list(one)).alias("part"))
+    parts = parts.select("frame_id", F.struct("slot", F.to_json(F.col("part.b")).cast("binary").alias("image")).alias("entry"), F.lit(None).cast("binary").alias("image"))
+    whole = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.when(F.expr(anchor), box().withField("tile_id", F.lit(-1))))).alias("anchors"))
+    whole = whole.select("frame_id", F.lit(None).cast(parts.schema["entry"].dataType).alias("entry"), F.to_json("anchors").cast("binary").alias("image"))
+    rows = parts.unionByName(whole).groupBy("frame_id").agg(F.map_from_entries(F.collect_list("entry")).alias("found"), F.first("image", ignorenulls=True).alias("image"))
+    images = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(b"[]")))
     return rows.select(
         F.concat(F.lit("cam"), (F.col("frame_id") % cameras).cast("string")).alias("camera"), F.floor(F.col("frame_id") / cameras).alias("seq"), "frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"),
-        F.to_json("anchors").cast("binary").alias("image"), images.alias("tile_images"))
+        "image", images.alias("tile_images"))
