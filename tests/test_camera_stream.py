@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 
@@ -246,3 +247,39 @@ def test_a_viewer_query_that_lost_its_log_delivers_no_frame_twice(spark, tmp_pat
         (tmp_path / "log" / "commits" / name).unlink()
     run()
     assert viewer.viewed(spark, str(tmp_path / "viewer")).count() == 8 * 3
+
+
+def test_rows_of_a_frame_reach_the_state_as_one(spark):
+    rows = protocol(5, 6)
+    lines = [line for frame in rows for line in frame]
+    some = spark.createDataFrame([ready(), *lines], LINE).coalesce(1)
+    found = some.mapInArrow(frames.packed, frames.PACKED).collect()
+    assert [r.kind for r in found] == ["READY", *["PART"] * 6]
+    one, plain = frames.FrameProcessor(CFG, 1000), frames.FrameProcessor(CFG, 1000)
+    for p in (one, plain):
+        p.init(Cell())
+    want = [(r.seq, r.frame_id, r.status, r.boxes) for r in plain.handleInputRows(("c",), iter(some.collect()), Now(5000))]
+    assert [(r.seq, r.frame_id, r.status, r.boxes) for r in one.handleInputRows(("c",), iter(found), Now(5000))] == want and len(want) == 6
+
+
+def test_images_of_tiles_are_made_once_each(spark):
+    rows = [(f, t, 0.5, float(k), 1.0, float(k + 5), 9.0, 0.5, t % 2, 0) for f in (0, 1) for k, t in enumerate((5, 0, 1, 1, -1))]
+    made = recordings.with_tile_images(spark.createDataFrame(rows, "frame_id int, tile_id int, neg_conf double, x1 double, y1 double, x2 double, y2 double, conf double, rank int, cls int"), 2, 64, 48, 3, "rank = 0")
+    assert "filter(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for r in made.collect():
+        images = [[(b["tile_id"], b["x1"]) for b in json.loads(bytes(i))] for i in r.tile_images]
+        assert images == [[(-1, 4.0), (0, 1.0), (5, 0.0)], [(1, 2.0), (1, 3.0)], []] and [b["x1"] for b in json.loads(bytes(r.image))] == [1.0]
+
+
+def test_a_trigger_over_a_folder_takes_a_bounded_number_of_frames(spark, monkeypatch):
+    from pathlib import Path
+
+    from tilewright.plans import detection
+    from tilewright.shared import staging_dir
+
+    monkeypatch.setattr(detection, "TRIGGER", 12, raising=False)
+    got = detection.l3_live_stream(spark, "/root/testdata/sf0.001")
+    want = detection.a10_temporal_dedup(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    last = max(Path(staging_dir(spark)).glob("live-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list((last / "state" / "commits").glob("[0-9]*"))) >= 4

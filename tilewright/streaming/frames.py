@@ -10,6 +10,10 @@ done already change nothing: each such frame of a batch is reported once, as ``l
 
 ``latency_ms`` is the time from the end of a frame's capture to its result, with all waiting, merging
 and matching in it; reading the frame itself is ``capture_ms``.
+
+Rows reach the state packed: those of a frame that are in one Arrow batch are one row, with their boxes as
+plain doubles, and events leave it in the same way. So the few tasks that have state, one a camera, spend
+their time on merging and matching.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,9 +34,13 @@ from tilewright.functions.geometry import BOX
 from tilewright.streaming.live import dedup
 
 EVENT = "camera string, seq bigint, frame_id int, width int, height int, person_count int, tasks int, capture_ms double, latency_ms double, status string, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
+PACKED = "camera string, kind string, seq bigint, frame_id int, width int, height int, captured_ms double, capture_ms double, tiles int, head boolean, ids array<int>, counts array<int>, boxes binary"
+PACKED_EVENT = EVENT.partition("boxes ")[0] + "boxes binary"
+_ARROW = pa.schema([("camera", pa.string()), ("kind", pa.string()), ("seq", pa.int64()), ("frame_id", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("captured_ms", pa.float64()), ("capture_ms", pa.float64()),
+                    ("tiles", pa.int32()), ("head", pa.bool_()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("boxes", pa.binary())])
 _FIELDS = ("neg_conf", "tile_id", "x1", "y1", "x2", "y2", "conf", "rank", "cls")
 _OUT = ("tile_id", "rank", "x1", "y1", "x2", "y2", "conf", "cls")
-_BOX_ROW = Row(*_OUT)
+_WHOLE = ("tile_id", "rank", "cls")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,6 +48,55 @@ def _plain(boxes) -> list[dict]:
     return [b if isinstance(b, dict) else b.asDict() for b in boxes or ()]
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of protocol rows: a PART row for all rows of a frame in a batch, whose whole-frame boxes have tile -1; of equal rows the last holds."""
+    same = ("frame_id", "width", "height", "captured_ms", "capture_ms")
+    for batch in batches:
+        lists = batch.column("boxes")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()
+        values = np.column_stack([np.asarray(flat.field(f), np.float64) for f in _FIELDS]) if len(flat) else np.empty((0, len(_FIELDS)))
+        out, frames = [], {}
+        for k, r in enumerate(batch.select(["camera", "kind", "seq", *same, "tile_id", "tiles"]).to_pylist()):
+            if r["kind"] not in ("FRAME", "TILE", "END_FRAME"):
+                out.append({**{n: r[n] for n in ("camera", "kind", "seq", "tiles", *same)}})
+                continue
+            frame = frames.setdefault((r["camera"], r["seq"]), ({"kind": "PART", "camera": r["camera"], "seq": r["seq"], "head": False, "tiles": None}, {}))
+            row, parts = frame
+            if r["kind"] == "FRAME" or not row["head"]:
+                row.update((n, r[n]) for n in same)
+            if r["kind"] == "END_FRAME":
+                row["tiles"] = r["tiles"]
+            else:
+                row["head"] |= r["kind"] == "FRAME"
+                parts[-1 if r["kind"] == "FRAME" else r["tile_id"]] = values[ends[k]:ends[k + 1]]
+        for row, parts in frames.values():
+            out.append({**row, "ids": list(parts), "counts": [len(v) for v in parts.values()], "boxes": b"".join(v.tobytes() for v in parts.values())})
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+
+def _parts(ids: list[int], counts: list[int], boxes: bytes) -> Iterator[tuple[int, list[dict]]]:
+    """(tile, boxes) of a PART row."""
+    values, at = np.frombuffer(boxes).reshape(-1, len(_FIELDS)).tolist(), 0
+    for tile, n in zip(ids, counts):
+        found = [dict(zip(_FIELDS, v)) for v in values[at:at + n]]
+        for b in found:
+            b.update((f, int(b[f])) for f in _WHOLE)
+        yield tile, found
+        at += n
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """EVENT rows of PACKED_EVENT rows."""
+    fields = [pa.field(f, pa.int32() if f in _WHOLE else pa.float64()) for f in _OUT]
+    for batch in batches:
+        texts = batch.column("boxes").to_pylist()
+        values = np.frombuffer(b"".join(texts)).reshape(-1, len(_OUT))
+        ends = np.cumsum([0, *(len(t) // (8 * len(_OUT)) for t in texts)])
+        boxes = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])).cast(f.type) for k, f in enumerate(fields)], fields=fields)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), boxes)], batch.schema.names)
+
+
 class Held:
     """What has come of a frame: its head, its tiles and whole-frame boxes, how many tiles it has (-1: unknown), and since when it waits."""
 
@@ -105,14 +164,24 @@ class FrameProcessor(StatefulProcessor):
                 late[r.seq] = r.frame_id
                 continue
             held = waiting.setdefault(r.seq, Held(int(now)))
-            if r.kind == "FRAME":
+            if r.kind == "PART":
+                if r.head:
+                    held.head = (r.frame_id, r.width, r.height, r.captured_ms, r.capture_ms)
+                for tile, boxes in _parts(r.ids, r.counts, r.boxes):
+                    if tile < 0:
+                        held.anchors = boxes
+                    else:
+                        held.parts[tile] = boxes
+                if r.tiles is not None:
+                    held.tiles = r.tiles
+            elif r.kind == "FRAME":
                 held.head, held.anchors = (r.frame_id, r.width, r.height, r.captured_ms, r.capture_ms), _plain(r.boxes)
             elif r.kind == "TILE":
                 held.parts[r.tile_id] = _plain(r.boxes)
             elif r.kind == "END_FRAME":
                 held.tiles = r.tiles
         for seq in sorted(late):
-            yield Row(camera=key[0], seq=seq, frame_id=late[seq], width=None, height=None, person_count=None, tasks=None, capture_ms=None, latency_ms=None, status="late", boxes=[])
+            yield Row(camera=key[0], seq=seq, frame_id=late[seq], width=None, height=None, person_count=None, tasks=None, capture_ms=None, latency_ms=None, status="late", boxes=b"")
         yield from self._released(key[0], waiting, done, now, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -131,7 +200,7 @@ class FrameProcessor(StatefulProcessor):
             before = dedup(self.cfg, boxes, before, width, height)
             latency = None if captured is None else time.time() * 1000 - captured
             yield Row(camera=camera, seq=seq, frame_id=frame_id, width=width, height=height, person_count=len(before), tasks=tasks, capture_ms=capture, latency_ms=latency,
-                      status="whole" if held.whole() else "partial", boxes=[_BOX_ROW(*(b[f] for f in _OUT)) for b in before])
+                      status="whole" if held.whole() else "partial", boxes=np.array([[b[f] for f in _OUT] for b in before], np.float64).tobytes())
             done = seq
             del waiting[seq]
         if done is not None:
@@ -160,7 +229,8 @@ def decoded(lines: DataFrame, decode: Column | None = None) -> DataFrame:
 
 def live_frames(cfg: DetectionConfig, found: DataFrame, hold_ms: int = 10_000) -> DataFrame:
     """EVENT rows, as a stream, from a stream of ``decoded`` rows. The session's state store must be ``PROVIDER``."""
-    return found.groupBy("camera").transformWithState(FrameProcessor(cfg, hold_ms), EVENT, "append", "ProcessingTime")
+    events = found.mapInArrow(packed, PACKED).groupBy("camera").transformWithState(FrameProcessor(cfg, hold_ms), PACKED_EVENT, "append", "ProcessingTime")
+    return events.mapInArrow(unpacked, EVENT)
 
 
 def protocol_rows(frames: DataFrame, cameras: int = 1) -> DataFrame:
