@@ -10,7 +10,7 @@ from tilewright.config import DetectionConfig
 from tilewright.functions import geometry as g
 from tilewright.functions.text import PLACEHOLDERS, fill_template
 from tilewright.operators import crowds, detect, duplicates
-from tilewright.shared import staged_path
+from tilewright.shared import numbered, staged, staged_path
 from tilewright.sinks import viewer
 from tilewright.sources import adapters, camera, camera_source, files, recordings, tasks
 from tilewright.streaming import frames, live
@@ -387,11 +387,18 @@ def l10_final_counts(spark, sf_dir):
     return live.final_counts(LIVE, frames_of(boxes), live.dedup_frames(LIVE, _frames(spark, sf_dir)))
 
 
+#: Frames that a trigger of the stream over a folder takes, about: the state's tasks hold the rows of that many.
+TRIGGER = 32_000
+
+
 def l3_live_stream(spark, sf_dir):
     """The live pass as a stream over a folder of frames, several files a trigger, in the shared folder."""
     shared = staged_path(spark, "live")
-    nested = _frames(spark, sf_dir).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id")
-    nested.write.parquet(f"{shared}/frames")
+    nested = _frames(spark, sf_dir)
+    placed = staged(numbered(nested, ["frame_id"]), "placed")
+    for low in range(0, placed.agg(F.coalesce(F.max("place") + 1, F.lit(1))).first()[0], TRIGGER):
+        # a folder's files are read by the time they were written
+        placed.where((F.col("place") >= low) & (F.col("place") < low + TRIGGER)).select(*nested.columns).repartition(4, "frame_id").sortWithinPartitions("frame_id").write.mode("append").parquet(f"{shared}/frames")
     stream = spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 4).parquet(f"{shared}/frames")
     with frames.typed_state(spark):
         frames.run_through(frames.live_frames(LIVE, frames.protocol_rows(stream, 4)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state"))
