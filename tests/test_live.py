@@ -128,3 +128,26 @@ def test_pieces_give_what_the_whole_sequence_gives(spark, monkeypatch, piece, si
 
 def test_pieces_of_no_frames(spark):
     assert live.dedup_frames(CFG, spark.createDataFrame([], live.FRAME)).count() == 0
+
+
+def test_frames_are_merged_and_folded_in_steps(spark, monkeypatch):
+    sizes, real, cfg = [], live.folds.from_arrow, DetectionConfig(tile_grid="1x1", live=True, live_temporal_dedup=True)
+    kind = live.merged_frames(cfg, frames(spark)).schema
+    monkeypatch.setattr(live.folds, "from_arrow", lambda boxes, w, h: sizes.append(len(boxes)) or real(boxes, w, h))
+    batch = frames(spark).coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    caught = []
+
+    class Rows:
+        schema = frames(spark).schema
+
+        def withColumn(self, *_):
+            return type("R", (), {"schema": kind, "withColumn": lambda s, *_: s})()
+
+        def mapInArrow(self, f, _):
+            caught.append(f)
+    live.merged_frames(cfg, Rows())
+    whole = [r for b in caught[0](iter([batch])) for r in b.to_pylist()]
+    assert sizes == [12, 12]
+    monkeypatch.setattr(live, "STEP", 5)
+    sizes.clear()
+    assert [r for b in caught[0](iter([batch])) for r in b.to_pylist()] == whole and sizes == [5, 5, 5, 5, 2, 2]

@@ -27,6 +27,13 @@ FRAME = f"camera string, frame_id int, frame_width int, frame_height int, captur
 EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms double, latency_ms double, boxes array<struct<tile_id:int,rank:int,x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>>"
 #: Frame ids in a piece of a camera that ``dedup_frames`` folds at a time.
 PIECE = 256
+#: Frames of an Arrow batch whose boxes are in Python's memory at a time.
+STEP = 1_000
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(k, STEP) for k in range(0, batch.num_rows, STEP))
 
 
 def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int | None = None, height: int | None = None) -> list[dict]:
@@ -46,11 +53,11 @@ def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int
 
 
 def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
-    """Each frame (FRAME) with ``boxes`` after merging its tiles, and its anchors if there is an anchor pass, and ``tasks``; the frames of an Arrow batch side by side."""
+    """Each frame (FRAME) with ``boxes`` after merging its tiles, and its anchors if there is an anchor pass, and ``tasks``; ``STEP`` frames side by side."""
     kind = frames.schema["tiles"].dataType.simpleString()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             width, height = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("frame_width", "frame_height"))
             tiles, anchors = (folds.from_arrow(batch.column(k), width, height) for k in ("tiles", "anchors"))
             boxes, tasks = folds.with_anchors(cfg, tiles, anchors)
@@ -76,7 +83,7 @@ def _fold(cfg: DetectionConfig):
     """
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, before, met = None, [], False
-        for batch in batches:
+        for batch in _steps(batches):
             rows, outs, took = [], [], []
             for k, r in enumerate(batch.select(["camera", "piece", "frame_id", "frame_width", "frame_height", "boxes", "out"]).to_pylist()):
                 if (r["camera"], r["piece"]) != piece:
