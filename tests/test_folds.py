@@ -102,6 +102,39 @@ def test_a_frame_folded_by_components_equals_the_whole_fold(spark, cfg):
     assert crowds.suppress_crowds(cfg, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cfg", CONFIGS)
+def test_parts_that_reach_out_of_their_blocks_equal_the_whole_fold(spark, cfg, monkeypatch):
+    from tilewright.operators import crowds
+
+    monkeypatch.setattr(crowds, "WIDE", 0.5)
+    rng = random.Random(7)
+    # twelve frames, from sparse to dense, in blocks smaller than their larger boxes; and chains that run through many blocks
+    rows = [(k % 12, 0, *box(rng, span=500 + 400 * (k % 12), side=rng.choice([20, 60, 150, 400]))[1:]) for k in range(1200)]
+    rows += [(20 + s, 0, k % 12, 40.0 * k, 11.0 * k * s, 40.0 * k + 100, 11.0 * k * s + 100, [0.9, 0.5, 0.7][k % 3], 0, k // 30) for s in range(2) for k in range(60)]
+    table = spark.createDataFrame(rows, "frame_id int, det_id int, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, rank int, cls int")
+    got, want = (sorted(tuple(r) for r in f(cfg, table).collect()) for f in (crowds.suppress_crowds, duplicates.suppress))
+    assert got == want and len(want) < len(rows)
+
+
+def test_parts_that_stay_in_a_block_are_staged_once(spark, monkeypatch):
+    from tilewright.operators import crowds
+
+    counts = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts.append(out.count())
+        return out
+
+    staged = crowds.staged
+    monkeypatch.setattr(crowds, "staged", counted)
+    # pairs of duplicates far from each other
+    rows = [(f, 0, 300.0 * k + d, 10.0, 300.0 * k + d + 50, 110.0, 0.9 - d / 10, 0, 0) for f in range(20) for k in range(40) for d in range(2)]
+    table = spark.createDataFrame(rows, "frame_id int, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, rank int, cls int")
+    assert crowds.suppress_crowds(DetectionConfig(), table).count() == len(rows) // 2
+    assert sum(counts) < 3.5 * len(rows)
+
+
 def test_components_of_chains(spark):
     from tilewright.operators import crowds
 
