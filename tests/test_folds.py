@@ -135,6 +135,20 @@ def test_parts_that_stay_in_a_block_are_staged_once(spark, monkeypatch):
     assert sum(counts) < 3.5 * len(rows)
 
 
+def test_parts_of_many_boxes_at_one_place_take_no_list_of_their_pairs():
+    import tracemalloc
+
+    from tilewright.functions import parts
+
+    n = 5_000
+    c = {k: np.full(n, v) for k, v in {"x1": 10.0, "y1": 10.0, "x2": 60.0, "y2": 110.0, "tile_id": 0, "rank": 0, "cls": 0}.items()} | {"conf": np.linspace(0.1, 0.9, n)}
+    tracemalloc.start()
+    labels, kept, part = parts.closed(DetectionConfig(), c, np.zeros(n, np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels == 0).all() and kept["conf"].tolist() == [0.9] and part.tolist() == [0] and most < 300e6
+
+
 def test_components_of_chains(spark):
     from tilewright.operators import crowds
 

@@ -6,7 +6,7 @@ the share of its sides that those rules allow. Pairs are found in cells as ``ope
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -61,15 +61,14 @@ def _cells(r: Reach, of: np.ndarray, rows: np.ndarray, edge: float) -> tuple[np.
     return key, rows[k], x0[k], y0[k], cx, cy
 
 
-def met(a: Reach, a_of: np.ndarray, b: Reach, b_of: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i of ``a``, j of ``b``) of one block with overlapping reaches for which ``test`` holds."""
+def met(a: Reach, a_of: np.ndarray, b: Reach, b_of: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i of ``a``, j of ``b``) of one block with overlapping reaches for which ``test`` holds, about STEP pairs at a time."""
     def levels(r: Reach) -> np.ndarray:
         return np.maximum(0.0, np.ceil(np.log2(np.maximum(1.0, np.maximum(r[2] - r[0], r[3] - r[1])))) - 5)
 
     la, lb = levels(a), levels(b)
     if not all(np.isfinite(v).all() for v in (*a, *b)):
         la, lb = np.full(len(la), np.inf), np.full(len(lb), np.inf)  # one cell
-    found = [(np.empty(0, np.int64),) * 2]
     for at in np.unique(np.concatenate([la, lb])):
         # the larger box of a pair is of this level
         for left, right in ((la == at, lb <= at), (la < at, lb == at)):
@@ -90,8 +89,8 @@ def met(a: Reach, a_of: np.ndarray, b: Reach, b_of: np.ndarray, test: Callable[[
                 same = a_of[i] == b_of[j]
                 i, j = i[same], j[same]
                 ok = test(i, j)
-                found.append((i[ok], j[ok]))
-    return tuple(np.concatenate(v) for v in zip(*found))
+                if ok.any():
+                    yield i[ok], j[ok]
 
 
 def closed(cfg: DetectionConfig, c: dict[str, np.ndarray], of: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -104,8 +103,15 @@ def closed(cfg: DetectionConfig, c: dict[str, np.ndarray], of: np.ndarray) -> tu
         return {k: v[at] for k, v in cols.items()}
 
     reaches, size = reach(cfg, c), area(c)
-    pairs = met(reaches, of, reaches, of, lambda i, j: (i < j) & folds.duplicates(cfg, rows_of(c, i), rows_of(c, j), cfg.width, cfg.height))
-    labels = joined(np.arange(len(of)), *pairs)
+    labels = np.arange(len(of))
+
+    def pair(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = (i < j) & (labels[i] != labels[j])
+        ok[ok] = folds.duplicates(cfg, rows_of(c, i[ok]), rows_of(c, j[ok]), cfg.width, cfg.height)
+        return ok
+
+    for i, j in met(reaches, of, reaches, of, pair):
+        labels = joined(labels, i, j)
     kept, part = rows_of(c, np.empty(0, np.int64)), np.empty(0, np.int64)
     new = np.ones(len(of), bool)
     while True:
@@ -120,7 +126,7 @@ def closed(cfg: DetectionConfig, c: dict[str, np.ndarray], of: np.ndarray) -> tu
 
         def could(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             k, b = rows_of(frames.cols, i), rows_of(c, j)
-            apart = parts[at[i]] != labels[j]
+            apart = labels[parts[at[i]]] != labels[j]
             if cfg.duplicate_near_camera:
                 one, two = reach(cfg, k), reach(cfg, b)
                 return apart & np.logical_and.reduce([one[0] <= two[2], two[0] <= one[2], one[1] <= two[3], two[1] <= one[3]])
@@ -128,8 +134,9 @@ def closed(cfg: DetectionConfig, c: dict[str, np.ndarray], of: np.ndarray) -> tu
             # a kept box was never smaller than the part's smallest box, nor did it ever cover more than now
             return apart & (over > 0) & (over >= share(cfg) * np.minimum(size[j], least[i]) * (1 - 1e-9))
 
-        i, j = met(reach(cfg, frames.cols), of[parts[at]], reaches, of, could)
-        if not len(i):
+        before = labels
+        for i, j in met(reach(cfg, frames.cols), of[parts[at]], reaches, of, could):
+            labels = joined(labels, parts[at[i]], j)
+        if (labels == before).all():
             return labels, kept, part
-        labels = joined(labels, parts[at[i]], j)
-        new = np.isin(labels, labels[j])
+        new = np.isin(labels, labels[labels != before])
