@@ -6,10 +6,13 @@ import json
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.config import DetectionConfig
+from tilewright.functions import folds
 from tilewright.functions.boxes import merged_boxes
 from tilewright.functions.geometry import BOX
 from tilewright.sinks import viewer
@@ -283,3 +286,100 @@ def test_a_trigger_over_a_folder_takes_a_bounded_number_of_frames(spark, monkeyp
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     last = max(Path(staging_dir(spark)).glob("live-*"), key=lambda p: p.stat().st_mtime)
     assert len(list((last / "state" / "commits").glob("[0-9]*"))) >= 4
+
+
+def as_runs(spark, cfg, *batches):
+    """RUNS rows of batches of protocol rows."""
+    return [r for rows in batches for r in spark.createDataFrame(rows, LINE).coalesce(1).mapInArrow(lambda b: frames.runs(cfg, frames.packed(b)), frames.RUNS).collect()]
+
+
+def told(found):
+    """(seq, frame, size, tasks, status, boxes) of what the state sends."""
+    def plain(r):
+        v = r.asDict()
+        return {**v, "boxes": bytes(v["boxes"])}
+    names = [f.partition(" ")[0] for f in frames.PACKED_EVENT.split(", ")]
+    kinds = {"camera": "string", "status": "string", "boxes": "binary", "seqs": "binary", "seq": "int64", "capture_ms": "float64", "latency_ms": "float64"}
+    batch = pa.RecordBatch.from_pylist([plain(r) for r in found], schema=pa.schema([(n, kinds.get(n, "int32")) for n in names]))
+    return sorted((r["seq"], r["frame_id"], r["width"], r["height"], r["person_count"], r["tasks"], r["status"], r["capture_ms"], [tuple(b.values()) for b in r["boxes"]]) for b in frames.unpacked(iter([batch])) for r in b.to_pylist())
+
+
+def processor(cfg, hold_ms=1000):
+    one = frames.FrameProcessor(cfg, hold_ms)
+    one.init(Cell())
+    return one
+
+
+@pytest.mark.parametrize("policy", [None, "merge", "anchor-gate", "anchor-only"])
+@pytest.mark.parametrize("near", [False, True])
+def test_runs_give_what_single_rows_give(spark, policy, near):
+    rng = random.Random(11)
+    cfg = DetectionConfig(tile_grid="2x1", overlap=1, live=True, live_temporal_dedup=True, duplicate_near_camera=near, live_anchor_full_frame=policy is not None, live_anchor_policy=policy or "merge")
+    rows = protocol(6, 40)
+    for frame in rows[::3]:  # anchors, some of them in a tile that they may not belong to
+        frame[0] = (*frame[0][:-1], [box(rng, rng.choice([-1, 0])) for _ in range(rng.randint(0, 2))])
+    wide = [(*line[:-1], line[-1] and [(*b[:4], b[4] + 400.0, b[5] + 200.0, rng.choice([0.3, 0.5, 0.9]), *b[7:]) for b in line[-1]]) for frame in rows for line in frame]
+    batches = [[ready(), *wide[:60]], wide[60:101], wide[101:]]
+    runs, plain = processor(cfg), processor(cfg)
+    made = [as_runs(spark, cfg, b) for b in batches]
+    assert [[r.kind for r in m] for m in made] == [["READY", "RUN"], ["PART", "RUN"], ["PART", "RUN"]] and len(made[0][1].seqs) == 15 * frames._SEQS.itemsize
+    for m, b in zip(made, batches):
+        assert told(runs.handleInputRows(("c",), iter(m), Now(5000))) == told(plain.handleInputRows(("c",), iter(spark.createDataFrame(b, LINE).collect()), Now(5000)))
+    assert runs.done.get() == plain.done.get() == (39,) and runs.before.kept == plain.before.kept
+
+
+def test_runs_with_gaps_late_frames_and_rows_that_come_twice(spark):
+    rows = protocol(7, 20)
+    lines = lambda low, high: [line for frame in rows[low:high] for line in frame]
+    more = (*rows[13][1][:8], 1, None, [(-0.9, 1, 5.0, 5.0, 900.0, 700.0, 0.9, 0, 0)])
+    end = ("c", "END_STREAM", 20, *[None] * 6, 20, None)
+    # a run of frames that wait, the frames before them, a run that is late, one with a frame that has rows elsewhere, the end after a gap
+    triggers = [[[ready(), *lines(4, 8)]], [lines(0, 4)], [lines(2, 6)], [lines(6, 10)], [[more], lines(10, 16)], [lines(18, 20)], [[end]]]
+    runs, plain = processor(CFG), processor(CFG)
+    seen = []
+    for k, t in enumerate(triggers):
+        got = told(runs.handleInputRows(("c",), iter(as_runs(spark, CFG, *t)), Now(5000 + k)))
+        assert got == told(plain.handleInputRows(("c",), iter([r for b in t for r in spark.createDataFrame(b, LINE).collect()]), Now(5000 + k))) and runs.handle.timers == plain.handle.timers
+        seen += [(g[0], g[6]) for g in got]
+    assert [s for s, status in seen if status == "whole"] == [*range(16), 18, 19] and sorted(s for s, status in seen if status == "late") == [2, 3, 4, 5, 6, 7]
+
+
+def test_the_state_folds_only_the_frames_of_a_run_that_differ(spark, monkeypatch):
+    rows = protocol(8, 60)
+    batches = [[ready(), *[line for frame in rows[:30] for line in frame]], [line for frame in rows[30:] for line in frame]]
+    want, calls, real = fold(CFG, rows), [], frames.dedup
+    made = [as_runs(spark, CFG, b) for b in batches]
+    monkeypatch.setattr(frames, "dedup", lambda *a: calls.append(1) or real(*a))
+    one, got = processor(CFG), {}
+    for m in made:
+        got.update({t[0]: [dict(zip(frames._OUT, b)) for b in t[-1]] for t in told(one.handleInputRows(("c",), iter(m), Now(5000)))})
+    assert got == want and len(calls) <= 12
+
+
+def test_frames_side_by_side_are_folded_as_one_by_one():
+    rng = random.Random(9)
+    for near in (False, True):
+        cfg = DetectionConfig(tile_grid="2x1", live=True, live_temporal_dedup=True, duplicate_near_camera=near)
+        rows = [[dict(zip(frames._FIELDS, (-c, rng.randint(0, 1), x, y, x + rng.randint(-5, 700), y + rng.randint(-5, 400), c, 0, rng.randint(0, 1)))) for x, y, c in [(float(rng.randint(0, 600)), float(rng.randint(0, 300)), rng.choice([0.3, 0.5, 0.9])) for _ in range(rng.choice([0, 1, 2, 5, 9]))]] for _ in range(120)]
+        first = np.array([k % 37 == 0 for k in range(120)])
+        parts = [np.array([[b[n] for n in folds.NAMES] for b in r], float).reshape(-1, len(folds.NAMES)) for r in rows]
+        got = live.dedup_runs(cfg, folds.Frames.of_parts(parts, np.full(120, 1280), np.full(120, 720)), first).parts()
+        before = []
+        for k, r in enumerate(rows):
+            before = live.dedup(cfg, r, [] if first[k] else before, 1280, 720)
+            assert got[k].tolist() == [[float(b[n]) for n in folds.NAMES] for b in before]
+
+
+def test_the_state_has_no_more_tasks_than_cameras_need(spark, tmp_path):
+    spark.createDataFrame([ready(), *[line for frame in protocol(10, 4) for line in frame]], LINE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with frames.typed_state(spark, 1):
+        frames.run_through(frames.live_frames(CFG, spark.readStream.schema(LINE).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert sorted(p.name for p in (tmp_path / "log" / "state" / "0").glob("[0-9]*")) == ["0", "1"]
+
+
+def test_frames_of_one_camera_reach_the_viewer_in_several_tasks(spark, tmp_path):
+    events(spark, 40).where("status <> 'late'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.EVENT).parquet(str(tmp_path / "in"))
+    viewer.to_viewer(stream, str(tmp_path / "viewer"), str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert viewer.viewed(spark, str(tmp_path / "viewer")).count() == 32 * 3 and len(list((tmp_path / "viewer" / "files").glob("*.txt"))) > 1

@@ -19,6 +19,8 @@ CFG = DetectionConfig(tile_grid="4x3")
 NEAR = DetectionConfig(tile_grid="4x3", duplicate_near_camera=True, duplicate_large_area_ratio=0.02)
 MOCK = DetectionConfig(tile_grid="4x3", sleep_ms=3)
 LIVE = DetectionConfig(tile_grid="4x3", live=True, live_anchor_full_frame=True, live_temporal_dedup=True)
+#: Cameras that the frames of ``events`` are dealt to.
+CAMERAS = 4
 DET = adapters.ansi(adapters.DET)
 
 
@@ -363,7 +365,7 @@ P11_SQL = f"select det_id, concat('detect cam --tile ', tile_id, ' --frame ', fr
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    return live.nested_frames(det(spark, sf_dir), 4, LIVE.width, LIVE.height)
+    return live.nested_frames(det(spark, sf_dir), CAMERAS, LIVE.width, LIVE.height)
 
 
 def l4_anchor_policies(spark, sf_dir):
@@ -400,15 +402,15 @@ def l3_live_stream(spark, sf_dir):
         # a folder's files are read by the time they were written
         placed.where((F.col("place") >= low) & (F.col("place") < low + TRIGGER)).select(*nested.columns).repartition(4, "frame_id").sortWithinPartitions("frame_id").write.mode("append").parquet(f"{shared}/frames")
     stream = spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 4).parquet(f"{shared}/frames")
-    with frames.typed_state(spark):
-        frames.run_through(frames.live_frames(LIVE, frames.protocol_rows(stream, 4)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state"))
+    with frames.typed_state(spark, CAMERAS):
+        frames.run_through(frames.live_frames(LIVE, frames.protocol_rows(stream, CAMERAS)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/state"))
     return spark.read.schema(frames.EVENT).parquet(f"{shared}/events").select("camera", "frame_id", "person_count", "tasks")
 
 
 def _camera(spark, sf_dir) -> tuple[DataFrame, str]:
     """The frames of ``events`` as a recording of four cameras, replayed as a stream of protocol rows; and the run's folder."""
     shared = staged_path(spark, "camera")
-    recordings.write_recording(recordings.with_tile_images(det(spark, sf_dir), 4, LIVE.width, LIVE.height, 12, "rank = 0"), f"{shared}/recording")
+    recordings.write_recording(recordings.with_tile_images(det(spark, sf_dir), CAMERAS, LIVE.width, LIVE.height, 12, "rank = 0"), f"{shared}/recording")
     return camera_source.camera_stream(spark, f"{shared}/recording", LIVE, frames_per_trigger=2000, progress=f"{shared}/progress"), shared
 
 
@@ -434,7 +436,7 @@ union all select camera, 'END_STREAM', n, null, null, null, null, null, null, nu
 def l6_live_camera(spark, sf_dir):
     """Events of the live run over the camera source, with the signs of their times: capture, and capture to result."""
     lines, shared = _camera(spark, sf_dir)
-    with frames.typed_state(spark):
+    with frames.typed_state(spark, CAMERAS):
         frames.run_through(frames.live_frames(LIVE, frames.decoded(lines)).writeStream.format("parquet").option("path", f"{shared}/events").option("checkpointLocation", f"{shared}/log"))
     rows = spark.read.schema(frames.EVENT).parquet(f"{shared}/events")
     return rows.select("camera", "seq", "frame_id", "person_count", "tasks", "status", (F.col("capture_ms") >= 0).alias("captured"), (F.col("latency_ms") > 0).alias("timed"))
@@ -443,7 +445,7 @@ def l6_live_camera(spark, sf_dir):
 def k9_viewer_frames(spark, sf_dir):
     """K9: what a viewer gets of the live run over the camera source: the lines of every frame, once."""
     lines, shared = _camera(spark, sf_dir)
-    with frames.typed_state(spark):
+    with frames.typed_state(spark, CAMERAS):
         frames.run_through(viewer.to_viewer(frames.live_frames(LIVE, frames.decoded(lines)), f"{shared}/viewer", f"{shared}/log"))
     return viewer.viewed(spark, f"{shared}/viewer")
 

@@ -87,9 +87,10 @@ class ViewerSink(DataSource):
 
 
 def to_viewer(events: DataFrame, path: str, checkpoint: str):
-    """A stream writer of EVENT rows to the viewer at ``path``; ``start()`` runs it."""
-    events.sparkSession.dataSource.register(ViewerSink)
-    return events.writeStream.format("tilewright_viewer").option("path", path).option("checkpointLocation", checkpoint)
+    """A stream writer of EVENT rows to the viewer at ``path``; ``start()`` runs it. Frames are dealt to as many tasks as there are cores, not to one for each camera."""
+    spark = events.sparkSession
+    spark.dataSource.register(ViewerSink)
+    return events.repartition(spark.sparkContext.defaultParallelism, "camera", "seq").writeStream.format("tilewright_viewer").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def viewed(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,8 @@ EVENT = "camera string, frame_id int, person_count int, tasks int, capture_ms do
 PIECE = 256
 #: Frames of an Arrow batch whose boxes are in Python's memory at a time.
 STEP = 1_000
+#: Times that ``dedup_runs`` folds frames side by side.
+ROUNDS = 4
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +54,32 @@ def dedup(cfg: DetectionConfig, now: list[dict], before: list[dict], width: int
     return suppressed_boxes(cfg, out + free, width or cfg.width, height or cfg.height)
 
 
+def dedup_runs(cfg: DetectionConfig, now: folds.Frames, first: np.ndarray) -> folds.Frames:
+    """A10 over runs of frames in order; nothing comes before the frames ``first``.
+
+    All frames are folded side by side with the boxes that the frame before has so far, and those whose frame
+    before has changed once more, up to ``ROUNDS`` times; what is left then is folded one by one.
+    """
+    if not cfg.live_temporal_dedup or not len(now):
+        return now
+    boxes = now.parts()
+    out, left = list(boxes), np.flatnonzero(~first)
+    for _ in range(ROUNDS):
+        new = folds.dedup(cfg, [boxes[k] for k in left], [out[k - 1] for k in left], now.width[left], now.height[left])
+        changed = [k for k, n in zip(left, new) if not np.array_equal(n, out[k])]
+        for k, n in zip(left, new):
+            out[k] = n
+        left = np.array([k + 1 for k in changed if k + 1 < len(first) and not first[k + 1]], np.int64)
+    again = set(left.tolist())
+    for k in range(min(again, default=len(first)), len(first)):
+        if k in again:
+            new = folds.dedup(cfg, [boxes[k]], [out[k - 1]], now.width[k:k + 1], now.height[k:k + 1])[0]
+            if not np.array_equal(new, out[k]) and k + 1 < len(first) and not first[k + 1]:
+                again.add(k + 1)
+            out[k] = new
+    return folds.Frames.of_parts(out, now.width, now.height)
+
+
 def merged_frames(cfg: DetectionConfig, frames: DataFrame) -> DataFrame:
     """Each frame (FRAME) with ``boxes`` after merging its tiles, and its anchors if there is an anchor pass, and ``tasks``; ``STEP`` frames side by side."""
     kind = frames.schema["tiles"].dataType.simpleString()
