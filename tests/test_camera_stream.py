@@ -383,3 +383,40 @@ def test_frames_of_one_camera_reach_the_viewer_in_several_tasks(spark, tmp_path)
     stream = spark.readStream.schema(frames.EVENT).parquet(str(tmp_path / "in"))
     viewer.to_viewer(stream, str(tmp_path / "viewer"), str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     assert viewer.viewed(spark, str(tmp_path / "viewer")).count() == 32 * 3 and len(list((tmp_path / "viewer" / "files").glob("*.txt"))) > 1
+
+
+BOXES = "frame_id int, tile_id int, neg_conf double, x1 double, y1 double, x2 double, y2 double, conf double, rank int, cls int"
+
+
+def test_boxes_of_a_recording_move_once(spark, tmp_path):
+    rows = [(f, t, -0.5, float(k), 1.0, float(k + 5), 9.0, 0.5, k % 2, 0) for f in range(40) for k, t in enumerate((5, None, 1, 1, -1, 2))]
+    made = recordings.with_tile_images(spark.createDataFrame(rows, BOXES), 2, 64, 48, 3, "rank = 0")
+    assert made.sortWithinPartitions("camera", "seq")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    recordings.write_recording(made, str(tmp_path / "rec"), placed=True)
+    again = recordings.Recording(str(tmp_path / "rec"))
+    assert again.counts() == {"cam0": 20, "cam1": 20}
+    got = [f for batch in again.frames(again.parts("cam1", 3, 9), 3, 9) for f in batch.to_pylist()]
+    assert sorted(f["seq"] for f in got) == [*range(3, 9)] and all(f["frame_id"] == 2 * f["seq"] + 1 for f in got)
+    # boxes without a tile are in the whole frame's image only
+    images = [[(b["tile_id"], b["x1"]) for b in json.loads(i)] for i in got[0]["tile_images"]]
+    assert images == [[(-1, 4.0), (5, 0.0)], [(1, 2.0), (1, 3.0)], [(2, 5.0)]] and [(b["tile_id"], b["x1"]) for b in json.loads(got[0]["image"])] == [(-1, 0.0), (-1, 2.0), (-1, 4.0)]
+
+
+def test_files_of_a_closed_recording_are_listed_once(recording, monkeypatch):
+    one, asked = recordings.Recording(recording), []
+    one.counts()
+    monkeypatch.setattr(recordings.pafs, "FileSelector", lambda *a, **k: asked.append(a))
+    assert one.counts() == {"a": 7, "b": 3} and one.parts("a", 0, 7) and not asked
+
+
+def test_frames_of_several_sizes_and_with_few_tile_images(recording):
+    reader = camera_source.CameraReader({"path": recording, "tile_grid": "2x1", "overlap": "1", "start_frame": "1"})
+    frame = pa.schema([("seq", pa.int64()), ("frame_id", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("image", pa.binary()), ("tile_images", pa.list_(pa.binary()))])
+    batch = pa.RecordBatch.from_pylist([dict(seq=1, frame_id=10, width=6, height=2, image=bytes(range(12)), tile_images=[b"x"]), dict(seq=2, frame_id=None, width=4, height=1, image=b"opaque", tile_images=None),
+                                        dict(seq=3, frame_id=12, width=4, height=1, image=None, tile_images=[b"l", None, b"more"])], schema=frame)
+    rows = reader._lines("a", batch, 2.5).to_pylist()
+    assert [(r["kind"], r["seq"], r["frame_id"], r["task_id"], r["tile_id"], r["x1"], r["x2"], r["tiles"], r["image"]) for r in rows] == [
+        ("FRAME", 1, 10, None, None, None, None, None, bytes(range(12))), ("TILE", 1, 10, 0, 0, 0, 4, None, b"x"), ("TILE", 1, 10, 1, 1, 2, 6, None, bytes([2, 3, 4, 5, 8, 9, 10, 11])), ("END_FRAME", 1, 10, None, None, None, None, 2, None),
+        ("FRAME", 2, None, None, None, None, None, None, b"opaque"), ("TILE", 2, None, 2, 0, 0, 3, None, None), ("TILE", 2, None, 3, 1, 1, 4, None, None), ("END_FRAME", 2, None, None, None, None, None, 2, None),
+        ("FRAME", 3, 12, None, None, None, None, None, None), ("TILE", 3, 12, 4, 0, 0, 3, None, b"l"), ("TILE", 3, 12, 5, 1, 1, 4, None, None), ("END_FRAME", 3, 12, None, None, None, None, 2, None)]
+    assert all(r["capture_ms"] == 2.5 and r["captured_ms"] > 0 for r in rows)

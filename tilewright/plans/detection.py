@@ -410,7 +410,7 @@ def l3_live_stream(spark, sf_dir):
 def _camera(spark, sf_dir) -> tuple[DataFrame, str]:
     """The frames of ``events`` as a recording of four cameras, replayed as a stream of protocol rows; and the run's folder."""
     shared = staged_path(spark, "camera")
-    recordings.write_recording(recordings.with_tile_images(det(spark, sf_dir), CAMERAS, LIVE.width, LIVE.height, 12, "rank = 0"), f"{shared}/recording")
+    recordings.write_recording(recordings.with_tile_images(det(spark, sf_dir), CAMERAS, LIVE.width, LIVE.height, 12, "rank = 0"), f"{shared}/recording", placed=True)
     return camera_source.camera_stream(spark, f"{shared}/recording", LIVE, frames_per_trigger=2000, progress=f"{shared}/progress"), shared
 
 

@@ -19,12 +19,14 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def write_recording(frames: DataFrame, path: str) -> None:
+def write_recording(frames: DataFrame, path: str, placed: bool = False) -> None:
     """RECORDED rows as a recording: a folder for each camera, whose files have ranges of ``seq``, the camera's own count of frames from 0.
 
     ``image`` is the whole frame as the camera encodes it; ``tile_images`` the same of its tiles in order, or null.
+    ``placed``: the partitions of ``frames`` have such ranges already.
     """
-    frames.repartitionByRange("camera", "seq").sortWithinPartitions("camera", "seq").write.partitionBy("camera").option("parquet.block.size", 8 << 20).parquet(path)
+    rows = frames if placed else frames.repartitionByRange("camera", "seq")
+    rows.sortWithinPartitions("camera", "seq").write.partitionBy("camera").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 class Recording:
@@ -33,6 +35,9 @@ class Recording:
     def __init__(self, path: str):
         self.files, self.root = opened(path)
         self._spans: dict[str, tuple[int, int]] = {}
+        #: Folders of the cameras, and files of the folders, of a recording that is closed.
+        self._folders: dict[str, str] = {}
+        self._files: dict[str, list[str]] = {}
 
     def closed(self) -> bool:
         """Whether no frames will be added."""
@@ -40,11 +45,23 @@ class Recording:
 
     def cameras(self) -> dict[str, str]:
         """Folder of each camera by its name."""
+        if self._folders:
+            return self._folders
+        closed = self.closed()
         found = self.files.get_file_info(pafs.FileSelector(self.root, allow_not_found=True))
-        return {f.base_name.removeprefix("camera="): f.path for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.Directory and f.base_name.startswith("camera=")}
+        folders = {f.base_name.removeprefix("camera="): f.path for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.Directory and f.base_name.startswith("camera=")}
+        if closed:
+            self._folders = folders
+        return folders
 
     def _parts(self, folder: str) -> list[str]:
-        return sorted(f.path for f in self.files.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
+        if folder in self._files:
+            return self._files[folder]
+        closed = self.closed()
+        parts = sorted(f.path for f in self.files.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
+        if closed:
+            self._files[folder] = parts
+        return parts
 
     def _span(self, part: str) -> tuple[int, int]:
         """First ``seq`` of a file and one more than its last, from its footer; a file never changes."""
@@ -75,17 +92,18 @@ def with_tile_images(boxes: DataFrame, cameras: int, width: int, height: int, ti
     """RECORDED rows from flat boxes, with the JSON of boxes as the opaque images that a detector decodes.
 
     Frame f belongs to camera f mod ``cameras``. A tile's image has its boxes; the frame's image those that fit ``anchor``, as tile -1.
+    Partitions have ranges of frames.
     """
     from tilewright.functions.geometry import box
 
-    one = F.struct(F.col("tile_id").alias("t"), box().alias("b"))
-    # every tile of a frame has an image; boxes of a tile id outside the grid go with the first tile's
-    slot = F.when(F.col("tile_id").between(0, tiles - 1), F.col("tile_id")).otherwise(F.lit(0))
-    parts = boxes.where("tile_id is not null").groupBy("frame_id", slot.alias("slot")).agg(F.array_sort(F.collect_list(one)).alias("part"))
-    parts = parts.select("frame_id", F.struct("slot", F.to_json(F.col("part.b")).cast("binary").alias("image")).alias("entry"), F.lit(None).cast("binary").alias("image"))
-    whole = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.when(F.expr(anchor), box().withField("tile_id", F.lit(-1))))).alias("anchors"))
-    whole = whole.select("frame_id", F.lit(None).cast(parts.schema["entry"].dataType).alias("entry"), F.to_json("anchors").cast("binary").alias("image"))
-    rows = parts.unionByName(whole).groupBy("frame_id").agg(F.map_from_entries(F.collect_list("entry")).alias("found"), F.first("image", ignorenulls=True).alias("image"))
+    # every tile of a frame has an image; boxes of a tile id outside the grid go with the first tile's, those without one are the whole frame's only
+    slot = F.when(F.col("tile_id").between(0, tiles - 1), F.col("tile_id")).when(F.col("tile_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    one, whole = F.struct(F.col("tile_id").alias("t"), box().alias("b")), F.when(F.expr(anchor), box().withField("tile_id", F.lit(-1)))
+    # boxes move once, as they are: groups and files need not move them again
+    placed = boxes.repartitionByRange("frame_id").withColumn("slot", slot)
+    parts = placed.groupBy("frame_id", "slot").agg(F.sort_array(F.collect_list(one)).alias("part"), F.collect_list(whole).alias("anchors"))
+    entry = F.struct("slot", F.to_json(F.col("part.b")).cast("binary").alias("image"))
+    rows = parts.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(entry)).alias("found"), F.to_json(F.sort_array(F.flatten(F.collect_list("anchors")))).cast("binary").alias("image"))
     images = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(b"[]")))
     return rows.select(
         F.concat(F.lit("cam"), (F.col("frame_id") % cameras).cast("string")).alias("camera"), F.floor(F.col("frame_id") / cameras).alias("seq"), "frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"),
