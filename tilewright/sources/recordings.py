@@ -92,7 +92,7 @@ def with_tile_images(boxes: DataFrame, cameras: int, width: int, height: int, ti
     """RECORDED rows from flat boxes, with the JSON of boxes as the opaque images that a detector decodes.
 
     Frame f belongs to camera f mod ``cameras``. A tile's image has its boxes; the frame's image those that fit ``anchor``, as tile -1.
-    Partitions have ranges of frames.
+    Partitions have ranges of a camera's frames.
     """
     from tilewright.functions.geometry import box
 
@@ -100,11 +100,12 @@ def with_tile_images(boxes: DataFrame, cameras: int, width: int, height: int, ti
     slot = F.when(F.col("tile_id").between(0, tiles - 1), F.col("tile_id")).when(F.col("tile_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
     one, whole = F.struct(F.col("tile_id").alias("t"), box().alias("b")), F.when(F.expr(anchor), box().withField("tile_id", F.lit(-1)))
     # boxes move once, as they are: groups and files need not move them again
-    placed = boxes.repartitionByRange("frame_id").withColumn("slot", slot)
-    parts = placed.groupBy("frame_id", "slot").agg(F.sort_array(F.collect_list(one)).alias("part"), F.collect_list(whole).alias("anchors"))
+    camera = F.concat(F.lit("cam"), (F.col("frame_id") % cameras).cast("string"))
+    placed = boxes.withColumns({"camera": camera, "slot": slot}).repartitionByRange("camera", "frame_id")
+    parts = placed.groupBy("camera", "frame_id", "slot").agg(F.sort_array(F.collect_list(one)).alias("part"), F.collect_list(whole).alias("anchors"))
     entry = F.struct("slot", F.to_json(F.col("part.b")).cast("binary").alias("image"))
-    rows = parts.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(entry)).alias("found"), F.to_json(F.sort_array(F.flatten(F.collect_list("anchors")))).cast("binary").alias("image"))
+    rows = parts.groupBy("camera", "frame_id").agg(F.map_from_entries(F.collect_list(entry)).alias("found"), F.to_json(F.sort_array(F.flatten(F.collect_list("anchors")))).cast("binary").alias("image"))
     images = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(b"[]")))
     return rows.select(
-        F.concat(F.lit("cam"), (F.col("frame_id") % cameras).cast("string")).alias("camera"), F.floor(F.col("frame_id") / cameras).alias("seq"), "frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"),
+        "camera", F.floor(F.col("frame_id") / cameras).alias("seq"), "frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"),
         "image", images.alias("tile_images"))
